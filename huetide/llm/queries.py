@@ -7,12 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from huetide.llm.decontaminate import op2_suffix_decontamination
+from huetide.llm.language import op9_string_kernel_language
+from huetide.llm.packing import op7_length_buckets
+from huetide.llm.pseudonyms import op3_feistel_pseudonyms
+from huetide.llm.secrets import op5_secret_scan
 
 ORACLES: dict[str, str] = {}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    made = (op2_suffix_decontamination,)
+    made = (op2_suffix_decontamination, op3_feistel_pseudonyms, op5_secret_scan, op7_length_buckets, op9_string_kernel_language)
     return {f.__name__: f for f in made}
 
 
