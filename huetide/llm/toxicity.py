@@ -1,7 +1,7 @@
 """Toxicity by a classifier chain.
 
 Categories are predicted one after another by linear models over the words of
-a text; each later model also sees the probabilities of the categories before
+a text and their beginnings (so inflected forms count together); each later model also sees the probabilities of the categories before
 it.  In training those are out-of-fold predictions, so a later model learns
 how reliable they are on texts that the earlier models haven't seen.  The
 models are fitted on a bounded sample of labelled texts; scoring is one pass
@@ -19,14 +19,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from huetide.llm.frames import kept, table
-from huetide.llm.tokens import ALNUM, Words, chunks
+from huetide.llm.tokens import ALNUM, Words, chunks, mix
 
 #: Bounds of the training sample: texts, and bytes of a text that may train (longer ones are only scored).
-TRAIN, TRAIN_BYTES = 8000, 200_000
+TRAIN, TRAIN_BYTES = 6000, 200_000
 FOLDS, RIDGE, ROUNDS = 3, 1.0, 60
 #: Words in fewer training texts, or tied more loosely to a category (chi square), are no features.
 LEAST_TEXTS, LEAST_TIE = 5, 15.0
-THRESHOLD = 0.5
+#: Features of a link, those tied most closely; bytes of the word beginnings.
+MOST_FEATURES, BEGINNINGS = 256, (4, 6)
+THRESHOLD = 0.25
 
 #: Fixed word lists that mark the earlier categories in texts labelled toxic.
 SEEDS = {
@@ -60,60 +62,82 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
-def features(rows: np.ndarray, words: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Hashes of the words tied to y."""
-    n, positive = len(y), max(float(y.sum()), 1e-9)
-    names, code = np.unique(words, return_inverse=True)
-    has = np.bincount(code, minlength=len(names)).astype(float)
-    both = np.bincount(code, weights=y[rows], minlength=len(names))
+def features(rows: np.ndarray, code: np.ndarray, y: np.ndarray, most: int) -> np.ndarray:
+    """Codes below ``most`` that are tied to y, the closest MOST_FEATURES of them."""
+    n, positive = len(y), float(y.sum())
+    if not 0 < positive < n:
+        return np.zeros(0, dtype=np.int64)
+    has = np.bincount(code, minlength=most).astype(float)
+    both = np.bincount(code, weights=y[rows], minlength=most)
     expected = has * positive / n
-    spread = np.maximum(expected * (1 - positive / n) * (1 - has / n), 1e-9)
-    return names[(has >= LEAST_TEXTS) & ((both - expected) ** 2 / spread >= LEAST_TIE)]
-
-
-def fit_link(rows: np.ndarray, words: np.ndarray, y: np.ndarray, before: np.ndarray) -> Link:
-    """Ridge logistic regression by Newton steps on the selected words and the earlier probabilities."""
-    vocabulary = features(rows, words, y)[:2000]
-    at = np.searchsorted(vocabulary, words) if len(vocabulary) else np.zeros(len(words), dtype=int)
-    on = (at < len(vocabulary)) & (vocabulary[np.minimum(at, len(vocabulary) - 1)] == words) if len(vocabulary) else np.zeros(len(words), dtype=bool)
-    x = np.zeros((len(y), len(vocabulary) + before.shape[1] + 1), dtype=np.float32)
-    x[rows[on], at[on]] = 1
-    x[:, len(vocabulary) : -1] = before
+    tie = (both - expected) ** 2 / np.maximum(expected * (1 - positive / n) * (1 - has / n), 1e-9)
+    good = np.flatnonzero((has >= LEAST_TEXTS) & (tie >= LEAST_TIE))
+    return np.sort(good[np.lexsort((good, -tie[good]))[:MOST_FEATURES]])
+
+
+def fit_link(rows: np.ndarray, code: np.ndarray, names: np.ndarray, y: np.ndarray, before: np.ndarray) -> Link:
+    """Ridge logistic regression by Newton steps on the selected features and the earlier probabilities."""
+    chosen = features(rows, code, y, len(names))
+    v, place = len(chosen), np.full(len(names) + 1, -1)
+    place[chosen] = np.arange(v)
+    at = place[code]
+    x = np.zeros((len(y), v + before.shape[1] + 1))
+    x[rows[at >= 0], at[at >= 0]] = 1
+    x[:, v:-1] = before
     x[:, -1] = 1
     w, keep = np.zeros(x.shape[1]), np.full(x.shape[1], RIDGE)
-    keep[-1] = 1e-6
+    keep[-1] = 0.01
     for _ in range(ROUNDS):
         p = sigmoid(x @ w)
         step = np.linalg.solve((x * (p * (1 - p) + 1e-6)[:, None]).T @ x + np.diag(keep), x.T @ (y - p) - keep * w)
         w += step * min(1.0, 4 / max(np.abs(step).max(), 1e-9))
-        if np.abs(step).max() < 1e-4:
+        if np.abs(step).max() < 1e-3:
             break
-    v = len(vocabulary)
-    return Link(vocabulary, w[:v], w[v:-1], float(w[-1]))
+    return Link(names[chosen], w[:v], w[v:-1], float(w[-1]))
 
 
 def fit_chain(rows: np.ndarray, words: np.ndarray, labels: np.ndarray, folds: np.ndarray) -> list[Link]:
     """A link a category, in order; ``labels`` is texts x categories."""
     n = len(labels)
+    names, code, many = np.unique(words, return_inverse=True, return_counts=True)
+    often = (many >= LEAST_TEXTS)[code]
+    rows, code = rows[often], code[often]
     before, links = np.zeros((n, 0)), []
     for k in range(labels.shape[1]):
         y, out = labels[:, k].astype(float), np.zeros(n)
         for fold in range(FOLDS):
             own = folds == fold
-            use = ~own[rows]
-            number = np.cumsum(~own) - 1
-            link = fit_link(number[rows[use]], words[use], y[~own], before[~own]) if (~own).any() else fit_link(rows, words, y, before)
-            out[own] = sigmoid(link.logits(rows, words, n, before))[own]
-        links.append(fit_link(rows, words, y, before))
+            if own.any() and not own.all():
+                use, number = ~own[rows], np.cumsum(~own) - 1
+                link = fit_link(number[rows[use]], code[use], names, y[~own], before[~own])
+                out[own] = sigmoid(link.logits(rows, names[code], n, before))[own]
+        links.append(fit_link(rows, code, names, y, before))
         before = np.column_stack((before, out))
     return links
 
 
-def distinct_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of text number and word hash, each once."""
+def feature_hashes(words: Words) -> list[np.ndarray]:
+    """Hashes of the words, and of their beginnings where words are longer (0 where not)."""
+    size, out = words.ends - words.starts, [words.hashes()]
+    for length in BEGINNINGS:
+        long = size > length
+        value = np.full(len(words), length, dtype=np.uint64)
+        for k in range(length):
+            value[long] = value[long] << np.uint64(8) | words.data[words.starts[long] + k]
+        out.append(np.where(long, mix(mix(value) + np.uint64(length)), np.uint64(0)))
+    return out
+
+
+def distinct_features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of text number and feature hash, each once, by text."""
     words = Words(texts, ALNUM, lower=True)
-    pairs = np.unique(np.rec.fromarrays([words.texts(), words.hashes()], names="row,word"))
-    return pairs["row"].astype(np.int64), pairs["word"]
+    got = feature_hashes(words)
+    ends, rows, out = words.offsets, [], []
+    for i in range(len(texts)):
+        own = np.unique(np.concatenate([g[ends[i] : ends[i + 1]] for g in got]))
+        out.append(own[own != 0])
+        rows.append(len(out[-1]))
+    return np.repeat(np.arange(len(texts)), rows), np.concatenate(out) if out else np.zeros(0, dtype=np.uint64)
 
 
 def train(docs: DataFrame, labels: DataFrame) -> list[Link]:
@@ -128,7 +152,7 @@ def train(docs: DataFrame, labels: DataFrame) -> list[Link]:
 
     def words_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            row, word = distinct_words(batch.column("text"))
+            row, word = distinct_features(batch.column("text"))
             ends = np.searchsorted(row, np.arange(batch.num_rows + 1))
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(c) for c in ("doc_id", "label", "fold")), pa.array([word[a:b].tobytes() for a, b in zip(ends, ends[1:], strict=False)], pa.binary())], names=["doc_id", "label", "fold", "words"]
@@ -151,12 +175,12 @@ def score(docs: DataFrame, chain: list[Link], keep: tuple[str, ...] = ("doc_id",
 
     One row per input row (repeated rows stay), with ``keep`` and RESULT.
     Null and empty texts have no words, so they get the chain's bias, and
-    are never toxic.  A chain fitted on no texts says 0.5 and not toxic.
+    are never toxic.  A chain fitted on no texts finds nothing toxic.
     Other input columns are ignored; a kept one that has a name of RESULT
     gives way to the result.
     """
     carry, schema = kept(docs, keep, RESULT)
-    sent = docs.sparkSession.sparkContext.broadcast(chain)  # at most 2000 words a link
+    sent = docs.sparkSession.sparkContext.broadcast(chain)  # at most MOST_FEATURES a link
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         links = sent.value
@@ -164,11 +188,13 @@ def score(docs: DataFrame, chain: list[Link], keep: tuple[str, ...] = ("doc_id",
         for whole in batches:
             for batch in chunks(whole, "_text"):
                 words = Words(batch.column("_text"), ALNUM, lower=True)
-                hashes, n = words.hashes(), batch.num_rows
-                at = np.minimum(np.searchsorted(every, hashes), max(len(every) - 1, 0))
-                on = every[at] == hashes if len(every) else np.zeros(len(hashes), dtype=bool)
-                pairs = np.unique(words.texts()[on] * max(len(every), 1) + at[on])  # each word of a text once
-                row, word = pairs // max(len(every), 1), every[pairs % max(len(every), 1)] if len(every) else np.zeros(0, dtype=np.uint64)
+                n, size, pairs = batch.num_rows, max(len(every), 1), []
+                for hashes in feature_hashes(words) if len(every) else []:
+                    at = np.minimum(np.searchsorted(every, hashes), len(every) - 1)
+                    on = every[at] == hashes
+                    pairs.append(words.texts()[on] * size + at[on])
+                each = np.unique(np.concatenate(pairs)) if pairs else np.zeros(0, dtype=np.int64)  # a feature of a text once
+                row, word = each // size, every[each % size] if len(every) else np.zeros(0, dtype=np.uint64)
                 before = np.zeros((n, 0))
                 for link in links:
                     before = np.column_stack((before, sigmoid(link.logits(row, word, n, before))))
