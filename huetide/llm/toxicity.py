@@ -76,7 +76,12 @@ def features(rows: np.ndarray, code: np.ndarray, y: np.ndarray, most: int) -> np
 
 
 def fit_link(rows: np.ndarray, code: np.ndarray, names: np.ndarray, y: np.ndarray, before: np.ndarray) -> Link:
-    """Ridge logistic regression by Newton steps on the selected features and the earlier probabilities."""
+    """Ridge logistic regression by Newton steps on the selected features and the earlier probabilities.
+
+    A category that no text has is never predicted.
+    """
+    if not y.any():
+        return Link(np.zeros(0, dtype=np.uint64), np.zeros(0), np.zeros(before.shape[1]), -40.0)
     chosen = features(rows, code, y, len(names))
     v, place = len(chosen), np.full(len(names) + 1, -1)
     place[chosen] = np.arange(v)
