@@ -3,9 +3,29 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from huetide.llm.decontaminate import decontaminate
 from huetide.llm.frames import table, written
+from huetide.llm.language import identify, train_on_documents
+from huetide.llm.packing import pack_documents
+from huetide.llm.pseudonyms import pseudonymise
+from huetide.llm.similar import SEND, similar_documents
+
+
+def language_identification(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a learned language stay; those without any letter go."""
+    marked = identify(docs, train_on_documents(docs.select("doc_id", "text", "lang")), keep=tuple(docs.columns))
+    return marked.where("lang_pred <> 'und'").select(docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each component of similar documents the one with the smallest doc_id stays; of repeated rows of one doc_id, all."""
+    components, _ = similar_documents(docs)
+    gone = written(components.where("doc_id <> component_id").select("doc_id").distinct(), "copies")
+    if gone.count() <= SEND:
+        gone = F.broadcast(gone)
+    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -14,11 +34,27 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
     return marked.where("not contaminated").select(docs.columns)
 
 
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents stay; personal data in their texts become pseudonyms, and n_chars follows."""
+    out = pseudonymise(docs, keep=tuple(c for c in docs.columns if c != "text"))
+    changed = F.size("replaced") > 0
+    return out.withColumn("n_chars", F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(docs.columns)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The remaining documents' sequences in batches."""
+    return pack_documents(docs)
+
+
 STAGES = [
+    ("language ID", language_identification),
+    ("n-gram Jaccard join", near_duplicates),
     ("benchmark decontamination", benchmark_decontamination),
+    ("PII", personal_data),
+    ("packing", packing),
 ]
 
-#: Several stages can't be said in SQL; tests hold each against brute force.
+#: Language scores, pseudonyms and packing can't be said in SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
