@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from huetide.plans import catalog, evidence, history  # noqa: F401  each module registers its queries
 
-def queries() -> dict:
-    return {}
+
+def queries() -> dict[str, catalog.Query]:
+    return dict(catalog.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(catalog.ORACLES)
