@@ -19,7 +19,8 @@ def points(v: Views) -> DataFrame:
 
 
 def best(v: Views) -> DataFrame:
-    return ev.best_per_actor(points(v).where("current_eligible"), BY)
+    # kept in memory: a row an actor, family and month, which one query reads several times
+    return v.kept("best", lambda: ev.best_per_actor(points(v).where("current_eligible"), BY))
 
 
 def cand(v: Views) -> DataFrame:

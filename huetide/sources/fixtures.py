@@ -7,6 +7,7 @@ that checks a query; where the dialects differ there are two.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -121,6 +122,12 @@ class Views:
                 self._made[name] = self.spark.sql(text, **{n: getattr(self, n) for n in _needs(text)})
         return self._made[name]
 
+    def kept(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+        """A small derived table, built once for a query and persisted."""
+        if name not in self._made:
+            self._made[name] = build().persist()
+        return self._made[name]
+
     @cached_property
     def colors(self) -> DataFrame:
         """Swatches with hex, OKLab and OKLCH columns, family and neutral flag."""
