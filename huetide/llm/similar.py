@@ -165,7 +165,7 @@ def possible(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def compared(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """Pairs (a, b, da, db) with the exact sizes of their sets' intersection (common) and union (united)."""
-    ids = pairs.select(F.explode(F.array("da", "db")).alias("doc_id")).distinct()
+    ids = pairs.select(F.col("da").alias("doc_id")).union(pairs.select(F.col("db").alias("doc_id"))).distinct()
     few = ids.count() <= SEND
     ids = F.broadcast(ids) if few else ids
     texts = docs.join(ids, "doc_id").groupBy("doc_id").agg(F.first("text").alias("text")) if not few else docs.join(ids, "doc_id")
@@ -206,6 +206,32 @@ def components(edges: DataFrame) -> DataFrame:
         before = now
 
 
+def _open(entries: DataFrame, nodes: DataFrame, comps: DataFrame) -> DataFrame:
+    """Entries of regions with several components, with comp, and minor where that isn't the region's largest."""
+    own = nodes.select("node", "doc").join(comps, F.col("doc") == F.col("vertex"), "left").select("node", F.coalesce("component", "doc").alias("comp"))
+    entries = written(entries.join(own, "node"), "entries")
+    counts = entries.groupBy("shingle", "comp").count()
+    main = counts.groupBy("shingle").agg(F.max_by("comp", F.struct("count", "comp")).alias("main"), F.count("*").alias("comps")).where("comps > 1")
+    return written(entries.join(main, "shingle").select(*entries.columns, (F.col("comp") != F.col("main")).alias("minor")), "open")
+
+
+def _to_main(entries: DataFrame, near: str) -> DataFrame:
+    """A pair (a, b) for each minor node: with the middle of the main component in most of its regions."""
+    middle = entries.where("not minor").groupBy("shingle").agg(F.min(F.struct("at", "node", "n")).alias("m"))
+    met = entries.where("minor").join(middle.select("shingle", F.col("m.node").alias("pivot"), F.col("m.n").alias("pivot_n"), F.col("m.at").alias("pivot_at")), "shingle")
+    met = met.where(near.format("", "pivot_")).groupBy("node", "pivot").agg(F.count("*").alias("count"))
+    return met.groupBy("node").agg(F.max_by("pivot", F.struct("count", "pivot")).alias("pivot")).select(F.col("node").alias("a"), F.col("pivot").alias("b"))
+
+
+def _rest(entries: DataFrame, distance: DataFrame, near: str) -> DataFrame:
+    """All pairs (a, b) of different components in a region that nothing rules out; none twice."""
+    entries = entries.join(distance, "node", "left")
+    named = lambda p: [F.col(c).alias(f"{p}{c}") for c in ("node", "n", "at", "comp", "to", "d", "minor")]
+    x, y = entries.where("minor").select("shingle", *named("x")), entries.select("shingle", *named("y"))
+    apart = "xcomp <> ycomp and (not yminor or xnode < ynode) and not (coalesce(xto = yto, false) and abs(xd - yd) > 0.2500001) and " + near.format("x", "y")
+    return x.join(y, "shingle").where(apart).select(F.least("xnode", "ynode").alias("a"), F.greatest("xnode", "ynode").alias("b")).distinct()
+
+
 def similar_documents(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """One row per input row (doc_id, n_shingles, component_id), and the compared pairs (da, db, common, united).
 
@@ -228,7 +254,8 @@ def similar_documents(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     region, cell = Window.partitionBy("shingle"), Window.partitionBy("shingle", "class")
     shared = postings.withColumns({"low": F.min("node").over(region), "high": F.max("node").over(region)}).where("low <> high")
     shared = shared.withColumn("class", F.floor(F.log("n") / F.log(F.lit(4 / 3))))
-    shared = shared.withColumn("pivot", F.min(F.struct("node", "n", "at")).over(cell))
+    # the pivot has the fewest shingles before the region's: the fewest of its own, so it stands in the middle
+    shared = shared.withColumn("pivot", F.min(F.struct("at", "node", "n")).over(cell))
     shared = written(shared.select("shingle", "node", "n", "at", F.col("pivot.node").alias("pivot"), F.col("pivot.n").alias("pivot_n"), F.col("pivot.at").alias("pivot_at")), "shared")
 
     # each set to the pivot it meets most often; their distance
@@ -238,26 +265,28 @@ def similar_documents(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     linked = f"100 * common >= {PERCENT} * united"
     comps = components(first.where(linked).select(F.col("da").alias("u"), F.col("db").alias("v")))
 
-    # what is left between components
+    # regions with several components: again to a pivot of the main one, while that joins many; then all that is left, exactly
     distance = first.select(F.col("a").alias("node"), F.col("b").alias("to"), (1 - F.col("common") / F.col("united")).alias("d"))
-    own = nodes.select("node", "doc").join(comps, F.col("doc") == F.col("vertex"), "left").select("node", F.coalesce("component", "doc").alias("comp")).join(distance, "node", "left")
-    entries = written(shared.select("shingle", "node", "n", "at").join(own, "node"), "entries")
-    several = entries.groupBy("shingle").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("shingle")
-    entries = entries.join(several, "shingle")
-    sizes = entries.groupBy("shingle", "comp").count().groupBy("shingle").agg(F.max_by("comp", F.struct("count", "comp")).alias("main"))
-    entries = written(entries.join(sizes, "shingle").withColumn("minor", F.col("comp") != F.col("main")), "open")
-    named = lambda p: [F.col(c).alias(f"{p}{c}") for c in ("node", "n", "at", "comp", "to", "d", "minor")]
-    x, y = entries.where("minor").select("shingle", *named("x")), entries.select("shingle", *named("y"))
-    apart = "xcomp <> ycomp and (not yminor or xnode < ynode) and not (coalesce(xto = yto, false) and abs(xd - yd) > 0.2500001) and " + near.format("x", "y")
-    rest = x.join(y, "shingle").where(apart).select(F.least("xnode", "ynode").alias("a"), F.greatest("xnode", "ynode").alias("b")).distinct()
-    second = written(compared(written(possible(rest, nodes), "rest"), docs), "second")
-    edges = comps.select(F.col("vertex").alias("u"), F.col("component").alias("v")).unionByName(second.where(linked).select(F.col("da").alias("u"), F.col("db").alias("v")))
-    final = components(edges)
+    checked, entries, before = first, shared.select("shingle", "node", "n", "at"), None
+    while True:
+        entries = _open(entries, nodes, comps)
+        minors = entries.where("minor").select("node").distinct().count()
+        if not minors:
+            break
+        last = before is not None and 2 * minors > before
+        pairs = _rest(entries, distance, near) if last else _to_main(entries, near)
+        more = written(compared(written(possible(pairs, nodes), "pairs"), docs), "checked")
+        checked, before = checked.unionByName(more), minors
+        links = more.where(linked).select(F.col("da").alias("u"), F.col("db").alias("v"))
+        comps = components(comps.select(F.col("vertex").alias("u"), F.col("component").alias("v")).unionByName(links))
+        if last:
+            break
+        entries = entries.select("shingle", "node", "n", "at")
     # a document's component: of the document that stands for its set
-    stands = nodes.select("node", "doc").join(final, F.col("doc") == F.col("vertex"), "left").select("node", F.coalesce("component", "doc").alias("component"))
+    stands = nodes.select("node", "doc").join(comps, F.col("doc") == F.col("vertex"), "left").select("node", F.coalesce("component", "doc").alias("component"))
     rows = base.select("doc_id", "n_shingles", F.coalesce("node", F.xxhash64("doc_id")).alias("node")).join(stands, "node", "left")  # without words: spread by id
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
-    return rows.select("doc_id", "n_shingles", component.alias("component_id")), first.unionByName(second)
+    return rows.select("doc_id", "n_shingles", component.alias("component_id")), checked
 
 
 def op8_jaccard_components(spark: SparkSession, sf_dir: str) -> DataFrame:
