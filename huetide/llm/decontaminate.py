@@ -24,6 +24,8 @@ from huetide.llm.tokens import ALNUM, Words, chunks, spans_of
 WINDOW = 10
 #: Bytes of benchmark text in one broadcast.
 BLOCK_BYTES = 8 << 20
+#: Bytes of document text in one shard.
+SHARD_BYTES = 2 << 20
 RESULT = (
     "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, longest_match long, "
     "hit_spans array<struct<start:long,end:long>>, hit_items array<string>"
@@ -158,7 +160,7 @@ def _marker(sent, window: int, state: str):
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tests = Tests(*sent.value, window)
         for whole in batches:
-            for batch in chunks(whole, "_text"):
+            for batch in chunks(whole, "_text", SHARD_BYTES):
                 words = Words(batch.column("_text"), ALNUM, lower=True)
                 n, texts = batch.num_rows, words.texts()
                 before = batch.column(state).to_pylist()

@@ -24,6 +24,8 @@ from huetide.llm.frames import kept, table
 from huetide.llm.tokens import SPACED, Words, chunks, join, mix, spans_of
 
 LENGTH = 20
+#: Bytes of text in a slice.
+SLICE_BYTES = 4 << 20
 RESULT = "n_words long, n_removed long, kept string, removed_spans array<struct<start:long,end:long>>"
 _U = np.uint64
 
@@ -69,7 +71,7 @@ def _anchors(length: int):
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in chunks(whole, "text"):
+            for batch in chunks(whole, "text", SLICE_BYTES):
                 batch = batch.filter(batch.column("doc_id").is_valid())
                 batch = batch.take(pa.array(np.argsort(batch.column("doc_id").to_numpy(), kind="stable")))
                 ids, words = batch.column("doc_id").to_numpy(), Words(batch.column("text"), SPACED, lower=False)
@@ -106,7 +108,7 @@ def _windows(length: int):
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in chunks(whole, "text"):
+            for batch in chunks(whole, "text", SLICE_BYTES):
                 batch = batch.filter(batch.column("anchors").is_valid())
                 batch = batch.take(pa.array(np.argsort(batch.column("doc_id").to_numpy(), kind="stable")))
                 ids, words = batch.column("doc_id").to_numpy(), Words(batch.column("text"), SPACED, lower=False)

@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text worked on at once in a task; a longer text is taken alone.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
 _SEGMENT = 1 << 20
 
 LOWER = np.arange(256, dtype=np.uint8)

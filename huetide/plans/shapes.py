@@ -175,12 +175,12 @@ _D = "sqrt((a.ll - b.ll) * (a.ll - b.ll) + (a.la - b.la) * (a.la - b.la) + (a.lb
 
 
 def month_points(v: Views) -> DataFrame:
-    return points(v).where("current_eligible").select("day", "actor", "hex", "family", "strength", "chroma", "ll", "la", "lb", (F.col("image_id") * 8 + F.col("swatch_no")).alias("id"))
+    return points(v).where("current_eligible").select("day", "actor", "hex", "family", "strength", "chroma", "ll", "la", "lb", (F.col("image_id") * 64 + F.col("swatch_no")).alias("id"))
 
 
 @query(
     "jn03_colour_distance_join",
-    f"SELECT CAST(a.day AS VARCHAR) AS day, count(*) AS pairs, round(avg({_D}), 6) AS mean_distance FROM points a JOIN points b ON a.day = b.day AND a.image_id * 8 + a.swatch_no < b.image_id * 8 + b.swatch_no AND a.current_eligible AND b.current_eligible AND {_D} <= 0.045 GROUP BY a.day",
+    f"SELECT CAST(a.day AS VARCHAR) AS day, count(*) AS pairs, round(avg({_D}), 6) AS mean_distance FROM points a JOIN points b ON a.day = b.day AND a.image_id * 64 + a.swatch_no < b.image_id * 64 + b.swatch_no AND a.current_eligible AND b.current_eligible AND {_D} <= 0.045 GROUP BY a.day",
     on=POINTS,
 )
 def colour_distance(v: Views) -> DataFrame:
