@@ -7,6 +7,7 @@ byte finds the words of a whole batch and no Python object per word is made.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -132,6 +133,13 @@ def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, at - at[0]
 
 
+def trim() -> None:
+    """Gives freed memory back to the system: Python workers stay alive, idle, beside later stages."""
+    pa.default_memory_pool().release_unused()
+    if give := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        give(0)
+
+
 def chunks(batch: pa.RecordBatch, column: str, most: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """A batch in slices of about ``most`` bytes of text, one text at least; nothing is left out."""
     _, at = text_bytes(batch.column(column))
@@ -140,6 +148,7 @@ def chunks(batch: pa.RecordBatch, column: str, most: int = CHUNK_BYTES) -> Itera
         hi = max(lo + 1, int(np.searchsorted(at, at[lo] + most, "right")) - 1)
         yield batch.slice(lo, min(hi, n) - lo)
         lo = hi
+    trim()
 
 
 def spans_of(hit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
