@@ -25,7 +25,7 @@ WINDOW = 10
 #: Bytes of benchmark text in one broadcast.
 BLOCK_BYTES = 8 << 20
 #: Bytes of document text in one shard.
-SHARD_BYTES = 2 << 20
+SHARD_BYTES = 1 << 20
 RESULT = (
     "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, longest_match long, "
     "hit_spans array<struct<start:long,end:long>>, hit_items array<string>"
@@ -152,8 +152,11 @@ def decontaminate(
     for k in range(parts):
         rows = (items.where(F.col("_block") == k) if parts > 1 else items).select("item_id", "text").collect()  # one block: about block_bytes
         sent = spark.sparkContext.broadcast(([r[0] for r in rows], [r[1] for r in rows]))
-        out = out.mapInArrow(_marker(sent, window, state), out.schema)
-    return out.mapInArrow(_finisher(carry, state, schema), schema)
+        mark = _marker(sent, window, state)
+        if k + 1 < parts:
+            out = out.mapInArrow(mark, out.schema)
+    finish = _finisher(carry, state, schema)
+    return out.mapInArrow(lambda batches: finish(mark(batches)), schema)  # one worker a task marks and finishes
 
 
 def _marker(sent, window: int, state: str):
