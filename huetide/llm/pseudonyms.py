@@ -36,9 +36,11 @@ PATTERNS = {
     "ssn": re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"),
     "date": re.compile(r"(?<![0-9./-])(?:[0-9]{4}([-/.])[0-9]{1,2}\1[0-9]{1,2}|[0-9]{1,2}([-/.])[0-9]{1,2}\2[0-9]{4})(?![0-9])"),
     "ip": re.compile(r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9]|\.[0-9])"),
-    "card": re.compile(r"(?<![0-9])(?<![0-9][ -])[0-9](?:[ -]?[0-9]){12,18}(?![ -]?[0-9])"),
+    "card": re.compile(r"(?<![0-9])[0-9](?:[ -]?[0-9]){12,}"),
     "phone": re.compile(r"(?<![0-9A-Za-z])(?:\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)|[0-9]{1,4})(?:[ .-]?[0-9]{2,4}){2,4}|(?:\([2-9][0-9]{2}\) ?|[2-9][0-9]{2}[ .-])[0-9]{3}[ .-][0-9]{4})(?![0-9A-Za-z])"),
 }
+_IBAN_START = re.compile(r"(?<![A-Za-z0-9])(?=[A-Z]{2}[0-9]{2} ?[A-Z0-9])")
+_IBAN_GROUP, _CARD_GROUP = re.compile("[A-Z0-9]+"), re.compile("[0-9]+")
 
 
 class Feistel:
@@ -214,15 +216,51 @@ def pseudonym(f: Feistel, kind: str, value: str, back: bool = False) -> str | No
     return MAKERS[kind](f, value, back)
 
 
+def candidates(kind: str, text: str) -> Iterator[tuple[int, list[int]]]:
+    """Starts of possible values in order, each with its possible ends, longest first.
+
+    A card number or IBAN may stand beside other digits or capitals that look
+    like more of it, so it may begin and end at any group of their run.
+    """
+    if kind == "iban":
+        for m in _IBAN_START.finditer(text):
+            if run := PATTERNS[kind].match(text, m.start()):
+                ends, size = [], 0
+                for g in _IBAN_GROUP.finditer(text, m.start(), run.end()):
+                    size += g.end() - g.start()
+                    if 15 <= size <= 34:
+                        ends.append(g.end())
+                yield m.start(), ends[::-1]
+    elif kind == "card":
+        for run in PATTERNS[kind].finditer(text):
+            groups = [g.span() for g in _CARD_GROUP.finditer(text, *run.span())]
+            for k, (start, _) in enumerate(groups):
+                ends, size = [], 0
+                for a, b in groups[k : k + 19]:
+                    size += b - a
+                    if size > 19:
+                        break
+                    if size >= 13:
+                        ends.append(b)
+                yield start, ends[::-1]
+    else:
+        for m in PATTERNS[kind].finditer(text):
+            yield m.start(), [m.end()]
+
+
 def replace(text: str, make) -> tuple[str, list[tuple[str, int, int, str]]]:
     """The text with pseudonyms, and kind, span in the original and pseudonym of each."""
     if not _NEED.search(text):
         return text, []
     taken: list[tuple[int, int, str, str]] = []
-    for kind, pattern in PATTERNS.items():
-        for m in pattern.finditer(text):
-            if all(m.end() <= a or m.start() >= b for a, b, _, _ in taken) and (new := make(kind, m[0])) is not None:
-                taken.append((m.start(), m.end(), kind, new))
+    for kind in PATTERNS:
+        done = 0
+        for start, ends in candidates(kind, text):
+            for end in ends if start >= done else ():
+                if (new := make(kind, text[start:end])) is not None and all(end <= a or start >= b for a, b, _, _ in taken):
+                    taken.append((start, end, kind, new))
+                    done = end
+                    break
     taken.sort()
     out, at = [], 0
     for a, b, _, new in taken:
