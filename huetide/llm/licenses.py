@@ -28,7 +28,8 @@ RESULT = (
 #: Fixed phrases whose every place counts: label, words.
 PHRASES = [("cc-by", "cc by"), ("gpl", "general public license"), ("reserved", "all rights reserved")]
 
-#: Label, name as words ({v}: a version), versions, keyword of the name, address.
+#: Label, name as words ({v}: a version), versions, keyword of the name, address.  A rule is tried only where its keyword
+#: stands, so what the name matches must contain it, however the text is wrapped (``cc[ -]``: one of two rows' keywords).
 TABLE = [
     ("apache", "apache (?:software )?license", ("1.0", "1.1", "2.0"), "apache", "apache.org/licenses/license-{v}"),
     ("gpl", "gnu general public license", ("1.0", "2.0", "3.0"), "general", "gnu.org/licenses/gpl-{v}"),
@@ -58,13 +59,15 @@ TABLE = [
     ("zlib", "zlib(?:/libpng)? license", (), "zlib", "opensource.org/licenses/zlib"),
     ("bsd-2-clause", "(?:simplified|freebsd|2-clause) bsd license|bsd 2-clause(?: license)?", (), "bsd", "opensource.org/licenses/bsd-2-clause"),
     ("bsd-3-clause", "(?:new|revised|modified|3-clause) bsd license|bsd 3-clause(?: license)?", (), "bsd", "opensource.org/licenses/bsd-3-clause"),
-    ("bsd", "(?:berkeley software distribution|bsd)(?:-style)? license", (), "bsd", "spdx.org/licenses/bsd"),
+    ("bsd", "bsd(?:-style)? license", (), "bsd", "spdx.org/licenses/bsd"),
+    ("bsd", "berkeley software distribution(?:-style)? license", (), "berkeley", "spdx.org/licenses/bsd"),
     ("unlicense", "the unlicense", (), "unlicense", "unlicense.org"),
     ("wtfpl", "do what the fuck you want to public license", (), "fuck", "wtfpl.net"),
-    ("cc0", "cc0|creative commons zero", ("1.0",), "cc0", "creativecommons.org/publicdomain/zero/{v}"),
+    ("cc0", "cc0", ("1.0",), "cc0", "creativecommons.org/publicdomain/zero/{v}"),
+    ("cc0", "creative commons zero", ("1.0",), "creative", "creativecommons.org/publicdomain/zero/{v}"),
     ("public-domain", "(?:placed|released|dedicated) (?:in|into|to) the public domain", (), "domain", "creativecommons.org/publicdomain/mark"),
     *[
-        (f"cc-{kind}", f"(?:cc|creative commons)[ -]{'[ -]'.join(f'(?:{p}|{w})' for p, w in parts)}", ("1.0", "2.0", "2.5", "3.0", "4.0"), kw, f"creativecommons.org/licenses/{kind}/{{v}}")
+        (f"cc-{kind}", f"{stem}[ -]{'[ -]'.join(f'(?:{p}|{w})' for p, w in parts)}", ("1.0", "2.0", "2.5", "3.0", "4.0"), kw, f"creativecommons.org/licenses/{kind}/{{v}}")
         for kind, parts in (
             ("by", (("by", "attribution"),)),
             ("by-sa", (("by", "attribution"), ("sa", "sharealike"))),
@@ -73,7 +76,7 @@ TABLE = [
             ("by-nc-sa", (("by", "attribution"), ("nc", "noncommercial"), ("sa", "sharealike"))),
             ("by-nc-nd", (("by", "attribution"), ("nc", "noncommercial"), ("nd", "noderivatives"))),
         )
-        for kw in ("cc by", "cc-by", "creative commons", "creativecommons")
+        for stem, kw in (("cc", "cc "), ("cc", "cc-"), ("creative commons", "creative"))
     ],
 ]
 #: How sure a detection is by its rank: bare name, address, grant, machine-readable tag.

@@ -44,6 +44,36 @@ def test_places_and_labels(spark):
     assert licenses.scan_licenses(empty(spark)).count() == 0
 
 
+WRAPPED = [
+    "Creative Commons Zero",
+    "Released under the Creative Commons\n * Zero 1.0",
+    "Berkeley Software Distribution License",
+    "Creative\n * Commons Attribution 4.0",
+    "Licensed under Creative\n# Commons Attribution-ShareAlike 3.0",
+    "CC Attribution 4.0",
+    "FreeBSD BSD license, BSD-style license, cc0-1.0, cc-by-nc",
+]
+
+
+class Ungated:
+    def __init__(self, words):
+        self.words = list(words)
+
+    def hits(self, lowered):
+        return [(0, w) for w in self.words]
+
+
+def test_the_gate_loses_nothing(spark):
+    gated, every = licenses.Scanner(), licenses.Scanner()
+    every.gate = Ungated(every.by_word)
+    table = [r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    for text in [*TEXTS, *WRAPPED, *table]:
+        (places, found), (want, wanted) = (x.scan((text or "").encode().lower()) for x in (gated, every))
+        assert places == want and [(a, b, r.label, r.rank) for a, b, r in found] == [(a, b, r.label, r.rank) for a, b, r in wanted]
+    labels = [[r.label for _, _, r in gated.scan(t.encode().lower())[1]] for t in WRAPPED]
+    assert labels[:6] == [["cc0"], ["cc0-1.0"], ["bsd"], ["cc-by-4.0"], ["cc-by-sa-3.0"], ["cc-by-4.0"]]
+
+
 def test_query_on_the_table(spark):
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     got = licenses.op10_license_signatures(spark, SF).collect()
