@@ -149,7 +149,7 @@ def record_rows(v: Views) -> DataFrame:
     k = F.col("page_id")
     event = F.element_at(F.array(*map(F.lit, ("newly-listed", "catalog", "exhibition-opening", "campaign", "marketplace-list", "campaign"))), (k % 6 + 1).cast("int"))
     return v.page_dates.select(
-        "page_id", F.when(k % 2 == 0, lg.url_dates(F.col("dated_url"))).otherwise(F.array().cast("array<date>")).alias("dates"), F.substring("html", 1, 4000).alias("about"), event.alias("event"),
+        "page_id", F.when(k % 2 == 0, lg.url_dates(F.col("dated_url"))).otherwise(F.array().cast("array<date>")).alias("dates"), F.col("html").alias("about"), event.alias("event"),
         F.when(k % 7 == 0, "art").otherwise("retail").alias("domain"), F.when(k % 5 == 0, "creation").otherwise("distribution").alias("stage"), F.when(k % 3 == 0, "discovery").otherwise("benchmark").alias("panel"),
         F.when(k % 11 == 0, "independent").otherwise("institutional").alias("scale"), F.when(k % 4 == 0, "").otherwise(F.concat(F.lit("f"), (k % 2).cast("string"))).alias("prior"), F.concat(F.lit("f"), F.floor(k % 8 / 4).cast("string")).alias("fingerprint"),
     )

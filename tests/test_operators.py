@@ -95,3 +95,14 @@ def test_dates_and_urls(spark):
     html = '<meta itemprop="datePublished" content="2024-02-30"><time datetime="2024-01-02"></time><time datetime="2024-01-03"></time>'
     page = pages.date_evidence(spark.createDataFrame([(1, html), (2, "")], "page_id long, html string")).orderBy("page_id").collect()
     assert [(r.method, r.status) for r in page] == [("time", "ambiguous"), (None, "missing")]
+
+
+def test_overlay_terms_are_found_anywhere_in_a_page(spark):
+    from types import SimpleNamespace
+
+    from huetide.plans import dated
+
+    html = ["x" * 5000, "x" * 5000 + " " + ledger.OVERLAY_TERMS[0].upper(), ledger.OVERLAY_TERMS[-1] + "x" * 60_000]
+    rows = spark.createDataFrame([(k, "https://e.org/", h) for k, h in enumerate(html)], "page_id long, dated_url string, html string")
+    got = {r.page_id: r.status for r in dated.status_rows(SimpleNamespace(page_dates=rows)).select("page_id", "status").collect()}
+    assert got[0] != "rejected_overlay" and got[1] == got[2] == "rejected_overlay"
