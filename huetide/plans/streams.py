@@ -62,7 +62,7 @@ SELECT *, coalesce(lag(fingerprint) OVER (PARTITION BY source_id, region ORDER B
     views=("ledger_events",),
 )
 def ledger(v: Views) -> DataFrame:
-    rows = jobs.drain(jobs.ledger(events(v)), "update")
+    rows = jobs.drain_ledger(events(v))
     return rows.select("source_id", "region", "fingerprint", *[F.unix_timestamp(c).alias(c) for c in ("first_seen", "last_seen", "last_changed")], "events")
 
 

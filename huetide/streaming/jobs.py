@@ -8,12 +8,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 SCHEMA = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
 
@@ -23,11 +19,15 @@ def stream(spark: SparkSession, folder: str, name: str = "events.parquet") -> Da
     return spark.readStream.schema(SCHEMA).option("pathGlobFilter", name).parquet(folder)
 
 
+def _folder(spark: SparkSession) -> str:
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-")
+    return f"{root}/stream-{uuid.uuid4().hex}"
+
+
 def drain(df: DataFrame, mode: str) -> DataFrame:
     """Runs a streaming query over all that has landed; state and result lie in the shared folder."""
     spark = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-")
-    path = f"{root}/stream-{uuid.uuid4().hex}"
+    path = _folder(spark)
     write = df.writeStream.outputMode(mode).option("checkpointLocation", f"{path}/state").trigger(availableNow=True)
     if mode == "append":
         query = write.format("parquet").option("path", f"{path}/out").start()
@@ -69,22 +69,50 @@ def admission(events: DataFrame, target: str) -> DataFrame:
     return events.select("event_id", status.alias("status"))
 
 
-def ledger(events: DataFrame) -> DataFrame:
-    """Keyed state of each source and region: fingerprint, first_seen, last_seen, last_changed, updated in event order."""
-    rows = events.select("event_id", "ts", F.col("user_id").alias("source_id"), F.col("event_type").alias("region"), F.concat(F.lit("f"), (F.regexp_extract("props", "([0-9]+)", 1).cast("int") % 2).cast("string")).alias("fingerprint"))
-    out = "source_id long, region string, fingerprint string, first_seen timestamp, last_seen timestamp, last_changed timestamp, events long"
-    kept = "fingerprint string, first_seen timestamp, last_seen timestamp, last_changed timestamp, events long"
-    return rows.groupBy("source_id", "region").applyInPandasWithState(_ledger_step, out, kept, "update", GroupStateTimeout.NoTimeout)
-
-
-def _ledger_step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    have = list(state.get) if state.exists else None
-    for part in parts:
-        for row in part.sort_values(["ts", "event_id"]).itertuples():
-            ts = row.ts.to_pydatetime()
-            if have is None:
-                have = [row.fingerprint, ts, ts, ts, 0]
-            changed = row.fingerprint != have[0]
-            have = [row.fingerprint, have[1], ts, ts if changed else have[3], have[4] + 1]
-    state.update(tuple(have))
-    yield pd.DataFrame([[*key, *have]], columns=["source_id", "region", "fingerprint", "first_seen", "last_seen", "last_changed", "events"])
+def ledger_rows(events: DataFrame) -> DataFrame:
+    """Events as the ledger holds them."""
+    return events.select("event_id", "ts", F.col("user_id").alias("source_id"), F.col("event_type").alias("region"), F.concat(F.lit("f"), (F.regexp_extract("props", "([0-9]+)", 1).cast("int") % 2).cast("string")).alias("fingerprint"))
+
+
+def ledger_state(rows: DataFrame) -> DataFrame:
+    """State of each source and region after all its rows in event order (ts, event_id), however they lie.
+
+    The last change begins the run of rows after the last one of another
+    fingerprint.  Aggregates alone, so a key of many rows is shared by tasks.
+    """
+    rows, order = rows.withColumn("key", F.struct("source_id", "region")), F.struct("ts", "event_id")
+    ends = rows.groupBy("key").agg(F.max_by("fingerprint", order).alias("last"), F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"), F.count("*").alias("events"))
+    before = rows.join(ends.select("key", "last"), "key").where(~F.col("fingerprint").eqNullSafe(F.col("last"))).groupBy("key").agg(F.max(order).alias("other"))
+    run = rows.join(before, "key", "left").where(F.col("other").isNull() | (order > F.col("other")))
+    begins = run.groupBy("key").agg(F.min("ts").alias("last_changed"))
+    return ends.join(begins, "key").select("key.*", F.col("last").alias("fingerprint"), "first_seen", "last_seen", "last_changed", "events")
+
+
+def drain_ledger(events: DataFrame) -> DataFrame:
+    """Ledger state of each source and region after all that has landed.
+
+    Rows are held in the shared folder by batch, as a late one can move the
+    last change; a batch writes the state of its own keys anew and takes over
+    the others.  A batch that runs again overwrites what it wrote.
+    """
+    spark, key = events.sparkSession, F.struct("source_id", "region").alias("key")
+    path = _folder(spark)
+    rows = ledger_rows(events)
+    state = "source_id long, region string, fingerprint string, first_seen timestamp, last_seen timestamp, last_changed timestamp, events long"
+
+    def step(batch: DataFrame, n: int) -> None:
+        session = batch.sparkSession
+        batch.write.mode("overwrite").parquet(f"{path}/rows/batch={n}")
+        held = session.read.schema(rows.schema).parquet(*[f"{path}/rows/batch={k}" for k in range(n + 1)])
+        if n:
+            touched = session.read.schema(rows.schema).parquet(f"{path}/rows/batch={n}").select(key).distinct()
+            same = session.read.schema(state).parquet(f"{path}/out/{n - 1}").select("*", key).join(touched, "key", "left_anti").drop("key")
+            new = ledger_state(held.select("*", key).join(touched, "key", "left_semi").drop("key")).unionByName(same)
+        else:
+            new = ledger_state(held)
+        new.write.mode("overwrite").parquet(f"{path}/out/{n}")
+        last.append(n)
+
+    last: list[int] = []
+    rows.writeStream.option("checkpointLocation", f"{path}/state").trigger(availableNow=True).foreachBatch(step).start().awaitTermination()
+    return spark.read.schema(state).parquet(f"{path}/out/{last[-1]}") if last else spark.createDataFrame([], state)
