@@ -11,65 +11,121 @@ from huetide.functions.color import MUTED, distance
 from huetide.operators.graph import components, near_pairs, settled
 
 CHROMATIC_LIMIT, MUTED_LIMIT, MERGE_LIMIT = 0.045, 0.032, 0.022
-#: Points of one connected component that a task may cluster; more is an error, never a cut.
-MOST_POINTS = 50_000
+#: Points of one connected component that a task clusters in one round.
+ROUND_POINTS = 4096
+_NEAR = [(x, y, z) for x in (-1, 0, 1) for y in (-1, 0, 1) for z in (-1, 0, 1)]
 
 
-def _assign(lab: np.ndarray, muted: np.ndarray, policy: str) -> np.ndarray:
-    """Cluster numbers for points in order.
+def _assign(lab: np.ndarray, muted: np.ndarray, policy: str, start: int = 0, before: dict[int, dict[int, tuple]] | None = None) -> np.ndarray:
+    """Clusters of points in order, each as the place of its first point; places count from ``start``.
 
     ``best``: the cluster with the least mean distance of those where the
     largest is within the limit (stricter once a member is muted).  ``first``:
     the first such cluster of the same kind, muted or not.  ``merge``: the
-    least total distance within a small limit.
+    least total distance within a small limit.  ``before`` has, for a point,
+    the clusters of earlier rounds that lie wholly within CHROMATIC_LIMIT:
+    members, total and largest distance, whether any and all are muted.
     """
-    clusters: list[list[int]] = []
+    cells = np.floor(lab / CHROMATIC_LIMIT).astype(np.int64).tolist()
+    members: dict[int, list[int]] = {}
+    around: dict[tuple[int, int, int], set[int]] = {}
     out = np.zeros(len(lab), dtype=np.int64)
     for i in range(len(lab)):
+        old = before.get(i, {}) if before else {}
+        x, y, z = cells[i]
         choice, least = -1, np.inf
-        for k, members in enumerate(clusters):
-            d = np.sqrt(((lab[members] - lab[i]) ** 2).sum(axis=1))
+        for k in sorted(set(old).union(*[around.get((x + a, y + b, z + c), ()) for a, b, c in _NEAR])):
+            if k < start and k not in old:
+                continue
+            n, total, most, some, every = old.get(k, (0, 0.0, 0.0, False, True))
+            if own := members.get(k):
+                d = np.sqrt(((lab[own] - lab[i]) ** 2).sum(axis=1))
+                n, total, most = n + len(own), total + d.sum(), max(most, d.max())
+                some, every = some or muted[own].any(), every and muted[own].all()
             if policy == "first":
-                limit = MUTED_LIMIT if muted[i] else CHROMATIC_LIMIT
-                if muted[members].all() == muted[i] and d.max() <= limit:
+                if every == muted[i] and most <= (MUTED_LIMIT if muted[i] else CHROMATIC_LIMIT):
                     choice = k
                     break
                 continue
-            limit = MERGE_LIMIT if policy == "merge" else MUTED_LIMIT if muted[i] or muted[members].any() else CHROMATIC_LIMIT
-            value = d.sum() if policy == "merge" else d.mean()
-            if d.max() <= limit and value < least:
+            limit = MERGE_LIMIT if policy == "merge" else MUTED_LIMIT if muted[i] or some else CHROMATIC_LIMIT
+            value = total if policy == "merge" else total / n
+            if most <= limit and value < least - 1e-12:  # sums of rounds differ in the last digits
                 choice, least = k, value
         if choice < 0:
-            choice = len(clusters)
-            clusters.append([])
-        clusters[choice].append(i)
+            choice = start + i
+        members.setdefault(choice, []).append(i)
+        around.setdefault((x, y, z), set()).add(choice)
         out[i] = choice
     return out
 
 
-def _kernel(policy: str):
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        if len(part) > MOST_POINTS:
-            raise ValueError(f"{len(part)} points are connected; MOST_POINTS is {MOST_POINTS}")
-        part = part.sort_values(["strength", "id"], ascending=[False, True])
-        label = _assign(part[["ll", "la", "lb"]].to_numpy(), (part["chroma"] < MUTED).to_numpy(), policy)
-        first = part["id"].to_numpy()[[int(np.flatnonzero(label == k)[0]) for k in label]] if len(part) else []
-        return pd.DataFrame({"day": part["day"], "id": part["id"], "cluster": first})
-
-    return run
-
-
-def complete_linkage(points: DataFrame, policy: str = "best") -> DataFrame:
+def _kernel(policy: str, later: bool):
+    """One round of a component; a later one also takes what ``near`` holds of the clusters so far."""
+
+    def run(part: pd.DataFrame, near: pd.DataFrame | None = None) -> pd.DataFrame:
+        part = part.sort_values("place")
+        start = int(part["place"].iloc[0]) if len(part) else 0
+        before: dict[int, dict[int, tuple]] = {}
+        if near is not None:
+            for a, k, *rest in near[["a", "cluster", "n", "total", "most", "some", "every"]].itertuples(index=False):
+                before.setdefault(int(a) - start, {})[int(k)] = tuple(rest)
+        label = _assign(part[["ll", "la", "lb"]].to_numpy(), (part["chroma"] < MUTED).to_numpy(), policy, start, before)
+        return pd.DataFrame({"component": part["component"], "place": part["place"], "id": part["id"], "cluster": label})
+
+    return run if later else lambda part: run(part)
+
+
+def _placed(rows: DataFrame) -> DataFrame:
+    """``rows`` with their place from 0 in their component, by strength and id, without a task that has a whole component."""
+    order = [F.col("component"), F.col("strength").desc(), F.col("id")]
+    dealt = settled(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id()))
+    part = F.shiftright("at", 33)
+    at, total = {}, 0
+    for p, n in sorted(dealt.groupBy(part.alias("p")).count().collect()):  # a row a partition
+        at[p] = total
+        total += n
+    if not at:
+        return dealt.select(*rows.columns, F.lit(0).cast("long").alias("place"))
+    first = F.create_map(*[F.lit(x) for kv in at.items() for x in kv])
+    whole = dealt.withColumn("whole", first[part] + F.col("at").bitwiseAND(F.lit((1 << 33) - 1)))
+    begins = whole.groupBy("component").agg(F.min("whole").alias("begin"))
+    return whole.join(begins, "component").select(*rows.columns, (F.col("whole") - F.col("begin")).alias("place"))
+
+
+def complete_linkage(points: DataFrame, policy: str = "best", round_points: int = ROUND_POINTS) -> DataFrame:
     """day, id and cluster (its first point's id) of points with strength, chroma and OKLab, by greedy complete linkage.
 
     A cluster lies inside one connected component of the graph of pairs within
-    the limit, so components are clustered apart: the result is that of the
-    pass over all points of a day.
+    the limit, so components are clustered apart, each in rounds of
+    ``round_points`` points in order.  For a round, aggregates over the pairs
+    say which clusters so far lie wholly within the limit of a point, and at
+    what distances; among its own points the round is sequential.  The result
+    is that of the pass over all points of a day, whatever their number.
     """
-    edges = near_pairs(points, ["day"], CHROMATIC_LIMIT)
+    edges = settled(near_pairs(points, ["day"], CHROMATIC_LIMIT))
     labels = components(edges, points.select(F.col("id").alias("vertex"))).withColumnRenamed("vertex", "id")
     rows = points.select("day", "id", "strength", "chroma", "ll", "la", "lb").join(labels, "id")
-    return rows.groupBy("day", "component").applyInPandas(_kernel(policy), "day date, id long, cluster long")
+    rows = settled(_placed(rows).withColumn("round", F.floor(F.col("place") / round_points)))
+    rounds = (rows.agg(F.max("round")).first()[0] or 0) + 1
+    out = "component long, place long, id long, cluster long"
+    done = settled(rows.where("round = 0").groupBy("component").applyInPandas(_kernel(policy, False), out))
+    if rounds > 1:
+        both = edges.select("a", "b", "distance").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "distance"))
+        point = lambda n: rows.select(F.col("id").alias(n), F.col("round").alias(f"{n}_round"), F.col("place").alias(f"{n}_place"))
+        both = settled(both.join(point("a"), "a").join(point("b"), "b").where("b_round < a_round").select("b", "distance", "a_round", F.col("a_place").alias("a")))
+        kind = rows.select("id", (F.col("chroma") < MUTED).alias("muted"))
+    for k in range(1, rounds):
+        known = done.join(kind, "id").select("component", "cluster", F.col("id").alias("b"), "muted")
+        sizes = known.groupBy("component", "cluster").agg(F.count("*").alias("size"))
+        near = both.where(F.col("a_round") == k).join(known, "b").groupBy("component", "a", "cluster").agg(
+            F.count("*").alias("n"), F.sum("distance").alias("total"), F.max("distance").alias("most"), F.bool_or("muted").alias("some"), F.bool_and("muted").alias("every")
+        )
+        near = near.join(sizes, ["component", "cluster"]).where("n = size").drop("size")
+        new = rows.where(F.col("round") == k).groupBy("component").cogroup(near.groupBy("component")).applyInPandas(_kernel(policy, True), out)
+        done = settled(done.unionByName(new))
+    first = done.where("place = cluster").select("component", "cluster", F.col("id").alias("first"))
+    named = done.join(first, ["component", "cluster"]).select("id", F.col("first").alias("cluster"))
+    return rows.select("day", "id").join(named, "id")
 
 
 def merge_swatches(swatches: DataFrame, parts: int = 64) -> DataFrame:
@@ -85,7 +141,7 @@ def merge_swatches(swatches: DataFrame, parts: int = 64) -> DataFrame:
         cluster = np.zeros(len(part), dtype=np.int64)
         for lo, hi in zip(starts, [*starts[1:], len(part)], strict=True):
             label = _assign(lab[lo:hi], np.zeros(hi - lo, dtype=bool), "merge")
-            cluster[lo:hi] = ids[lo:hi][[int(np.flatnonzero(label == k)[0]) for k in label]]
+            cluster[lo:hi] = ids[lo:hi][label]
         return pd.DataFrame({"id": ids, "cluster": cluster})
 
     rows = swatches.select("image_id", "id", "strength", "ll", "la", "lb")

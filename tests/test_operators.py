@@ -62,6 +62,14 @@ def test_components_apart_equal_the_sequential_pass(spark, policy):
     assert got == sequential(rows.collect(), policy)
 
 
+@pytest.mark.parametrize("policy", ["best", "first"])
+def test_linkage_in_rounds_equals_the_sequential_pass(spark, policy):
+    hexes = [f"#{(k * 37) % 40 + 100:02X}{(k * 53) % 30 + 90:02X}{(k * 71) % 50 + 80:02X}" for k in range(150)]
+    rows = colors(spark, hexes)
+    got = {r.id: r.cluster for r in cluster.complete_linkage(rows, policy, 40).collect()}
+    assert got == sequential(rows.collect(), policy)
+
+
 def test_suppression_equals_the_sequential_pass(spark):
     pairs = [(a, b) for a in range(60) for b in range(a + 1, 60) if (a * 7 + b * 13) % 9 == 0]
     rank = {k: (k * 17) % 11 for k in range(60)}
