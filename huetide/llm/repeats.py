@@ -4,7 +4,7 @@ A word window that repeats has repeated halves.  At half the wanted length the
 smallest-hashed sub-window of each window stands for it (equal windows choose
 equal ones), so a sixth of the positions is counted.  Only windows whose
 half-length representative repeats are extended to the full length and
-compared there; on request, lengths are doubled on until none repeats.
+compared there.
 
 What repeats inside one slice of texts is settled in its task.  Of each window
 a slice sends its first place alone, so a passage in a third of all documents
