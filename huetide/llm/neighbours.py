@@ -1,16 +1,24 @@
 """Approximate nearest neighbours: a hash-prefix forest over row shards.
 
-Each tree gives a vector a string of hash bits (signs of random directions).
-A shard keeps, for each tree, its rows sorted by string.  A query descends in
-every tree to the longest prefix it shares with a row, then all trees ascend
-together, a bit at a time, until enough rows share a prefix; those candidates
-are scored exactly.  Rows are spread over shards and queries come in blocks,
-so a task holds one shard and one block whatever the size of the table.
+Each tree turns a vector by a random matrix and writes its axes in order of
+how far the turned vector points along them (with their signs): a string of
+LEVELS symbols of an alphabet of 2 x AXES.  A shard keeps each tree's rows
+sorted by string.  A query descends in every tree to the rows of the longest
+prefix it shares, and all trees ascend together: a row counts the symbols it
+shares with the query over all trees, and the rows of the highest counts are
+candidates, level by level, until there are enough.  Candidates are scored
+exactly.
+
+Strings see angles, the measure is the inner product.  So rows are sharded by
+norm first (bands of a factor BAND), and inside a shard one more component
+makes all rows equally long.  Rows go to shards, queries in blocks to all
+shards of their length; a task holds one shard and one block whatever the size
+of the table.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -19,119 +27,145 @@ from pyspark.sql import functions as F
 
 from huetide.llm.frames import table
 
-TREES, BITS, SEED = 96, 24, 6
-#: Different rows that must share a prefix before ascending ends: a share of the shard, and a least number.
-#: Vectors without any structure, as 64 independent normal components, need about 0.4 for a recall of 0.9;
-#: clustered ones reach it far below.
-ENOUGH, LEAST = 0.45, 1024
-SHARD_ROWS, BLOCK_QUERIES = 4096, 2048
-RESULT = "query_id long, vec_id long, score double"
+TREES, AXES, LEVELS, SEED = 96, 64, 3, 6
+#: Candidates a query takes from a shard: a share of its rows, and a least number (shards may be small).
+#: Independent normal components, the hardest case, need these for a recall of 0.9; clustered rows need far fewer.
+ENOUGH, LEAST = 0.06, 256
+SHARD_ROWS, BLOCK_QUERIES = 8192, 8192
+BAND = 1.6
+#: Queries of a block that are looked up at once.
+_STEP = 256
+RESULT = "query_id long, vec_id long, score double, looked long"
+
+
+def strings(vectors: np.ndarray, seed: int, trees: int = TREES) -> np.ndarray:
+    """Trees x levels x vectors: the axes farthest along, as symbols."""
+    out = np.empty((trees, LEVELS, len(vectors)), dtype=np.int16)
+    random, at = np.random.default_rng(seed), np.arange(len(vectors))
+    for t in range(trees):
+        turned = vectors @ random.standard_normal((vectors.shape[1], AXES), dtype=np.float32)
+        far = np.abs(turned)
+        for level in range(LEVELS):
+            axis = far.argmax(axis=1)
+            out[t, level] = 2 * axis + (turned[at, axis] > 0)
+            far[at, axis] = -1
+    return out
 
 
 class Forest:
-    def __init__(self, rows: np.ndarray, directions: np.ndarray, middle: np.ndarray):
-        self.directions, self.middle = directions, middle
-        hashes = self.hash(rows)
-        self.order = np.argsort(hashes, axis=1, kind="stable")
-        self.sorted = np.take_along_axis(hashes, self.order, axis=1)
-        self.n = len(rows)
-
-    def hash(self, rows: np.ndarray) -> np.ndarray:
-        """Trees x rows: BITS sign bits as one number, the first bit highest."""
-        bits = ((rows - self.middle) @ self.directions.T > 0).reshape(len(rows), -1, BITS)
-        return (bits.astype(np.int64) << np.arange(BITS - 1, -1, -1)).sum(axis=2).T
-
-    def candidates(self, queries: np.ndarray, enough: int) -> Iterator[tuple[int, np.ndarray]]:
-        """Query number and at least ``enough`` row numbers (all, if fewer), each query once.
-
-        From the longest prefixes up, one bit at a time: a level's ranges are
-        added tree by tree until enough different rows are marked.
-        """
-        hashes, trees, enough = self.hash(queries), len(self.sorted), min(enough, self.n)
-        open_ = np.arange(len(queries))
-        before = [np.zeros((trees, len(queries)), dtype=np.int64)] * 2
-        for level in range(BITS, -1, -1):
-            shift = BITS - level
-            low, high = (np.zeros((trees, len(queries)), dtype=np.int64) for _ in range(2))
-            for t in range(trees):
-                prefix = hashes[t, open_] >> shift
-                low[t, open_] = np.searchsorted(self.sorted[t], prefix << shift)
-                high[t, open_] = np.searchsorted(self.sorted[t], (prefix + 1) << shift)
-            left = []
-            for q in open_:
-                if (high[:, q] - low[:, q]).sum() >= enough:
-                    mark = np.zeros(self.n, dtype=bool)
-                    for t in range(trees):
-                        mark[self.order[t, before[0][t, q] : before[1][t, q]]] = True
-                    have = int(mark.sum())
-                    for t in range(trees):
-                        if have >= enough:
-                            break
-                        mark[self.order[t, low[t, q] : high[t, q]]] = True
-                        have = int(mark.sum())
-                    if have >= enough:
-                        yield q, np.flatnonzero(mark)
-                        continue
-                left.append(q)
-            open_, before = np.array(left, dtype=np.int64), [low, high]
-            if not left:
-                return
+    """Sorted strings of a shard's rows; rows are centred and made equally long."""
+
+    def __init__(self, rows: np.ndarray, seed: int = SEED):
+        self.n, self.seed = len(rows), seed
+        centred = rows - rows.mean(axis=0)
+        square = (centred * centred).sum(axis=1)
+        most = math.sqrt(square.max()) or 1.0
+        self.wide = np.hstack([centred, np.sqrt(np.maximum(most * most - square, 0))[:, None]]) / most
+        symbols = strings(self.wide.astype(np.float32), seed).astype(np.int64)
+        keys = np.zeros((len(symbols), self.n), dtype=np.int64)
+        for level in range(LEVELS):
+            keys = keys * (2 * AXES) + symbols[:, level]
+        order = np.argsort(keys, axis=1, kind="stable")
+        self.sorted, self.order = np.take_along_axis(keys, order, axis=1), order.astype(np.int32)
+
+    def shared(self, queries: np.ndarray) -> np.ndarray:
+        """Queries x rows: shared symbols of all trees' prefixes."""
+        n = len(queries)
+        size = np.sqrt((queries * queries).sum(axis=1, keepdims=True))
+        symbols = strings(np.hstack([queries / np.maximum(size, 1e-300), np.zeros((n, 1))]).astype(np.float32), self.seed).astype(np.int64)
+        cells, base = [], np.arange(n, dtype=np.int32) * np.int32(self.n)
+        for t in range(len(symbols)):
+            key = np.zeros(n, dtype=np.int64)
+            for level in range(LEVELS):
+                key, width = key * (2 * AXES) + symbols[t, level], (2 * AXES) ** (LEVELS - 1 - level)
+                low = np.searchsorted(self.sorted[t], key * width)
+                many = np.searchsorted(self.sorted[t], (key + 1) * width) - low
+                ends = np.cumsum(many)
+                place = np.arange(ends[-1]) + np.repeat(low - ends + many, many)
+                cells.append(np.repeat(base, many) + self.order[t, place])
+        return np.bincount(np.concatenate(cells), minlength=n * self.n).reshape(n, self.n)
+
+    def candidates(self, queries: np.ndarray, enough: int) -> np.ndarray:
+        """Queries x rows: whether a row is among those that share most with the query, ties included, ``enough`` or all at least."""
+        if enough >= self.n:
+            return np.ones((len(queries), self.n), dtype=bool)
+        shared = self.shared(queries).astype(np.int16)
+        return shared >= np.partition(shared, self.n - enough, axis=1)[:, self.n - enough, None]
+
+
+def energy(vector: Column) -> Column:
+    """Sum of squares; null with a null component."""
+    return F.aggregate(vector, F.lit(0.0), lambda a, x: a + x * x)
 
 
 def usable(vector: Column) -> Column:
     """Not null or empty, no null or non-finite component, not zero."""
     bad = lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))
-    return vector.isNotNull() & ~F.exists(vector, bad) & F.exists(vector, lambda x: x != 0)
+    exact = vector.isNotNull() & ~F.exists(vector, bad) & F.exists(vector, lambda x: x != 0)
+    return F.when(energy(vector).between(1e-290, 1e300), True).otherwise(exact)  # the sum settles all but extremes
 
 
-def nearest(rows: DataFrame, queries: Column, k: int = 20, enough: float = ENOUGH, shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """The k nearest rows found for each row that ``queries`` selects, by inner product.
-
-    ``rows`` has vec_id and embedding; returns query_id, rank, vec_id and
-    score, the exact inner product in double precision.  Ties go to the
-    smaller vec_id.  Vectors that are null, zero, or hold null or non-finite
-    components take no part.  A row isn't its own neighbour; rows that repeat
-    a vec_id count once (any one of them).  All vectors need the same length;
-    those of another length than most take no part.  Other input columns are
-    ignored.  An empty table gives no rows.
-    """
+def searched(rows: DataFrame, queries: Column, k: int = 20, enough: float = ENOUGH, least: int = LEAST, shard_rows: int = SHARD_ROWS) -> DataFrame:
+    """RESULT of each query and shard: its k nearest candidates there, and how many rows were looked at."""
     spark = rows.sparkSession
-    vectors = rows.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>").alias("embedding")).where(F.col("vec_id").isNotNull() & usable(F.col("embedding")))
-    sizes = vectors.groupBy(F.size("embedding").alias("d")).agg(F.count("*").alias("n"), F.count(F.when(queries, 1)).alias("q")).orderBy(F.desc("n"), "d").limit(1).collect()
-    if not sizes:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    width, n, q = sizes[0]
-    vectors = vectors.where(F.size("embedding") == width)
-    sample = np.array([r[0] for r in vectors.where(F.pmod(F.xxhash64("vec_id"), F.lit(max(1, n // 2048))) == 0).limit(4096).select("embedding").collect()] or [[0.0] * width])
-    directions = np.random.default_rng(SEED).standard_normal((TREES * BITS, width))
-    sent = spark.sparkContext.broadcast((directions.astype(np.float32), sample.mean(axis=0).astype(np.float32)))
-    shards, blocks = max(1, -(-n // shard_rows)), max(1, -(-q // BLOCK_QUERIES))
-    hashed = F.xxhash64("vec_id")
-    every = lambda many, name: F.explode(F.sequence(F.lit(0), F.lit(many - 1))).alias(name)
-    row = vectors.select("vec_id", "embedding", F.lit(False).alias("asks"), F.pmod(hashed, F.lit(shards)).cast("int").alias("shard"), every(blocks, "block"))
-    ask = vectors.where(queries).select("vec_id", "embedding", F.lit(True).alias("asks"), every(shards, "shard"), F.pmod(hashed, F.lit(blocks)).cast("int").alias("block"))
+    vectors = rows.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>").alias("embedding"))
+    vectors = vectors.where(F.col("vec_id").isNotNull() & usable(F.col("embedding")))
+    norm = F.sqrt(energy(F.col("embedding")))
+    banded = lambda df: df.select("vec_id", "embedding", F.size("embedding").alias("width"), F.coalesce(F.floor(F.log(norm) / math.log(BAND) + 0.5), F.lit(-1)).cast("int").alias("band"))
+    sizes = banded(vectors).groupBy("width", "band").agg(F.count("*").alias("n"), F.count(F.when(queries, 1)).alias("q")).collect()  # a row a band of norms
+    if not any(r["q"] for r in sizes):
+        return spark.createDataFrame([], RESULT)
+    blocks = max(1, -(-sum(r["q"] for r in sizes) // BLOCK_QUERIES))
+    vectors = banded(vectors.groupBy("vec_id").agg(F.min("embedding").alias("embedding")))
+    plan = F.broadcast(spark.createDataFrame([(r["width"], r["band"], -(-r["n"] // shard_rows)) for r in sizes], "width int, band int, shards int"))
+    hashed = lambda many: F.pmod(F.xxhash64("vec_id"), many).cast("int")
+    every = lambda many, name: F.explode(F.sequence(F.lit(0), many - 1)).alias(name)
+    columns = ["vec_id", "embedding", "asks", "width", "band", "shard", "block"]
+    row = vectors.join(plan, ["width", "band"]).select("*", F.lit(False).alias("asks"), hashed(F.col("shards")).alias("shard"), every(F.lit(blocks), "block"))
+    ask = vectors.where(queries).drop("band").join(plan, "width").select("*", F.lit(True).alias("asks"), every(F.col("shards"), "shard"), hashed(F.lit(blocks)).alias("block"))
 
     def search(part: pa.Table) -> pa.Table:
-        directions, middle = sent.value
         asks = part.column("asks").to_numpy()
         ids = part.column("vec_id").to_numpy()
         matrix = part.column("embedding").combine_chunks().flatten().to_numpy().reshape(len(ids), -1)
-        own, first = np.unique(ids[~asks], return_index=True)
-        rows = matrix[~asks][first]
-        asked, first = np.unique(ids[asks], return_index=True)
-        wanted = matrix[asks][first]
-        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        by = np.argsort(ids[~asks])
+        own, data = ids[~asks][by], matrix[~asks][by]
+        asked, wanted = ids[asks], matrix[asks]
+        out: list[list[np.ndarray]] = [[] for _ in range(4)]
         if len(own) and len(asked):
-            forest = Forest(rows, directions, middle)
-            for q, found in forest.candidates(wanted, max(k + 1, LEAST, int(enough * len(own)))):
-                found = found[own[found] != asked[q]]
-                score = (rows[found] * wanted[q]).sum(axis=1)
-                best = np.lexsort((own[found], -score))[:k]
-                out.append((np.full(len(best), asked[q]), own[found][best], score[best]))
-        columns = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0, dtype=np.int64)] * 2 + [np.zeros(0)]
-        return pa.table({"query_id": columns[0].astype(np.int64), "vec_id": columns[1].astype(np.int64), "score": columns[2]})
-
-    found = row.unionByName(ask).groupBy("shard", "block").applyInArrow(search, RESULT)
+            forest = Forest(data)
+            for lo in range(0, len(asked), _STEP):
+                part_ids, part_rows = asked[lo : lo + _STEP], wanted[lo : lo + _STEP]
+                chosen = forest.candidates(part_rows, max(k + 1, least, math.ceil(enough * len(own))))
+                for at, (query, vector) in enumerate(zip(part_ids, part_rows, strict=True)):
+                    r = np.flatnonzero(chosen[at] & (own != query))
+                    score = (data[r] * vector).sum(axis=1)
+                    if len(r) > k:  # those below the k-th score go
+                        near = score >= np.partition(score, len(r) - k)[len(r) - k]
+                        best, looked, score = r[near], len(r), score[near]
+                    else:
+                        best, looked = r, len(r)
+                    by = np.lexsort((best, -score))[:k]  # rows stand by id
+                    for column, values in zip(out, (np.full(len(by), query), own[best[by]], score[by], np.full(len(by), looked)), strict=True):
+                        column.append(values)
+        kinds = (np.int64, np.int64, np.float64, np.int64)
+        return pa.table({name: np.concatenate([*column, np.zeros(0, dtype=kind)]).astype(kind) for name, column, kind in zip(("query_id", "vec_id", "score", "looked"), out, kinds, strict=True)})
+
+    return row.select(columns).unionByName(ask.select(columns)).groupBy("width", "band", "shard", "block").applyInArrow(search, RESULT)
+
+
+def nearest(rows: DataFrame, queries: Column, k: int = 20, enough: float = ENOUGH, least: int = LEAST, shard_rows: int = SHARD_ROWS) -> DataFrame:
+    """The k nearest rows found for each row that ``queries`` selects, by inner product.
+
+    ``rows`` has vec_id and embedding; returns query_id, rank, vec_id and
+    score, the exact inner product in double precision.  Ties go to the
+    smaller vec_id.  Vectors that are null, zero, or hold null or non-finite
+    components take no part.  A row isn't its own neighbour; rows that repeat
+    a vec_id count once, with the smallest of their vectors.  An inner product
+    needs two vectors of one length, so a query is answered by those of its
+    own.  Other input columns are ignored.  An empty table gives no rows.
+    """
+    found = searched(rows, queries, k, enough, least, shard_rows)
     ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
     return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
