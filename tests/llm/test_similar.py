@@ -60,6 +60,19 @@ def test_components_like_brute_force(spark):
     assert rows(similar.similar_documents(docs.unionAll(docs).repartition(3))[0]) == want
 
 
+def test_copies_over_many_partitions_and_one_line_everywhere(spark):
+    line = "one line that stands in half of all texts and says nothing new to anyone at all today "
+    texts = ["copy " * 3 + "of one text that is there four hundred times with some more words"] * 400
+    texts += [line + " ".join(f"own{k}x{i}" for i in range(k % 7)) for k in range(200)] + near_copies(5, 3, 12, 50) + [None, ""]
+    ids = list(range(len(texts)))
+    docs = documents(spark, texts).repartition(60)
+    nulls = docs.where("doc_id < 3").selectExpr("cast(null as long) doc_id", "text", "lang", "source", "n_chars", "found", "n_words")
+    got, pairs = similar.similar_documents(docs.unionAll(nulls))
+    assert rows(got.where("doc_id is not null")) == brute(ids, texts)
+    assert [r.component_id for r in got.where("doc_id is null").collect()] == [None] * 3
+    assert pairs.count() < 2000  # copies aren't compared with one another
+
+
 def test_more_ids_than_may_be_sent(spark, monkeypatch):
     monkeypatch.setattr(similar, "SEND", 5)
     texts = near_copies(3, 5, 8, 40)
