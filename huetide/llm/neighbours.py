@@ -27,10 +27,10 @@ from pyspark.sql import functions as F
 
 from huetide.llm.frames import table
 
-TREES, AXES, LEVELS, SEED = 96, 64, 3, 6
+TREES, AXES, LEVELS, SEED = 80, 64, 3, 6
 #: Candidates a query takes from a shard: a share of its rows, and a least number (shards may be small).
 #: Independent normal components, the hardest case, need these for a recall of 0.9; clustered rows need far fewer.
-ENOUGH, LEAST = 0.06, 256
+ENOUGH, LEAST = 0.06, 384
 SHARD_ROWS, BLOCK_QUERIES = 8192, 8192
 BAND = 1.6
 #: Queries of a block that are looked up at once.

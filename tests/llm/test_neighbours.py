@@ -34,7 +34,7 @@ def test_recall_and_scores_of_the_query(spark):
     assert set(got.query_id) == set(ids[ids % 20 == 0])
     assert recall(ids, matrix, got) >= 0.9
     looked = neighbours.searched(data, F.col("vec_id") % 20 == 0).groupBy("query_id", F.col("looked")).count().toPandas()
-    assert looked.looked.mean() < 0.25 * len(ids)  # far from a scan
+    assert looked.looked.mean() < 0.3 * len(ids)  # far from a scan
 
 
 @pytest.mark.parametrize("kind", ["clustered", "spread norms", "far from the origin"])
