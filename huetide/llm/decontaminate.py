@@ -2,8 +2,9 @@
 
 Each task turns slices of its documents into shards: the words of a slice as
 one sequence with a suffix array over it.  Every suffix of every benchmark
-item is looked up by binary search, one word deeper at a time, which gives its
-longest verbatim match and all its places.  Benchmark items reach the tasks by
+item is looked up by binary search, one word deeper at a time to the depth of
+a window, which gives all its places; suffixes that follow one another at
+places that follow one another make up the longest verbatim match.  Benchmark items reach the tasks by
 broadcast in blocks of a fixed size, so a benchmark of any size works; the
 documents are never shuffled.
 """
@@ -19,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from huetide.llm.frames import kept, table
-from huetide.llm.tokens import ALNUM, Words, chunks, spans_of
+from huetide.llm.tokens import ALNUM, Words, chunks, mix, spans_of
 
 WINDOW = 10
 #: Bytes of benchmark text in one broadcast.
@@ -91,41 +92,62 @@ def four(words: np.ndarray) -> np.ndarray:
 
 
 class Tests:
-    """The suffixes of a block of benchmark items."""
+    """The suffixes of a block of benchmark items, by window: suffixes with equal windows are looked up once."""
 
     def __init__(self, ids: list[str], texts: list[str], window: int):
         words = Words(pa.array(texts, pa.string()), ALNUM, lower=True)
         self.hashes, self.ids = words.hashes(), np.array(ids, dtype=object)
         item, length = words.texts(), words.counts
-        self.item = item
-        self.left = np.repeat(words.offsets[1:], length) - np.arange(len(words))
-        self.need = np.minimum(length, window)[item]
-        self.depth = int(length.max(initial=0))
-
-
-def search(shard: np.ndarray, tests: Tests) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """For each depth from the window on: places in the shard, the test suffixes that match there, their window and the depth."""
+        left = np.repeat(words.offsets[1:], length) - np.arange(len(words))
+        need = np.minimum(length, window)[item]
+        at = np.flatnonzero(left >= need)
+        name = np.zeros(len(at), dtype=np.uint64)
+        for k in range(window):
+            on = need[at] > k
+            name[on] = mix(name[on] + self.hashes[at[on] + k] + _U(k))
+        self.depth = int(need.max(initial=0))
+        self.at, self.item = at, item[at]
+        _, self.first, self.window = np.unique(name, return_index=True, return_inverse=True)
+        self.start, self.need = at[self.first], need[at[self.first]]
+        # suffixes by window, and windows of each item once
+        self.by = np.argsort(self.window, kind="stable")
+        self.bounds = np.searchsorted(self.window[self.by], np.arange(len(self.first) + 1))
+
+
+def search(shard: np.ndarray, tests: Tests) -> Iterator[tuple[int, np.ndarray]]:
+    """Each window of the tests that stands in the shard, with its places, ascending."""
     suffixes = Suffixes(shard, tests.depth)
-    alive = np.flatnonzero(tests.left >= tests.need)
+    alive = np.arange(len(tests.start))
     lo, hi = np.zeros(len(alive), dtype=np.int64), np.full(len(alive), len(shard), dtype=np.int64)
     for depth in range(tests.depth):
-        on = tests.left[alive] > depth
-        alive, lo, hi = alive[on], lo[on], hi[on]
-        lo, hi = suffixes.narrow(lo, hi, depth, tests.hashes[alive + depth] & _U(0xFFFF))
+        lo, hi = suffixes.narrow(lo, hi, depth, tests.hashes[tests.start[alive] + depth] & _U(0xFFFF))
         on = lo < hi
         alive, lo, hi = alive[on], lo[on], hi[on]
+        done = tests.need[alive] == depth + 1
+        for w, a, b in zip(alive[done].tolist(), lo[done].tolist(), hi[done].tolist(), strict=True):
+            place = np.sort(suffixes.order[a:b])
+            for k in range(depth + 1):  # 16 bits led here; the whole hashes decide
+                place = place[shard[place + k] == tests.hashes[tests.start[w] + k]]
+            if len(place):
+                yield w, place
+        alive, lo, hi = alive[~done], lo[~done], hi[~done]
         if not len(alive):
             return
-        full = np.flatnonzero(tests.need[alive] <= depth + 1)
-        if len(full):
-            size = (hi - lo)[full]
-            which = np.repeat(alive[full], size)
-            step = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-            place = suffixes.order[np.repeat(lo[full], size) + step]
-            same = np.ones(len(place), dtype=bool)
-            for k in range(depth + 1):  # 16 bits led here; the whole hashes decide
-                same[same] = shard[place[same] + k] == tests.hashes[which[same] + k]
-            yield place[same], which[same], tests.need[which[same]], np.full(int(same.sum()), depth + 1)
+
+
+def longest_matches(found: dict[int, np.ndarray], tests: Tests) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places and the words that match from a suffix of a test up to the end of the window there, suffix by suffix."""
+    hit = np.zeros(len(tests.first), dtype=bool)
+    hit[list(found)] = True
+    before, places, sizes = -2, np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+    for k in np.flatnonzero(hit[tests.window]).tolist():
+        w = int(tests.window[k])
+        own, size = found[w], np.full(len(found[w]), tests.need[w])
+        if k == before + 1 and tests.item[k] == tests.item[before] and len(places):
+            at = np.minimum(np.searchsorted(places, own - 1), len(places) - 1)
+            size = np.where(places[at] == own - 1, sizes[at] + 1, size)
+        before, places, sizes = k, own, size
+        yield own, size
 
 
 def decontaminate(
@@ -144,7 +166,7 @@ def decontaminate(
     items = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("string"), F.col("text").cast("string"))
     total = items.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
     parts = max(1, -(-total // block_bytes))
-    state = "_state"
+    state = "_state_of_marks"
     empty = F.lit(None).cast("struct<n_words:bigint,bits:binary,items:array<string>,longest:bigint>")
     out = docs.select(*carry, F.col("text").cast("string").alias("_text"), empty.alias(state))
     if parts > 1:
@@ -168,7 +190,7 @@ def _marker(sent, window: int, state: str):
                 n, texts = batch.num_rows, words.texts()
                 before = batch.column(state).to_pylist()
                 hit, longest = np.zeros(len(words) + 1, dtype=np.int64), np.zeros(n, dtype=np.int64)
-                pairs: set[tuple[int, int]] = set()
+                pairs: dict[int, set[int]] = {}
                 if len(words) and len(tests.hashes):
                     # one 0, no word's hash, after each text's last word keeps matches inside texts
                     at = np.arange(len(words)) + texts
@@ -176,17 +198,18 @@ def _marker(sent, window: int, state: str):
                     shard[at] = words.hashes()
                     word = np.zeros(len(shard), dtype=np.int64)
                     word[at] = np.arange(len(words))
-                    for place, which, need, depth in search(shard, tests):
-                        first = word[place]
-                        np.maximum.at(longest, texts[first], depth)
-                        now = depth == need
-                        np.add.at(hit, first[now], 1)
-                        np.add.at(hit, first[now] + need[now], -1)
-                        pairs.update(zip(texts[first[now]].tolist(), tests.item[which[now]].tolist(), strict=True))
+                    windows = dict(search(shard, tests))
+                    for w, place in windows.items():
+                        first, need = word[place], tests.need[w]
+                        hit[first] += 1
+                        np.add.at(hit, first + need, -1)
+                        of = np.unique(tests.item[tests.by[tests.bounds[w] : tests.bounds[w + 1]]])
+                        for t in np.unique(texts[first]).tolist():
+                            pairs.setdefault(t, set()).update(of.tolist())
+                    for place, size in longest_matches(windows, tests):
+                        np.maximum.at(longest, texts[word[place]], size)
                 hit = np.cumsum(hit)[:-1] > 0
-                found: dict[int, set[str]] = {}
-                for t, i in pairs:
-                    found.setdefault(t, set()).add(tests.ids[i])
+                found = {t: {tests.ids[i] for i in items} for t, items in pairs.items()}
                 rows = []
                 for t in range(n):
                     own, old = hit[words.offsets[t] : words.offsets[t + 1]], before[t]
@@ -224,4 +247,4 @@ def _finisher(carry: list[str], state: str, schema):
 def op2_suffix_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document against every benchmark item."""
     out = decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
-    return out.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "longest_match")
+    return out.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
