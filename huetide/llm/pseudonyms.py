@@ -9,6 +9,7 @@ One pass over the texts, no shuffle.
 
 from __future__ import annotations
 
+import bisect
 import datetime as dt
 import functools
 import hashlib
@@ -155,6 +156,11 @@ def _date_parts(s: str) -> tuple[dt.date, str] | None:
     return (day, order) if FIRST_DAY <= day.toordinal() <= LAST_DAY else None
 
 
+def _day_kind(day: dt.date) -> tuple[bool, bool, bool]:
+    """What a pseudonym keeps: whether the day may be taken for a month, and how many digits the parts have without padding."""
+    return day.day > 12, day.day > 9, day.month > 9
+
+
 def _date(f: Feistel, s: str, back: bool) -> str | None:
     if (got := _date_parts(s)) is None:
         return None
@@ -162,12 +168,11 @@ def _date(f: Feistel, s: str, back: bool) -> str | None:
     mark = re.search("[-/.]", s)[0]
     wide = {k: len(p) > 1 for k, p in zip(order, re.split("[-/.]", s), strict=True)}
     padded = wide["m"] and wide["d"]
-    x, n = day.toordinal() - FIRST_DAY, LAST_DAY - FIRST_DAY + 1
-    while True:
+    x, n, kind = day.toordinal() - FIRST_DAY, LAST_DAY - FIRST_DAY + 1, _day_kind(day)
+    while True:  # within days of one kind, so that the pseudonym is the same day in every way of writing
         x = f.permute("date", x, n, back)
         day = dt.date.fromordinal(x + FIRST_DAY)
-        narrow = padded or ((day.month > 9) == wide["m"] and (day.day > 9) == wide["d"])  # without padding the widths stay
-        if narrow and (order != "dmy" or day.day > 12):  # else the text would be read as month, day
+        if _day_kind(day) == kind:
             break
     put = {"y": f"{day.year:04d}", "m": f"{day.month:02d}" if padded else str(day.month), "d": f"{day.day:02d}" if padded else str(day.day)}
     return mark.join(put[k] for k in order)
@@ -252,16 +257,20 @@ def replace(text: str, make) -> tuple[str, list[tuple[str, int, int, str]]]:
     """The text with pseudonyms, and kind, span in the original and pseudonym of each."""
     if not _NEED.search(text):
         return text, []
-    taken: list[tuple[int, int, str, str]] = []
+    taken: list[tuple[int, int, str, str]] = []  # by start, none overlapping
     for kind in PATTERNS:
-        done = 0
+        done, found = 0, []
         for start, ends in candidates(kind, text):
-            for end in ends if start >= done else ():
-                if (new := make(kind, text[start:end])) is not None and all(end <= a or start >= b for a, b, _, _ in taken):
-                    taken.append((start, end, kind, new))
+            if start < done:
+                continue
+            at = bisect.bisect_right(taken, (start, len(text) + 1))
+            low, high = taken[at - 1][1] if at else 0, taken[at][0] if at < len(taken) else len(text)
+            for end in ends if start >= low else ():
+                if end <= high and (new := make(kind, text[start:end])) is not None:
+                    found.append((start, end, kind, new))
                     done = end
                     break
-    taken.sort()
+        taken = sorted(taken + found)
     out, at = [], 0
     for a, b, _, new in taken:
         out += [text[at:a], new]
