@@ -67,6 +67,9 @@ RULES: list[Rule] = [
     ("payment", ("sk_live_", "rk_live_"), re.compile(rb"[sr]k_live_[0-9A-Za-z]{24,}"), lambda m: True),
     ("cloud", ("aiza",), re.compile(rb"AIza[0-9A-Za-z_-]{35}(?![0-9A-Za-z_-])"), lambda m: True),
 ]
+#: Kinds whose expression begins with one run of these characters that must end before what follows: where it fails
+#: at a keyword, it fails at every later keyword of the same run.
+RUNS = {"webtoken": re.compile(rb"[A-Za-z0-9_-]+")}
 HEX = re.compile(rb"[0-9a-f]{24,}")
 KINDS = ["assign", "access", "hex", *(r[0] for r in RULES[2:])]
 
@@ -74,14 +77,18 @@ KINDS = ["assign", "access", "hex", *(r[0] for r in RULES[2:])]
 def find(raw: bytes, gate: Keywords, by_word: dict[str, Rule]) -> list[tuple[int, int, str]]:
     """Byte spans of a text's secrets by start, then by the order of KINDS."""
     spans = [(m.start(), m.end(), "hex") for m in HEX.finditer(raw)]
-    past: dict[str, int] = {}
+    past: dict[str, int] = {}  # where a kind may begin again
     for at, word in sorted(gate.hits(raw.lower())):
         kind, _, pattern, holds = by_word[word]
         # as a search from left to right would: nothing begins inside an earlier match of its kind, kept or not
-        if at >= past.get(kind, 0) and (m := pattern.match(raw, at)):
+        if at < past.get(kind, 0):
+            continue
+        if m := pattern.match(raw, at):
             past[kind] = m.end()
             if holds(m):
                 spans.append((at, m.end(), kind))
+        elif kind in RUNS and (run := RUNS[kind].match(raw, at)):
+            past[kind] = run.end()
     return sorted(spans, key=lambda s: (s[0], KINDS.index(s[2])))
 
 
