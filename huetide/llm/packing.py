@@ -26,16 +26,22 @@ def boundaries(lengths: np.ndarray, counts: np.ndarray, buckets: int) -> list[in
     n = len(lengths)
     if n <= buckets:
         return [int(x) for x in lengths]
-    seen = np.concatenate(([0], np.cumsum(counts)))
+    size, seen = [int(x) for x in lengths], [0, *np.cumsum(counts).tolist()]
     # cost without the constant sum of lengths: sequences up to i after cut j are padded to lengths[i - 1]
-    best = np.concatenate(([0.0], lengths * seen[1:].astype(float)))
+    best = [0, *(s * c for s, c in zip(size, seen[1:], strict=True))]
     cuts = []
     for _ in range(buckets - 1):
-        cut, new = np.zeros(n + 1, dtype=int), best.copy()
+        # best[j] - seen[j] * length is a line for each cut j, falling faster for later ones: their lower envelope, from left to right
+        cut, new, lines, at = [0] * (n + 1), best[:], [], 0
         for i in range(1, n + 1):
-            cost = best[:i] + lengths[i - 1] * (seen[i] - seen[:i]).astype(float)
-            j = int(np.argmin(cost))
-            cut[i], new[i] = j, cost[j]
+            j = i - 1
+            while len(lines) - at > 1 and (best[j] - best[lines[-2]]) * (seen[lines[-1]] - seen[lines[-2]]) <= (best[lines[-1]] - best[lines[-2]]) * (seen[j] - seen[lines[-2]]):
+                lines.pop()
+            lines.append(j)
+            while len(lines) - at > 1 and best[lines[at + 1]] - seen[lines[at + 1]] * size[i - 1] < best[lines[at]] - seen[lines[at]] * size[i - 1]:
+                at += 1
+            cut[i] = lines[at]
+            new[i] = best[lines[at]] + size[i - 1] * (seen[i] - seen[lines[at]])
         cuts.append(cut)
         best = new
     out, i = [], n
@@ -63,8 +69,10 @@ def pack(lengths: DataFrame, buckets: int = BUCKETS, max_tokens: int = MAX_TOKEN
     spark = lengths.sparkSession
     n = F.coalesce(F.col("n_tokens").cast("long"), F.lit(0).cast("long"))
     step = F.lit(max_tokens).cast("long")
-    seqs = lengths.select("doc_id", n.alias("_n")).select("doc_id", "_n", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.lit(0), F.ceil(F.col("_n") / step) - 1))).alias("piece"))
-    seqs = seqs.select("doc_id", "piece", (F.col("piece") * step).alias("first_token"), F.least(step, F.col("_n") - F.col("piece") * step).alias("n_tokens"))
+    # read once; _salt, fixed by being written, deals out rows that repeat a doc_id or have none
+    lengths = written(lengths.select("doc_id", n.alias("_n"), F.monotonically_increasing_id().alias("_salt")), "lengths")
+    seqs = lengths.select("doc_id", "_n", "_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.lit(0), F.ceil(F.col("_n") / step) - 1))).alias("piece"))
+    seqs = seqs.select("doc_id", "piece", "_salt", (F.col("piece") * step).alias("first_token"), F.least(step, F.col("_n") - F.col("piece") * step).alias("n_tokens"))
     counted = seqs.where("n_tokens > 0").groupBy("n_tokens").count().orderBy("n_tokens").collect()  # max_tokens rows at most
     size, count = np.array([r[0] for r in counted], dtype=np.int64), np.array([r[1] for r in counted], dtype=np.int64)
     bounds = boundaries(size, count, buckets)
@@ -75,11 +83,11 @@ def pack(lengths: DataFrame, buckets: int = BUCKETS, max_tokens: int = MAX_TOKEN
         rows += [(int(s), k, bound, shards, max(1, budget // bound)) for s in size[lo:hi]]
         lo = hi
     plan = spark.createDataFrame(rows, "n_tokens long, _bucket int, bucket_tokens int, _shards long, _room long")
-    placed = seqs.join(F.broadcast(plan), "n_tokens", "left").withColumn("_shard", F.pmod(F.xxhash64("doc_id", "piece"), F.col("_shards")))
+    placed = seqs.join(F.broadcast(plan), "n_tokens", "left").withColumn("_shard", F.pmod(F.xxhash64("doc_id", "piece", "_salt"), F.col("_shards")))
     full = placed.where("_bucket is not null")
     before = Window.partitionBy("_bucket").orderBy("_shard").rowsBetween(Window.unboundedPreceding, -1)
     offsets = full.groupBy("_bucket", "_shard").agg(F.count("*").alias("_rows")).select("_bucket", "_shard", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_before"))
-    rank = F.row_number().over(Window.partitionBy("_bucket", "_shard").orderBy("doc_id", "piece"))
+    rank = F.row_number().over(Window.partitionBy("_bucket", "_shard").orderBy("doc_id", "piece", "_salt"))
     place = F.col("_before") + F.col("_rank") - 1
     packed = full.withColumn("_rank", rank).join(offsets, ["_bucket", "_shard"]).select(
         "doc_id",
@@ -100,7 +108,7 @@ def token_counts(docs: DataFrame) -> DataFrame:
 
 
 def pack_documents(docs: DataFrame) -> DataFrame:
-    return pack(written(token_counts(docs), "lengths"))  # the texts are read once
+    return pack(token_counts(docs))
 
 
 def op7_length_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
