@@ -1,11 +1,13 @@
 """Language identification with string kernels.
 
 The kernel of two texts is the cosine of their sets of byte n-grams, of
-lengths 1 to 4 blended.  Nystrom landmarks stand for the training texts and
-kernel ridge regression, one language against the rest, is solved over them.
-As the kernel is a product of presence vectors, landmarks times coefficients
-is one matrix from n-grams to languages; a task scores its texts as products
-of a batch of presence vectors with it.
+lengths 1 to 4 blended, averaged over the pieces of long texts.  Nystrom
+landmarks stand for the training texts and kernel ridge regression, one
+language against the rest, is solved over them.  As the kernel is a product of
+presence vectors, landmarks times coefficients is one matrix from n-grams to
+languages; a task scores its texts as products of a batch of presence vectors
+with it.  n-grams are hashed to GRAMS slots; tests hold the predictions against
+the exact kernel.
 """
 
 from __future__ import annotations
@@ -14,20 +16,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from huetide.llm.frames import kept, table
 from huetide.llm.tokens import LOWER, chunks, text_bytes
 
-#: Training texts and landmarks a language (bounds of what reaches the driver), and bytes of a piece of text.
-TRAIN, LANDMARKS, PIECE = 400, 48, 2048
-GRAMS = 8192
+#: Training texts and landmarks a language (bounds of what reaches the driver: a vector of GRAMS half floats a text), and bytes of a piece of text.
+TRAIN, LANDMARKS, PIECE = 200, 48, 2048
+GRAMS = 1 << 14
 RIDGE = 1e-3
-RESULT = "lang_pred string, score double"
+RESULT = "lang_pred string, score double, margin double"
 _FOLD = LOWER.copy()
 _FOLD[[c for c in range(128) if not chr(c).isalpha()]] = 0x20
-_BATCH = 256
+_BATCH = 128
 
 
 def presence(data: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -42,7 +44,7 @@ def presence(data: np.ndarray, at: np.ndarray) -> np.ndarray:
         m = len(text) - n + 1
         code = code[:m] * np.uint32(0x01000193) + text[n - 1 :] + np.uint32(n)
         inside = row[:m] == row[n - 1 :]
-        slot = (code * np.uint32(0x9E3779B1)) >> np.uint32(19)  # 13 bits: GRAMS
+        slot = (code * np.uint32(0x9E3779B1)) >> np.uint32(18)  # 14 bits: GRAMS
         flat[(row[:m] * GRAMS + slot)[inside]] = 1
     out /= np.sqrt(np.maximum(out.sum(axis=1, keepdims=True), 1))
     return out
@@ -57,13 +59,21 @@ def pieces(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.append(starts, at[-1]), owner
 
 
-def fit(texts: list[bytes], langs: list[str]) -> tuple[list[str], np.ndarray]:
-    """Languages, and the matrix from n-gram presence to one score a language (+1 it is, -1 it isn't)."""
+def vectors(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """A vector a text: the mean of its pieces' presence vectors, weighted by length."""
+    bounds, owner = pieces(at)
+    out = np.zeros((len(at) - 1, GRAMS), dtype=np.float32)
+    for lo in range(0, len(owner), _BATCH):
+        part = bounds[lo : lo + _BATCH + 1]
+        np.add.at(out, owner[lo : lo + _BATCH], np.diff(part)[:, None] * presence(data[part[0] : part[-1]], part - part[0]))
+    return out / np.maximum(np.diff(at), 1)[:, None]
+
+
+def fit(x: np.ndarray, langs: list[str]) -> tuple[list[str], np.ndarray]:
+    """Languages, and the matrix from n-gram presence to one score a language (+1 it is, -1 it isn't), from vectors of texts."""
     names = sorted(set(langs))
     if not names:
         return [], np.zeros((GRAMS, 0), dtype=np.float32)
-    data = np.frombuffer(b"".join(texts), dtype=np.uint8)
-    x = presence(data, np.concatenate(([0], np.cumsum([len(t) for t in texts]))))
     y = np.where(np.array(langs)[:, None] == np.array(names)[None, :], 1.0, -1.0)
     weight = (1 / np.array([langs.count(n) for n in names]))[[names.index(n) for n in langs]]
     marks = np.concatenate([[i for i, n in enumerate(langs) if n == name][:LANDMARKS] for name in names]).astype(int)
@@ -79,24 +89,27 @@ def fit(texts: list[bytes], langs: list[str]) -> tuple[list[str], np.ndarray]:
 
 
 def train(labelled: DataFrame) -> tuple[list[str], np.ndarray]:
-    """The model from a sample of at most TRAIN texts a language, one piece of each at a place that its id decides."""
+    """The model from a sample of at most TRAIN whole texts a language, chosen by a hash of their ids."""
     rows = labelled.where("text is not null and lang is not null and text rlike '[\\\\p{L}]'")
     counts = {r[0]: r[1] for r in rows.groupBy("lang").count().collect()}  # a row a language
     if not counts:
-        return fit([], [])
+        return fit(np.zeros((0, GRAMS)), [])
     order = F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(1 << 20))
     share = F.create_map(*[F.lit(v) for k, n in counts.items() for v in (k, int(min(1.0, 1.3 * TRAIN / n) * (1 << 20)) + 1)])
-    start = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.greatest(F.lit(1), F.length("text") - PIECE)) + 1
-    sample = rows.where(order < share[F.col("lang")]).select("lang", order.alias("o"), "doc_id", F.substring(F.col("text"), start.cast("int"), F.lit(PIECE)).alias("piece"))
-    by: dict[str, list[tuple]] = {}
-    for r in sample.toLocalIterator():  # about 1.3 TRAIN pieces a language
-        by.setdefault(r["lang"], []).append((r["o"], r["doc_id"], r["piece"]))
-    texts, langs = [], []
-    for lang in sorted(by):
-        for _, _, piece in sorted(by[lang])[:TRAIN]:
-            texts.append(piece.encode())
-            langs.append(lang)
-    return fit(texts, langs)
+    sample = rows.where(order < share[F.col("lang")]).select("lang", order.alias("o"), "doc_id", F.col("text").cast("string").alias("text"))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("o", "doc_id"))
+    chosen = sample.select("lang", "o", "doc_id", F.xxhash64("text").alias("h")).withColumn("rank", rank).where(F.col("rank") <= TRAIN).select("lang", "o", "doc_id", "h")
+    chosen = chosen.dropDuplicates(["doc_id"]).select("doc_id", "lang", "o")  # TRAIN a language at most
+    sample = sample.join(F.broadcast(chosen), ["doc_id", "lang", "o"]).dropDuplicates(["doc_id"])
+
+    def embed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in chunks(whole, "text"):
+                made = vectors(*text_bytes(batch.column("text"))).astype(np.float16)
+                yield pa.RecordBatch.from_arrays([batch.column("lang"), batch.column("doc_id"), pa.array([v.tobytes() for v in made], pa.binary())], names=["lang", "doc_id", "vector"])
+
+    got = sorted(sample.select("lang", "doc_id", "text").mapInArrow(embed, "lang string, doc_id long, vector binary").collect(), key=lambda r: (r["lang"], r["doc_id"]))
+    return fit(np.stack([np.frombuffer(r["vector"], dtype=np.float16).astype(np.float32) for r in got]), [r["lang"] for r in got])
 
 
 def has_letter(raw: bytes) -> bool:
@@ -109,7 +122,9 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], keep: tuple[s
     One row per input row (repeated rows stay), with ``keep`` and RESULT.
     Null texts and texts without any letter, and all texts if no language was
     learned, are ``und`` with score 0; equal scores go to the first language
-    by name.  Other input columns are ignored; a kept one that has a name of
+    by name.  margin is how far the best score is above the second (above 0.5,
+    no answer, if one language alone was learned); a text of n-grams that no
+    language has stands near 0.  Other input columns are ignored; a kept one that has a name of
     RESULT gives way to the result.
     """
     carry, schema = kept(docs, keep, RESULT)
@@ -131,11 +146,12 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], keep: tuple[s
                 sure = ascii_letter[at[1:]] > ascii_letter[at[:-1]]
                 best = total.argmax(axis=1)
                 lang, score = [], np.clip((total.max(axis=1) + 1) / 2, 0, 1)
+                margin = (total.max(axis=1) - (np.partition(total, -2, axis=1)[:, -2] if total.shape[1] > 1 else 0)) / 2
                 for i in range(batch.num_rows):
                     known = names and (sure[i] or has_letter(data[at[i] : at[i + 1]].tobytes()))
                     lang.append(names[best[i]] if known else "und")
-                    score[i] = score[i] if known else 0
-                yield pa.RecordBatch.from_arrays([batch.column(c) for c in carry] + [pa.array(lang, pa.string()), pa.array(score)], names=[*carry, "lang_pred", "score"])
+                    score[i], margin[i] = (score[i], margin[i]) if known else (0, 0)
+                yield pa.RecordBatch.from_arrays([batch.column(c) for c in carry] + [pa.array(lang, pa.string()), pa.array(score), pa.array(margin)], names=[*carry, "lang_pred", "score", "margin"])
 
     return docs.select(*carry, F.col("text").cast("string").alias("_text")).mapInArrow(work, schema)
 
