@@ -10,6 +10,7 @@ over all texts, without a shuffle.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -18,11 +19,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from huetide.llm.frames import kept, table
+from huetide.llm.frames import kept, table, written
 from huetide.llm.tokens import ALNUM, Words, chunks, mix
 
-#: Bounds of the training sample: texts, and bytes of a text that may train (longer ones are only scored).
-TRAIN, TRAIN_BYTES = 6000, 200_000
+#: Bounds of what reaches the driver: training texts, and the features of theirs that are tied most closely to a category.
+TRAIN, POOL = 6000, 1024
 FOLDS, RIDGE, ROUNDS = 3, 1.0, 60
 #: Words in fewer training texts, or tied more loosely to a category (chi square), are no features.
 LEAST_TEXTS, LEAST_TIE = 5, 15.0
@@ -30,12 +31,9 @@ LEAST_TEXTS, LEAST_TIE = 5, 15.0
 MOST_FEATURES, BEGINNINGS = 256, (4, 6)
 THRESHOLD = 0.25
 
-#: Fixed word lists that mark the earlier categories in texts labelled toxic.
-SEEDS = {
-    "insult": ["bastard", "clown", "coward", "dumb", "fool", "idiot", "imbecile", "liar", "loser", "moron", "stupid"],
-    "contempt": ["disgusting", "filth", "garbage", "pathetic", "scum", "trash", "useless", "vermin", "vile", "worthless"],
-}
-CHAIN = [*SEEDS, "toxic"]
+#: The chain's categories in order, each with what the label table says of it.  Low quality comes first: its probability helps to tell toxic texts.
+CATEGORIES = {"low_quality": "coalesce(quality, 1) = 0", "toxic": "toxic > 0"}
+CHAIN = list(CATEGORIES)
 RESULT = ", ".join(f"p_{c} double" for c in CHAIN) + ", toxic boolean"
 
 
@@ -146,33 +144,48 @@ def distinct_features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def train(docs: DataFrame, labels: DataFrame) -> list[Link]:
-    """The chain from labelled texts: TRAIN of them at most, chosen by a hash of their ids."""
-    known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("label"))
+    """The chain from labelled texts: TRAIN of them at most, chosen by a hash of their ids.
+
+    A document labelled more than once is in a category if any of its labels
+    says so; of repeated rows of a doc_id the smallest text counts.  Spark
+    counts in how many texts of each category a feature stands; the driver
+    gets the POOL features tied most closely to each category, and which text
+    has which of them.
+    """
+    known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(*[F.max(F.expr(said).cast("int")).alias(c) for c, said in CATEGORIES.items()])
     order = F.xxhash64("doc_id", F.lit(17))
     rows = known.count()
     share = min(1.0, 1.2 * TRAIN / max(rows, 1))
     chosen = known.where(F.pmod(order, F.lit(1 << 20)) < int(share * (1 << 20)) + 1).orderBy(order).limit(TRAIN)
-    texts = docs.where("text is not null").select("doc_id", F.col("text").cast("string").alias("text")).where(F.octet_length("text") <= TRAIN_BYTES)
-    sample = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "label", F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(FOLDS)).alias("fold"), "text")
+    texts = docs.where("text is not null").select("doc_id", F.col("text").cast("string").alias("text"))
+    sample = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", *CHAIN).agg(F.min("text").alias("text"))
 
     def words_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            row, word = distinct_features(batch.column("text"))
-            ends = np.searchsorted(row, np.arange(batch.num_rows + 1))
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in ("doc_id", "label", "fold")), pa.array([word[a:b].tobytes() for a, b in zip(ends, ends[1:], strict=False)], pa.binary())], names=["doc_id", "label", "fold", "words"]
-            )
-
-    got = sorted(sample.mapInArrow(words_of, "doc_id long, label int, fold long, words binary").collect(), key=lambda r: (r["doc_id"], r["words"]))  # TRAIN rows at most
-    sets = [np.frombuffer(r["words"], dtype=np.uint64) for r in got]
-    row = np.repeat(np.arange(len(sets)), [len(s) for s in sets]).astype(np.int64)
-    word = np.concatenate(sets) if sets else np.zeros(0, dtype=np.uint64)
-    toxic = np.array([r["label"] > 0 for r in got], dtype=bool)
-    columns = []
-    for seeds in SEEDS.values():
-        seed = Words(pa.array(seeds), ALNUM, lower=True).hashes()
-        columns.append((np.bincount(row, weights=np.isin(word, seed), minlength=len(sets)) > 0) & toxic)
-    return fit_chain(row, word, np.column_stack([*columns, toxic]), np.array([r["fold"] for r in got], dtype=np.int64))
+        for whole in batches:
+            for batch in chunks(whole, "text"):
+                row, word = distinct_features(batch.column("text"))
+                row, word = np.append(row, np.arange(batch.num_rows)), np.append(word, np.zeros(batch.num_rows, dtype=np.uint64))  # 0: the text itself
+                at = pa.array(row)
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in ("doc_id", *CHAIN)), pa.array(word.view(np.int64))], names=["doc_id", *CHAIN, "word"])
+
+    pairs = written(sample.mapInArrow(words_of, ", ".join(["doc_id long", *(f"{c} int" for c in CHAIN), "word long"])), "features")
+    said = pairs.where("word = 0").select("doc_id", *CHAIN).orderBy("doc_id").collect()  # TRAIN rows at most
+    n = len(said)
+    counts = pairs.where("word <> 0").groupBy("word").agg(F.count("*").alias("has"), *[F.sum(c).alias(c) for c in CHAIN]).where(F.col("has") >= LEAST_TEXTS)
+    pool: set[int] = set()
+    for c in CHAIN:
+        positive = sum(r[c] for r in said)
+        if 0 < positive < n:
+            expected = F.col("has") * (positive / n)
+            tie = (F.col(c) - expected) ** 2 / F.greatest(expected * (1 - positive / n) * (1 - F.col("has") / n), F.lit(1e-9))
+            pool |= {r[0] for r in counts.select("word", tie.alias("tie")).orderBy(F.desc("tie"), "word").limit(POOL).collect()}
+    listed = docs.sparkSession.createDataFrame([(w,) for w in sorted(pool)], "word long")
+    got = pairs.join(F.broadcast(listed), "word").select("doc_id", "word").collect()  # TRAIN x POOL x categories at most
+    number = {r["doc_id"]: k for k, r in enumerate(said)}
+    row = np.array([number[r["doc_id"]] for r in got], dtype=np.int64)
+    word = np.array([r["word"] for r in got], dtype=np.int64).view(np.uint64)
+    folds = np.array([zlib.crc32(str(r["doc_id"]).encode()) % FOLDS for r in said], dtype=np.int64)
+    return fit_chain(row, word, np.array([[r[c] > 0 for c in CHAIN] for r in said], dtype=bool).reshape(n, len(CHAIN)), folds)
 
 
 def score(docs: DataFrame, chain: list[Link], keep: tuple[str, ...] = ("doc_id",), threshold: float = THRESHOLD) -> DataFrame:
