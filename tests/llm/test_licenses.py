@@ -55,6 +55,21 @@ WRAPPED = [
 ]
 
 
+def test_every_sentence_is_gated_by_a_word_it_holds_and_priority_decides():
+    scan = licenses.Scanner().scan
+    for label, keyword, sentence in licenses.SENTENCES:
+        assert keyword in sentence, (label, keyword)
+    kinds = lambda text: [(r.rank, r.label) for _, _, r in scan(text.lower().encode())[1]]
+    # a tag beats the name inside it, a grant the name, a sentence the longer name that overlaps it
+    assert kinds("SPDX-License-Identifier: MIT License") == [(5, "mit")]
+    assert kinds("released under the terms of the Apache License, Version 2.0") == [(4, "apache-2.0")]
+    text = "distributed under the Boost Software License, Version 1.0"
+    assert kinds(text) == [(4, "boost-1.0")]
+    assert kinds("you can redistribute it and/or modify it under the terms of the GNU General Public License v3.0") == [(3, "gpl")]
+    found = scan(" ".join(["mit license apache license, version 2.0 cc by-nc 4.0"] * 500).encode())[1]
+    assert all(a[1] <= b[0] for a, b in zip(found, found[1:], strict=False)) and len(found) == 1500
+
+
 class Ungated:
     def __init__(self, words):
         self.words = list(words)
