@@ -10,6 +10,7 @@ from huetide.llm.decontaminate import op2_suffix_decontamination
 from huetide.llm.language import op9_string_kernel_language
 from huetide.llm.licenses import op10_license_signatures
 from huetide.llm.neighbours import op6_hash_prefix_forest
+from huetide.llm.oracles import ORACLES
 from huetide.llm.packing import op7_length_buckets
 from huetide.llm.pseudonyms import op3_feistel_pseudonyms
 from huetide.llm.repeats import op4_substring_doubling
@@ -17,11 +18,20 @@ from huetide.llm.secrets import op5_secret_scan
 from huetide.llm.similar import op8_jaccard_components
 from huetide.llm.toxicity import op1_classifier_chain_toxicity
 
-ORACLES: dict[str, str] = {}
+
+def secrets_base_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can say of op5: the base kinds."""
+    return op5_secret_scan(spark, sf_dir).drop("spans")
+
+
+def licenses_base_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can say of op10: the fixed phrases."""
+    return op10_license_signatures(spark, sf_dir).drop("labels", "score")
+
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    made = (op1_classifier_chain_toxicity, op2_suffix_decontamination, op3_feistel_pseudonyms, op4_substring_doubling, op5_secret_scan, op6_hash_prefix_forest, op7_length_buckets, op8_jaccard_components, op9_string_kernel_language, op10_license_signatures)
+    made = (op1_classifier_chain_toxicity, op2_suffix_decontamination, op3_feistel_pseudonyms, op4_substring_doubling, op5_secret_scan, op6_hash_prefix_forest, op7_length_buckets, op8_jaccard_components, op9_string_kernel_language, op10_license_signatures, secrets_base_columns, licenses_base_columns)
     return {f.__name__: f for f in made}
 
 
