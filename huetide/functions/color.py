@@ -117,12 +117,17 @@ def readable_text(lum: Column) -> Column:
     return F.when(contrast(lum, F.lit(dark)) >= contrast(lum, F.lit(1.0)), "#111111").otherwise("#FFFFFF")
 
 
-def with_color(swatches: DataFrame) -> DataFrame:
-    """Adds hex, ll, la, lb, chroma, hue, family, neutral to rows with r, g, b, and structural where they are swatches."""
+def dimension(rows: DataFrame) -> DataFrame:
+    """Each distinct colour (r, g, b) once, with hex, ll, la, lb, chroma, hue, family and neutral."""
     ll, la, lb = oklab("r", "g", "b")
-    out = swatches.withColumns({"hex": hex_of("r", "g", "b"), "ll": ll, "la": la, "lb": lb})
+    out = rows.select("r", "g", "b").distinct().withColumns({"hex": hex_of("r", "g", "b"), "ll": ll, "la": la, "lb": lb})
     out = out.withColumns({"chroma": chroma("la", "lb"), "hue": hue("la", "lb")})
-    out = out.withColumns({"family": family("ll", "chroma", "hue"), "neutral": F.col("chroma") < NEUTRAL})
+    return out.withColumns({"family": family("ll", "chroma", "hue"), "neutral": F.col("chroma") < NEUTRAL})
+
+
+def with_color(swatches: DataFrame, colors: DataFrame | None = None) -> DataFrame:
+    """Adds the columns of ``colors``, a dimension that holds all of them, to rows with r, g, b, and structural where they are swatches."""
+    out = swatches.join(dimension(swatches) if colors is None else colors, ["r", "g", "b"])
     return out.withColumn("structural", structural()) if "border_share" in out.columns else out
 
 

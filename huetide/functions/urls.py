@@ -36,3 +36,10 @@ def region_key(*parts: str | Column) -> Column:
 def first_known(*columns: Column) -> Column:
     """The first that is neither null nor empty."""
     return F.coalesce(*[F.when(c != "", c) for c in columns])
+
+
+def json_alias(body: Column, *names: str) -> Column:
+    """The first known value of an object under one of several names (lower case) in any case; [] and {} are none."""
+    fields = F.transform_keys(F.from_json(body, "map<string,string>", {"mode": "PERMISSIVE"}), lambda k, _: F.lower(k))
+    known = lambda c: F.when(~F.trim(c).isin("", "[]", "{}"), c)
+    return F.coalesce(*[known(F.element_at(fields, n)) for n in names])

@@ -153,3 +153,18 @@ def signal_map(best: DataFrame, dimensions: list[str], top: int = 6) -> DataFram
 
 def not_neutral(column: str = "family") -> Column:
     return ~F.col(column).isin(*NEUTRAL_FAMILIES)
+
+
+def colour_truth(claims: DataFrame, pixels: DataFrame, candidates: DataFrame) -> DataFrame:
+    """What is wrong with claimed colours: rows scope and id.
+
+    ``claims`` has id, candidate, image_id, r, g, b; every one must be among
+    the distinct pixels of its image.  ``candidates`` has candidate, r, g, b and
+    representative; its colour must be one of its claims' colours and its
+    representative one of their ids.
+    """
+    seen = pixels.select("image_id", "r", "g", "b").distinct()
+    absent = claims.join(seen, ["image_id", "r", "g", "b"], "left_anti").select(F.lit("pixel_absent").alias("scope"), F.col("id").cast("string").alias("id"))
+    unclaimed = candidates.join(claims.select("candidate", "r", "g", "b").distinct(), ["candidate", "r", "g", "b"], "left_anti").select(F.lit("candidate_colour_unclaimed"), F.col("candidate").cast("string"))
+    nobody = candidates.join(claims.select("candidate", F.col("id").alias("representative")).distinct(), ["candidate", "representative"], "left_anti").select(F.lit("representative_missing"), F.col("candidate").cast("string"))
+    return absent.unionAll(unclaimed).unionAll(nobody)

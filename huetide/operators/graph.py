@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from huetide.functions.color import distance
 
 
+#: How much brighter than its eight neighbours together (each weighted 1/8) an edge is, of a range of 0 to 1.
+EDGE = 0.12
+
 def settled(df: DataFrame) -> DataFrame:
     """``df`` with its lineage cut in the folder that spark.checkpoint.dir names (set here only where unset, in a local session)."""
     spark = df.sparkSession
@@ -103,22 +106,33 @@ def geometry(cells: DataFrame, side: int) -> DataFrame:
 
 
 def image_metrics(grid: DataFrame, grey: Column) -> DataFrame:
-    """Entropy of 64 bins over 6 bits, spread, and shares of near-white and near-black cells; ``grey`` is 0 to 1."""
-    cells = grid.select("image_id", grey.alias("g"))
+    """Entropy of 64 bins over 6 bits, spread, edge density, and shares of near-white and near-black cells; ``grey`` is 0 to 1.
+
+    An edge is a cell that is brighter than its eight neighbours' mean by more
+    than EDGE / 8; cells of the outer border are none.
+    """
+    cells = grid.select("image_id", "y", "x", grey.alias("g"))
     bins = cells.groupBy("image_id", F.least(F.floor(F.col("g") * 64), F.lit(63)).alias("bin")).agg(F.count("*").alias("n"), F.count_if(F.col("g") > 0.97).alias("white"), F.count_if(F.col("g") < 0.03).alias("black"))
     total = F.sum("n").over(Window.partitionBy("image_id"))  # 64 bins an image
     p = F.col("n") / F.col("total")
-    out = bins.withColumn("total", total).groupBy("image_id").agg((-F.sum(p * F.log2(p)) / 6).alias("entropy"), (F.sum("white") / F.max("total")).alias("near_white"), (F.sum("black") / F.max("total")).alias("near_black"))
-    return out.join(cells.groupBy("image_id").agg(F.stddev_pop("g").alias("spread")), "image_id")
-
-
-def rejection() -> Column:
-    """The first reason against an image, '' for none."""
+    out = bins.withColumn("total", total).groupBy("image_id").agg((F.lit(0.0) - F.sum(p * F.log2(p)) / 6).alias("entropy"), (F.sum("white") / F.max("total")).alias("near_white"), (F.sum("black") / F.max("total")).alias("near_black"))
+    across = Window.partitionBy("image_id", "y").orderBy("x").rowsBetween(-1, 1)
+    down = Window.partitionBy("image_id", "x").orderBy("y").rowsBetween(-1, 1)
+    three = cells.withColumns({"_row": F.sum("g").over(across), "_n": F.count("*").over(across)})
+    nine = three.withColumns({"_box": F.sum("_row").over(down), "_cells": F.sum("_n").over(down)})
+    edge = (F.col("_cells") == 9) & (9 * F.col("g") - F.col("_box") > EDGE + 1e-9)
+    return out.join(nine.groupBy("image_id").agg(F.stddev_pop("g").alias("spread"), (F.count_if(edge) / F.count("*")).alias("edge_density")), "image_id")
+
+
+def rejection(width: Column, height: Column) -> Column:
+    """The first reason against an image of this size with these metrics, '' for none."""
+    flat_edges = F.col("edge_density")
     return (
-        F.when(F.col("near_white") > 0.985, "near_white")
-        .when(F.col("near_black") > 0.985, "near_black")
-        .when((F.col("entropy") < 0.60) & (F.col("spread") < 0.05), "flat")
-        .when(F.col("spread") < 0.08, "low_variance")
+        F.when((width < 280) | (height < 180), "region_too_small")
+        .when((height / width < 0.10) | (width / height < 0.10), "loading_strip_or_sliver")
+        .when((F.col("near_white") > 0.985) | (F.col("near_black") > 0.985), "nearly_blank_region")
+        .when((F.col("entropy") < 0.06) & (flat_edges < 0.015), "low_information_placeholder")
+        .when((F.col("spread") < 0.008) & (flat_edges < 0.01), "flat_placeholder")
         .otherwise("")
     )
 

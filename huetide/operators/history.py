@@ -105,7 +105,7 @@ def trail(colors: DataFrame, asked: Column, through: str) -> DataFrame:
     return rows.groupBy("anchor", "day").agg(F.count_distinct(F.when(hit, F.col("actor"))).alias("matching"), F.count_distinct("actor").alias("observed"), F.count_distinct(F.when(hit, F.col("image_id"))).alias("evidence"))
 
 
-def new_ratio(best: DataFrame, known: DataFrame) -> DataFrame:
-    """Among an anchor's matching actors with enough days: the share never present before, and of identity actors."""
-    rows = best.join(known.where(F.col("days") >= SOURCE_DAYS), ["anchor", "actor"])
-    return rows.groupBy("anchor").agg(F.avg(F.when(F.col("present_days") == 0, 1.0).otherwise(0.0)).alias("new_ratio"), F.avg(F.when(F.col("frequency") >= 0.70, 1.0).otherwise(0.0)).alias("identity_ratio"))
+def new_ratio(best: DataFrame, known: DataFrame, by: list[str]) -> DataFrame:
+    """Among each group's actors with enough days in ``known``: the share never present before, and of identity actors."""
+    rows = best.join(known.where(F.col("days") >= SOURCE_DAYS), [*by, "actor"])
+    return rows.groupBy(*by).agg(F.avg(F.when(F.col("present_days") == 0, 1.0).otherwise(0.0)).alias("new_ratio"), F.avg(F.when(F.col("frequency") >= 0.70, 1.0).otherwise(0.0)).alias("identity_ratio"))

@@ -23,7 +23,13 @@ def host_allowed(host: Column, allowed: list[str]) -> Column:
 
 
 def rotation(panel: DataFrame, date: str, k: int, mandatory: Column) -> DataFrame:
-    """k sources of the discovery panel: mandatory first, then domains in turn, in each the smallest hash of date and id."""
+    """k sources of the discovery panel: mandatory first, then domains in turn, in each the smallest hash of date and id.
+
+    More mandatory sources than k are an error, not a cut.
+    """
+    musts = panel.where(mandatory).count()
+    if musts > k:
+        raise ValueError(f"{musts} sources are mandatory, but only {k} are asked for")
     rows = panel.withColumns({"mandatory": mandatory, "h": F.sha2(F.concat_ws(":", F.lit(date), F.col("actor").cast("string")), 256)})
     turn = F.when(F.col("mandatory"), 0).otherwise(F.row_number().over(Window.partitionBy("domain", "mandatory").orderBy("h")))
     return rows.withColumn("turn", turn).orderBy(F.desc("mandatory"), "turn", "domain", "h").limit(k)
@@ -81,6 +87,11 @@ def evaluation(labels: DataFrame, predictions: DataFrame) -> DataFrame:
     return rows.agg(n.alias("evaluated"), right.alias("correct"), F.count_if(~both).alias("missing"), ratio(right, n).alias("accuracy"), ratio(hit, said).alias("precision"), ratio(hit, true).alias("recall"))
 
 
+def label_errors(labels: DataFrame) -> DataFrame:
+    """Ids labelled more than once, with how often: an evaluation over them is refused."""
+    return labels.groupBy("id").agg(F.count("*").alias("n")).where("n > 1")
+
+
 def first_of_equal(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
     """One row of each composite key: the first in order."""
     rest = [c for c in rows.columns if c not in (*keys, order)]

@@ -128,16 +128,18 @@ def url_dates(v: Views) -> DataFrame:
     return v.page_dates.select("page_id", F.array_join(F.transform(lg.url_dates(F.col("dated_url")), lambda d: d.cast("string")), ",").alias("dates"))
 
 
+#: Words of an overlay at the end of some pages, past whatever a prefix would show.
+_SPLICED = "CASE WHEN page_id % 10 = 9 THEN '<p>Please SIGN IN</p>' ELSE '' END"
 RECORDS = (
     "records",
-    """SELECT page_id, urls, html, CASE page_id % 6 WHEN 0 THEN 'newly-listed' WHEN 1 THEN 'catalog' WHEN 2 THEN 'exhibition-opening' WHEN 3 THEN 'campaign' WHEN 4 THEN 'marketplace-list' ELSE 'campaign' END AS event,
+    f"""SELECT page_id, urls, html || {_SPLICED} AS html, CASE page_id % 6 WHEN 0 THEN 'newly-listed' WHEN 1 THEN 'catalog' WHEN 2 THEN 'exhibition-opening' WHEN 3 THEN 'campaign' WHEN 4 THEN 'marketplace-list' ELSE 'campaign' END AS event,
  CASE WHEN page_id % 7 = 0 THEN 'art' ELSE 'retail' END AS domain, CASE WHEN page_id % 5 = 0 THEN 'creation' ELSE 'distribution' END AS stage,
  CASE WHEN page_id % 3 = 0 THEN 'discovery' ELSE 'benchmark' END AS panel, CASE WHEN page_id % 11 = 0 THEN 'independent' ELSE 'institutional' END AS scale,
  CASE WHEN page_id % 4 = 0 THEN '' ELSE 'f' || CAST(page_id % 2 AS VARCHAR) END AS prior, 'f' || CAST(page_id % 8 // 4 AS VARCHAR) AS fingerprint FROM (SELECT * EXCLUDE (urls), CASE WHEN page_id % 2 = 0 THEN urls ELSE [] END AS urls FROM dates_)""",
 )
 _WEAK = "(panel = 'discovery' OR scale IN ('grassroots', 'independent') OR stage = 'creation' OR event IN ('newly-listed', 'exhibition-opening', 'new-arrival', 'launch') OR domain = 'art')"
 STATUS_SQL = f"""SELECT page_id, CASE WHEN len(list_filter(urls, lambda d: d > DATE '2024-02-15')) > 0 THEN 'rejected_future'
- WHEN regexp_matches(lower(substr(html, 1, 4000)), '{'|'.join(lg.OVERLAY_TERMS)}') THEN 'rejected_overlay'
+ WHEN regexp_matches(lower(html), '{'|'.join(lg.OVERLAY_TERMS)}') THEN 'rejected_overlay'
  WHEN event = 'catalog' AND (len(urls) = 0 OR len(list_filter(urls, lambda d: DATE '2024-02-15' - d BETWEEN 0 AND 2)) = 0) THEN 'context_only_historical'
  WHEN len(urls) = 0 AND {_WEAK} THEN 'context_only_undated' WHEN len(urls) = 0 AND prior <> '' AND prior = fingerprint THEN 'baseline_only_unchanged'
  WHEN len(urls) = 0 AND prior <> '' THEN 'eligible_changed_today' WHEN len(urls) = 0 THEN 'calibration_only_undated'
@@ -149,7 +151,7 @@ def record_rows(v: Views) -> DataFrame:
     k = F.col("page_id")
     event = F.element_at(F.array(*map(F.lit, ("newly-listed", "catalog", "exhibition-opening", "campaign", "marketplace-list", "campaign"))), (k % 6 + 1).cast("int"))
     return v.page_dates.select(
-        "page_id", F.when(k % 2 == 0, lg.url_dates(F.col("dated_url"))).otherwise(F.array().cast("array<date>")).alias("dates"), F.col("html").alias("about"), event.alias("event"),
+        "page_id", F.when(k % 2 == 0, lg.url_dates(F.col("dated_url"))).otherwise(F.array().cast("array<date>")).alias("dates"), F.concat("html", F.expr(_SPLICED)).alias("about"), event.alias("event"),
         F.when(k % 7 == 0, "art").otherwise("retail").alias("domain"), F.when(k % 5 == 0, "creation").otherwise("distribution").alias("stage"), F.when(k % 3 == 0, "discovery").otherwise("benchmark").alias("panel"),
         F.when(k % 11 == 0, "independent").otherwise("institutional").alias("scale"), F.when(k % 4 == 0, "").otherwise(F.concat(F.lit("f"), (k % 2).cast("string"))).alias("prior"), F.concat(F.lit("f"), F.floor(k % 8 / 4).cast("string")).alias("fingerprint"),
     )

@@ -36,7 +36,7 @@ def cand(v: Views) -> DataFrame:
     on=COLORS,
 )
 def colour_dimension(v: Views) -> DataFrame:
-    d = color.with_color(v.swatches.select("r", "g", "b").distinct()).withColumn("luminance", color.luminance("r", "g", "b"))
+    d = color.dimension(v.palette).withColumn("luminance", color.luminance("r", "g", "b"))
     return d.select("hex", *r6("ll", "la", "lb", "chroma"), F.round("hue", 4).alias("hue"), "neutral", "family", color.is_warm("hue").alias("warm"), color.readable_text(F.col("luminance")).alias("text_color"), *r6("luminance"))
 
 

@@ -118,21 +118,28 @@ def cohort_intersection(v: Views) -> DataFrame:
     return hi.color_history(past(v)).where("days >= 5 and anchor = 'grey'").select("actor").intersect(now(v).select("actor"))
 
 
+# of each actor behind a candidate: the twelve months before in which it was seen, and those in which it had the family
+RATIOS = (
+    "ratios",
+    """SELECT day, family, avg(CASE WHEN present = 0 THEN 1.0 ELSE 0.0 END) AS new_ratio, avg(CASE WHEN present / seen >= 0.70 THEN 1.0 ELSE 0.0 END) AS identity_ratio FROM (
+ SELECT b.day, b.family, b.actor, count(DISTINCT s.day) AS seen, count(DISTINCT CASE WHEN s.family = b.family THEN s.day END) AS present
+ FROM best b JOIN best s ON s.actor = b.actor AND s.day < b.day AND s.day >= b.day - INTERVAL 12 MONTH GROUP BY ALL) WHERE seen >= 5 GROUP BY day, family""",
+)
 # a candidate is a family of a month; its change is that of the family's share of benchmark actors over the twelve months before
 MONTHS = (
     "months",
-    """SELECT c.*, y.prior_rate, y.days, rate - prior_rate AS delta, y.days >= 5 AS valid FROM (
+    """SELECT c.*, y.prior_rate, y.days, rate - prior_rate AS delta, y.days >= 5 AS valid, coalesce(r.new_ratio, 0) AS new_ratio, coalesce(r.identity_ratio, 0) AS identity_ratio FROM (
  SELECT c.*, s.n, c.benchmark_count / s.n AS rate FROM cand c JOIN (SELECT day, count(DISTINCT actor) AS n FROM best WHERE panel = 'benchmark' GROUP BY day) s USING (day)) c
  JOIN (SELECT a.day, a.family, avg(coalesce(b.benchmark_count, 0) / s.n) AS prior_rate, count(*) AS days FROM cand a
   JOIN (SELECT day, count(DISTINCT actor) AS n FROM best WHERE panel = 'benchmark' GROUP BY day) s ON s.day < a.day AND s.day >= a.day - INTERVAL 12 MONTH
-  LEFT JOIN cand b ON b.day = s.day AND b.family = a.family GROUP BY a.day, a.family) y USING (day, family)""",
+  LEFT JOIN cand b ON b.day = s.day AND b.family = a.family GROUP BY a.day, a.family) y USING (day, family) LEFT JOIN ratios r USING (day, family)""",
 )
 SCORED = (
     "scored",
-    """SELECT *, CASE WHEN days < 7 THEN 'calibration' WHEN NOT valid THEN 'observed' WHEN delta * 100 <= -5 THEN 'cooling' WHEN delta * 100 < 5 THEN 'stable'
+    """SELECT *, CASE WHEN days < 7 THEN 'calibration' WHEN NOT valid THEN 'observed' WHEN delta * 100 <= -5 THEN 'cooling' WHEN delta * 100 < 5 THEN CASE WHEN identity_ratio >= 0.7 THEN 'identity' ELSE 'stable' END
  WHEN delta * 100 >= 20 AND emergence_score >= 75 THEN 'surging' WHEN domain_count >= 4 AND stage_count >= 2 THEN 'spreading' ELSE 'rising' END AS trend FROM (
 SELECT *, 100 * (0.25 * novelty + 0.25 * least(1, domain_count / 7) + 0.20 * least(1, stage_count / 3) + 0.15 * velocity + 0.10 * small_large + 0.05 * evidence_quality) AS emergence_score FROM (
-SELECT *, CASE WHEN valid THEN least(1, greatest(0, delta) * 2) ELSE 0 END AS novelty, CASE WHEN valid THEN least(1, greatest(0, delta) * 4) ELSE 0 END AS velocity FROM months))""",
+SELECT *, CASE WHEN valid THEN least(1, greatest(0, delta) * 2 + 0.5 * new_ratio) ELSE 0 END AS novelty, CASE WHEN valid THEN least(1, greatest(0, delta) * 4) ELSE 0 END AS velocity FROM months))""",
 )
 DIAMETER = (
     "diam",
@@ -147,8 +154,8 @@ GATED = (
  source_count >= 4 AND domain_count >= 3 AND family NOT IN ('Black', 'Charcoal', 'Gray', 'Light Gray', 'White') AND diameter <= 0.05 AND mean_component >= 0.006 AS runner_ok,
  round(emergence_score, 6) AS score FROM scored s JOIN diam USING (day, family)""",
 )
-SCORE_ON = (CAND[0], (*CAND[1], MONTHS, SCORED))
-GATE_ON = (CAND[0], (*CAND[1], MONTHS, SCORED, DIAMETER, GATED))
+SCORE_ON = (CAND[0], (*CAND[1], RATIOS, MONTHS, SCORED))
+GATE_ON = (CAND[0], (*CAND[1], RATIOS, MONTHS, SCORED, DIAMETER, GATED))
 # leaders that pass: enough support; colours of a family are wide, so integrity is reported and not asked here
 EMERGING = "score >= 55 AND source_count >= 6 AND domain_count >= 4 AND concentrated_ok AND neutral_ok"
 
@@ -162,8 +169,19 @@ def scored(v: Views) -> DataFrame:
     past_rows = c.select(F.col("day").alias("pday"), "family", F.col("benchmark_count").alias("pc"))
     prior = prior.join(past_rows, ["pday", "family"], "left").groupBy("day", "family").agg(F.avg(F.coalesce(F.col("pc"), F.lit(0)) / F.col("pn")).alias("prior_rate"), F.count("*").alias("days"))
     out = c.join(F.broadcast(seen), "day").join(prior, ["day", "family"]).withColumns({"delta": F.col("benchmark_count") / F.col("n") - F.col("prior_rate"), "valid": F.col("days") >= 5})
-    out = out.withColumns(le.emergence(F.col("valid"), F.col("delta"), F.lit(0.0)))
-    return out.withColumn("trend", le.trend_state(F.col("days"), F.col("valid"), F.col("delta"), F.lit(0.0)))
+    out = out.join(hi.new_ratio(rows.select("day", "family", "actor"), known_actors(rows), ["day", "family"]), ["day", "family"], "left")
+    out = out.withColumns(le.emergence(F.col("valid"), F.col("delta"), F.col("new_ratio")))
+    return out.withColumn("trend", le.trend_state(F.col("days"), F.col("valid"), F.col("delta"), F.col("identity_ratio")))
+
+
+def known_actors(rows: DataFrame) -> DataFrame:
+    """For each actor and family of a month, in the twelve months before: days seen, present_days with the family, and their ratio, frequency."""
+    earlier = F.explode(F.transform(F.sequence(F.lit(1), F.lit(12)), lambda k: F.add_months("day", -k))).alias("_day")
+    asked = rows.select("day", "family", "actor", earlier)
+    seen = rows.select(F.col("day").alias("_day"), "actor").distinct()
+    had = rows.select(F.col("day").alias("_day"), "actor", "family").distinct().withColumn("_had", F.lit(1))
+    both = asked.join(seen, ["_day", "actor"]).join(had, ["_day", "actor", "family"], "left")
+    return both.groupBy("day", "family", "actor").agg(F.count("*").alias("days"), F.count("_had").alias("present_days")).withColumn("frequency", F.col("present_days") / F.col("days"))
 
 
 def gated(v: Views) -> DataFrame:

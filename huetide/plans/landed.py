@@ -30,4 +30,4 @@ def submissions(v: Views) -> DataFrame:
 @query("src10_public_feed", "SELECT CAST(day AS VARCHAR) AS day, CASE WHEN month(day) % 2 = 0 THEN '[private]' ELSE 'https://e.org/' END AS path FROM manifest WHERE state = 'ready'", views=("manifest",))
 def public_feed(v: Views) -> DataFrame:
     rows = v.manifest.withColumn("path", F.when(F.month("day") % 2 == 0, "/srv/day").otherwise("https://e.org/"))
-    return files.public_feed(rows, ["path"]).select(*text("day"), "path")
+    return files.public_feed(rows, ["path"], "day").select(*text("day"), "path")

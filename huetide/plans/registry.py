@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from huetide.plans import catalog, dated, evidence, history, landed, shapes, sources, streams  # noqa: F401  each module registers its queries
+from huetide.plans import catalog, dated, evidence, history, landed, proofs, shapes, sources, streams  # noqa: F401  each module registers its queries
 
 
 def queries() -> dict[str, catalog.Query]:

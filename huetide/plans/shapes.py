@@ -41,26 +41,36 @@ def mask_geometry(v: Views) -> DataFrame:
     return g.geometry(mask(v), 8).select("image_id", *r6("component_share", "coverage", "border_share"), "cells")
 
 
-GREY = "greatest(0.0, least(1.0, 0.5 + 2 * CAST(v AS DOUBLE)))"
+#: Grey of a patch: noise, one tone, near-white, or a faint noise, by image.
+GREY = "CASE image_id % 5 WHEN 1 THEN 0.5 WHEN 2 THEN 0.99 WHEN 3 THEN 0.5 + CAST(v AS DOUBLE) / 50 ELSE greatest(0.0, least(1.0, 0.5 + 2 * CAST(v AS DOUBLE))) END"
 METRICS = (
     "metrics",
-    f"""SELECT image_id, -sum(n / 64 * log2(n / 64)) / 6 AS entropy, sum(white) / 64 AS near_white, sum(black) / 64 AS near_black, any_value(spread) AS spread FROM (SELECT image_id, least(floor({GREY} * 64), 63) AS bin, count(*) AS n, count(*) FILTER ({GREY} > 0.97) AS white, count(*) FILTER ({GREY} < 0.03) AS black
-FROM patches GROUP BY ALL) JOIN (SELECT image_id, stddev_pop({GREY}) AS spread FROM patches GROUP BY image_id) USING (image_id) GROUP BY image_id""",
+    f"""SELECT image_id, 0.0 - sum(n / 64 * log2(n / 64)) / 6 AS entropy, sum(white) / 64 AS near_white, sum(black) / 64 AS near_black, any_value(spread) AS spread, any_value(edge_density) AS edge_density FROM (SELECT image_id, least(floor({GREY} * 64), 63) AS bin, count(*) AS n, count(*) FILTER ({GREY} > 0.97) AS white, count(*) FILTER ({GREY} < 0.03) AS black
+FROM patches GROUP BY ALL) JOIN (SELECT image_id, stddev_pop({GREY}) AS spread FROM patches GROUP BY image_id) USING (image_id)
+JOIN (SELECT a.image_id, count(*) FILTER (n = 9 AND 9 * g - box > 0.12 + 1e-9) / 64 AS edge_density FROM (SELECT a.image_id, a.y, a.x, any_value(a.g) AS g, count(*) AS n, sum(b.g) AS box FROM (SELECT image_id, y, x, {GREY} AS g FROM patches) a
+ JOIN (SELECT image_id, y, x, {GREY} AS g FROM patches) b ON a.image_id = b.image_id AND abs(a.y - b.y) <= 1 AND abs(a.x - b.x) <= 1 GROUP BY ALL) a GROUP BY a.image_id) USING (image_id) GROUP BY image_id""",
 )
 
 
 def metrics(v: Views) -> DataFrame:
-    return g.image_metrics(v.patches, F.greatest(F.lit(0.0), F.least(F.lit(1.0), 0.5 + 2 * F.col("v").cast("double"))))
+    return g.image_metrics(v.patches, F.expr(GREY))
 
 
-@query("agg13_image_metrics", "SELECT image_id, round(entropy, 6) AS entropy, round(near_white, 6) AS near_white, round(near_black, 6) AS near_black, round(spread, 6) AS spread FROM metrics", views=("patches",), extra=(METRICS,))
+@query("agg13_image_metrics", "SELECT image_id, round(entropy, 6) AS entropy, round(edge_density, 6) AS edge_density, round(near_white, 6) AS near_white, round(near_black, 6) AS near_black, round(spread, 6) AS spread FROM metrics", views=("patches",), extra=(METRICS,))
 def image_metrics(v: Views) -> DataFrame:
-    return metrics(v).select("image_id", *r6("entropy", "near_white", "near_black", "spread"))
+    return metrics(v).select("image_id", *r6("entropy", "edge_density", "near_white", "near_black", "spread"))
 
 
-@query("prj12_image_rejection", "SELECT reason, count(*) AS n FROM (SELECT CASE WHEN near_white > 0.985 THEN 'near_white' WHEN near_black > 0.985 THEN 'near_black' WHEN entropy < 0.60 AND spread < 0.05 THEN 'flat' WHEN spread < 0.08 THEN 'low_variance' ELSE '' END AS reason FROM metrics) GROUP BY reason", views=("patches",), extra=(METRICS,))
+@query(
+    "prj12_image_rejection",
+    """SELECT image_id, CASE WHEN w < 280 OR h < 180 THEN 'region_too_small' WHEN h / w < 0.10 OR w / h < 0.10 THEN 'loading_strip_or_sliver' WHEN near_white > 0.985 OR near_black > 0.985 THEN 'nearly_blank_region'
+ WHEN entropy < 0.06 AND edge_density < 0.015 THEN 'low_information_placeholder' WHEN spread < 0.008 AND edge_density < 0.01 THEN 'flat_placeholder' ELSE '' END AS reason FROM (SELECT *, 240 + image_id % 9 * 1000 AS w, 179 + image_id % 11 * 40 AS h FROM metrics)""",
+    views=("patches",),
+    extra=(METRICS,),
+)
 def image_rejection(v: Views) -> DataFrame:
-    return metrics(v).groupBy(g.rejection().alias("reason")).agg(F.count("*").alias("n"))
+    k = F.col("image_id")
+    return metrics(v).select("image_id", g.rejection(240 + k % 9 * 1000, 179 + k % 11 * 40).alias("reason"))
 
 
 HASH = (
@@ -129,6 +139,7 @@ def box_overlap(v: Views) -> DataFrame:
 
 
 _TEXT = "(length(text) / greatest(1.0, w * h / 1000.0))"
+#: Phrases of overlays.
 WORDS = ["cookie", "privacy preferences", "privacy notice", "accept all", "reject all", "manage consent", "verification", "verify you are human", "press and hold", "access denied", "enable javascript", "sign in", "log in",
          "subscribe", "newsletter", "special offer", "limited time offer", "choose your location", "select your region"]
 _OVERLAY = f"(length(trim(regexp_replace(lower(text), '\\s+', ' ', 'g'))) < 1800 AND regexp_matches(regexp_replace(lower(text), '\\s+', ' ', 'g'), '{'|'.join(WORDS)}'))"
@@ -139,10 +150,17 @@ def overlay(column: str = "text"):
     return (F.length(plain) < 1800) & plain.rlike("|".join(WORDS))
 
 
-@query("prj11_overlay_text", f"SELECT 'documents' AS kind, doc_id AS id FROM documents WHERE {_OVERLAY} UNION ALL SELECT 'pages', page_id FROM (SELECT page_id, regexp_replace(html, '<[^>]*>', ' ', 'g') AS text FROM pages) WHERE {_OVERLAY}")
+@query(
+    "prj11_overlay_text",
+    f"""SELECT 'documents' AS kind, doc_id AS id FROM documents WHERE {_OVERLAY} UNION ALL SELECT 'pages', page_id FROM (SELECT page_id, regexp_replace(html, '<[^>]*>', ' ', 'g') AS text FROM pages) WHERE {_OVERLAY}
+UNION ALL SELECT 'spliced', doc_id FROM (SELECT doc_id, text || CASE WHEN doc_id % 5 < 2 THEN ' Press  AND hold' ELSE '' END AS text FROM documents) WHERE {_OVERLAY}""",
+)
 def overlay_text(v: Views) -> DataFrame:
+    """Documents, pages, and documents with a phrase spliced into some."""
     pages = v.pages.select("page_id", F.regexp_replace("html", "<[^>]*>", " ").alias("text"))
-    return v.documents.where(overlay()).select(F.lit("documents").alias("kind"), F.col("doc_id").alias("id")).union(pages.where(overlay()).select(F.lit("pages"), "page_id"))
+    spliced = v.documents.select("doc_id", F.concat("text", F.when(F.col("doc_id") % 5 < 2, " Press  AND hold").otherwise("")).alias("text"))
+    found = lambda rows, kind, id_: rows.where(overlay()).select(F.lit(kind).alias("kind"), F.col(id_).alias("id"))
+    return found(v.documents, "documents", "doc_id").unionAll(found(pages, "pages", "page_id")).unionAll(found(spliced, "spliced", "doc_id"))
 
 
 BOX = (

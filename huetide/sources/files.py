@@ -56,9 +56,24 @@ def feed_items(spark: SparkSession, path: str, most: int) -> DataFrame:
     """Items of RSS files: title, link, published, first image not seen in an earlier item; ``most`` of them by place."""
     schema = "title string, link string, pubDate string, updated string, description string, enclosure struct<_url:string,_VALUE:string>"
     rows = spark.read.format("xml").option("rowTag", "item").schema(schema).load(path).withColumn("line", F.monotonically_increasing_id())
-    inline = F.regexp_extract_all(F.coalesce("description", F.lit("")), F.lit(r'<img[^>]*src="([^"]+)"'), F.lit(1))
-    images = F.concat(F.when(F.col("enclosure._url").isNotNull(), F.array("enclosure._url")).otherwise(F.array().cast("array<string>")), inline)
-    each = rows.select("line", "title", "link", F.coalesce("pubDate", "updated").alias("published"), F.posexplode(images).alias("pos", "image_url"))
+    images = F.when(F.col("enclosure._url").isNotNull(), F.array("enclosure._url")).otherwise(F.array().cast("array<string>"))
+    return _first_images(rows.select("line", "title", "link", F.coalesce("pubDate", "updated").alias("published"), images.alias("images"), F.col("description").alias("body")), most)
+
+
+def atom_items(spark: SparkSession, path: str, most: int) -> DataFrame:
+    """Entries of Atom files, as ``feed_items`` gives those of RSS: the entry's address, when it was published (or updated), and its content's first new image."""
+    schema = "title string, link array<struct<_href:string,_rel:string,_type:string>>, published string, updated string, summary string, content string"
+    rows = spark.read.format("xml").option("rowTag", "entry").option("charset", "UTF-8").schema(schema).load(path).withColumn("line", F.monotonically_increasing_id())
+    enclosed = F.transform(F.filter("link", lambda x: (x["_rel"] == "enclosure") & x["_type"].startswith("image/")), lambda x: x["_href"])
+    own = F.get(F.filter("link", lambda x: F.coalesce(x["_rel"], F.lit("alternate")) == "alternate"), F.lit(0))["_href"]
+    made = rows.select("line", "title", own.alias("link"), F.coalesce("published", "updated").alias("published"), F.coalesce(enclosed, F.array().cast("array<string>")).alias("images"), F.coalesce("content", "summary").alias("body"))
+    return _first_images(made, most)
+
+
+def _first_images(rows: DataFrame, most: int) -> DataFrame:
+    """Items with the first of their images (enclosed ones, then those in the body) that no earlier item has; ``most`` by place."""
+    inline = F.regexp_extract_all(F.coalesce("body", F.lit("")), F.lit(r'<img[^>]*src="([^"]+)"'), F.lit(1))
+    each = rows.select("line", "title", "link", "published", F.posexplode(F.concat("images", inline)).alias("pos", "image_url"))
     once = each.groupBy("image_url").agg(F.min_by(F.struct("line", "title", "link", "published", "pos"), F.struct("line", "pos")).alias("x")).select("image_url", "x.*")
     first = once.groupBy("line").agg(F.min_by(F.struct("title", "link", "published", "image_url"), "pos").alias("x")).select("line", "x.*")
     return first.orderBy("line").limit(most)
@@ -69,7 +84,21 @@ def archive(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("date").parquet(path)
 
 
-def public_feed(days: DataFrame, private: list[str]) -> DataFrame:
-    """Ready days with private paths masked; newest first when sorted by date."""
+def pixels(images: DataFrame, alpha: int = 32, step: int = 1) -> DataFrame:
+    """image_id, y, x, r, g, b of the pixels that can be seen, from rows image_id and image (as Spark's image source gives it).
+
+    Bytes stand as blue, green, red and, with four channels, alpha, row by
+    row; every ``step``-th row and column is taken.
+    """
+    image, n = F.col("image"), F.col("_n")
+    rows = images.select("image_id", image["width"].alias("_w"), image["nChannels"].alias("_n"), F.hex(image["data"]).alias("_hex"), F.explode(F.sequence(F.lit(0), image["height"] * image["width"] - 1)).alias("_at"))
+    byte = lambda k: F.conv(F.substring(F.col("_hex"), 2 * (F.col("_at") * n + k) + 1, F.lit(2)), 16, 10).cast("int")
+    rows = rows.withColumns({"y": F.floor(F.col("_at") / F.col("_w")).cast("int"), "x": (F.col("_at") % F.col("_w")).cast("int")}).where((F.col("y") % step == 0) & (F.col("x") % step == 0))
+    seen = F.when(n == 4, byte(3) >= alpha).otherwise(True)
+    return rows.where(seen).select("image_id", "y", "x", byte(2).alias("r"), byte(1).alias("g"), byte(0).alias("b"))
+
+
+def public_feed(days: DataFrame, private: list[str], order: str = "date") -> DataFrame:
+    """Ready days with private paths masked, newest first (by date)."""
     masked = {c: F.when(F.col(c).rlike("^(/|file:|[A-Za-z]:\\\\)"), "[private]").otherwise(F.col(c)) for c in private}
-    return days.where("state = 'ready'").withColumns(masked)
+    return days.where("state = 'ready'").withColumns(masked).orderBy(F.desc(order))

@@ -43,6 +43,11 @@ FROM (
          l_extendedprice / sum(l_extendedprice) OVER (PARTITION BY l_orderkey) AS salience,
          l_discount, l_tax, l_linenumber
   FROM {lineitem}) b JOIN {images} i ON i.image_id = b.image_id""",
+    "palette": """
+SELECT DISTINCT r0 AS r, CASE WHEN grey THEN r0 ELSE g0 END AS g, CASE WHEN grey THEN r0 ELSE b0 END AS b
+FROM (SELECT (l_partkey * 37) % 256 AS r0, (CAST(floor(l_partkey / 3) AS BIGINT) * 101 + 17) % 256 AS g0,
+             (CAST(floor(l_partkey / 11) AS BIGINT) * 197 + 89) % 256 AS b0, l_partkey % 5 = 0 AS grey
+      FROM (SELECT DISTINCT l_partkey FROM {lineitem}) p)""",
     "ledger_events": """
 SELECT event_id, ts, CAST(ts AS DATE) AS day, user_id AS source_id, event_type AS region,
        concat('f', CAST(CAST(regexp_extract(props, '([0-9]+)', 1) AS INT) % 2 AS STRING)) AS fingerprint, value
@@ -130,7 +135,7 @@ class Views:
 
     @cached_property
     def colors(self) -> DataFrame:
-        """Swatches with hex, OKLab and OKLCH columns, family and neutral flag."""
+        """Swatches with hex, OKLab and OKLCH columns, family and neutral flag, worked out once a distinct colour."""
         from huetide.functions import color
 
-        return color.with_color(self.swatches)
+        return color.with_color(self.swatches, color.dimension(self.palette))

@@ -8,7 +8,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from pyspark.sql import DataFrame, SparkSession
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SCHEMA = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
@@ -19,15 +20,20 @@ def stream(spark: SparkSession, folder: str, name: str = "events.parquet") -> Da
     return spark.readStream.schema(SCHEMA).option("pathGlobFilter", name).parquet(folder)
 
 
-def _folder(spark: SparkSession) -> str:
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-")
+def shared_path(spark: SparkSession) -> str:
+    """A new path in the folder that driver and executors share."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = tempfile.mkdtemp(prefix="spark-")
     return f"{root}/stream-{uuid.uuid4().hex}"
 
 
 def drain(df: DataFrame, mode: str) -> DataFrame:
     """Runs a streaming query over all that has landed; state and result lie in the shared folder."""
     spark = df.sparkSession
-    path = _folder(spark)
+    path = shared_path(spark)
     write = df.writeStream.outputMode(mode).option("checkpointLocation", f"{path}/state").trigger(availableNow=True)
     if mode == "append":
         query = write.format("parquet").option("path", f"{path}/out").start()
@@ -63,10 +69,44 @@ def once(events: DataFrame, watermark: str = "60 days") -> DataFrame:
 
 def admission(events: DataFrame, target: str) -> DataFrame:
     """Events by their age on a day: future ones rejected, old ones kept as context; none dropped as late."""
+    return events.select("event_id", _status(target).alias("status"))
+
+
+def _status(target: str) -> Column:
     age = F.datediff(F.lit(target).cast("date"), F.col("ts").cast("date"))
     window = F.when(F.col("event_type").isin("view"), 45).when(F.col("event_type") == "click", 3).otherwise(2)
-    status = F.when(age < 0, "rejected_future").when(age > window, "context_only_stale").otherwise("eligible_current")
-    return events.select("event_id", status.alias("status"))
+    return F.when(age < 0, "rejected_future").when(age > window, "context_only_stale").otherwise("eligible_current")
+
+
+def drain_admission(events: DataFrame, target: str, delay: str = "2 days") -> dict[str, DataFrame]:
+    """Admission over all that has landed, routed: a table of eligible events, one of context, one of rejected ones, and one of late ones.
+
+    An event is late if it is older than the greatest time of the batches
+    before its own by more than ``delay``; late ones are admitted by the same
+    rules and listed besides, never dropped.  A batch that runs again
+    overwrites what it wrote.
+    """
+    spark, path = events.sparkSession, shared_path(events.sparkSession)
+    routes = {"eligible": "status like 'eligible%'", "context": "status like 'context%'", "rejected": "status like 'rejected%'", "late": "late"}
+    schema = "event_id long, ts timestamp, status string, late boolean"
+
+    def step(batch: DataFrame, n: int) -> None:
+        session = batch.sparkSession
+        most = session.read.schema("most timestamp").parquet(f"{path}/times/{n - 1}").first()["most"] if n else None  # of all batches before
+        late = F.col("ts") < F.lit(most).cast("timestamp") - F.expr(f"interval {delay}") if most is not None else F.lit(False)
+        rows = batch.select("event_id", "ts", _status(target).alias("status"), F.coalesce(late, F.lit(False)).alias("late")).persist()
+        try:
+            for name, test in routes.items():
+                rows.where(test).write.mode("overwrite").parquet(f"{path}/{name}/{n}")
+            rows.agg(F.greatest(F.max("ts"), F.lit(most).cast("timestamp")).alias("most")).write.mode("overwrite").parquet(f"{path}/times/{n}")
+        finally:
+            rows.unpersist()
+        done.append(n)
+
+    done: list[int] = []
+    events.writeStream.option("checkpointLocation", f"{path}/state").trigger(availableNow=True).foreachBatch(step).start().awaitTermination()
+    read = lambda name: spark.read.schema(schema).parquet(*[f"{path}/{name}/{k}" for k in range(done[-1] + 1)]) if done else spark.createDataFrame([], schema)
+    return {name: read(name) for name in routes}
 
 
 def ledger_rows(events: DataFrame) -> DataFrame:
@@ -96,7 +136,7 @@ def drain_ledger(events: DataFrame) -> DataFrame:
     the others.  A batch that runs again overwrites what it wrote.
     """
     spark, key = events.sparkSession, F.struct("source_id", "region").alias("key")
-    path = _folder(spark)
+    path = shared_path(spark)
     rows = ledger_rows(events)
     state = "source_id long, region string, fingerprint string, first_seen timestamp, last_seen timestamp, last_changed timestamp, events long"
 
