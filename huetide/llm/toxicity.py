@@ -23,7 +23,7 @@ from huetide.llm.frames import kept, table, written
 from huetide.llm.tokens import ALNUM, Words, chunks, mix
 
 #: Bounds of what reaches the driver: training texts, and the features of theirs that are tied most closely to a category.
-TRAIN, POOL = 6000, 1024
+TRAIN, POOL = 6000, 512
 FOLDS, RIDGE, ROUNDS = 3, 1.0, 60
 #: Words in fewer training texts, or tied more loosely to a category (chi square), are no features.
 LEAST_TEXTS, LEAST_TIE = 5, 15.0
@@ -180,10 +180,10 @@ def train(docs: DataFrame, labels: DataFrame) -> list[Link]:
             tie = (F.col(c) - expected) ** 2 / F.greatest(expected * (1 - positive / n) * (1 - F.col("has") / n), F.lit(1e-9))
             pool |= {r[0] for r in counts.select("word", tie.alias("tie")).orderBy(F.desc("tie"), "word").limit(POOL).collect()}
     listed = docs.sparkSession.createDataFrame([(w,) for w in sorted(pool)], "word long")
-    got = pairs.join(F.broadcast(listed), "word").select("doc_id", "word").collect()  # TRAIN x POOL x categories at most
-    number = {r["doc_id"]: k for k, r in enumerate(said)}
-    row = np.array([number[r["doc_id"]] for r in got], dtype=np.int64)
-    word = np.array([r["word"] for r in got], dtype=np.int64).view(np.uint64)
+    got = pairs.join(F.broadcast(listed), "word").select("doc_id", "word").toArrow()  # TRAIN x POOL x categories at most
+    ids = np.array([r["doc_id"] for r in said], dtype=np.int64)
+    row = np.searchsorted(ids, got.column("doc_id").to_numpy()).astype(np.int64)
+    word = got.column("word").to_numpy().astype(np.int64).view(np.uint64)
     folds = np.array([zlib.crc32(str(r["doc_id"]).encode()) % FOLDS for r in said], dtype=np.int64)
     return fit_chain(row, word, np.array([[r[c] > 0 for c in CHAIN] for r in said], dtype=bool).reshape(n, len(CHAIN)), folds)
 
