@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from huetide.llm.frames import kept, table
+from huetide.llm.frames import kept, table, with_text
 from huetide.llm.tokens import ALNUM, Words, chunks, mix, spans_of
 
 WINDOW = 10
@@ -168,25 +168,26 @@ def decontaminate(
     parts = max(1, -(-total // block_bytes))
     state = "_state_of_marks"
     empty = F.lit(None).cast("struct<n_words:bigint,bits:binary,items:array<string>,longest:bigint>")
-    out = docs.select(*carry, F.col("text").cast("string").alias("_text"), empty.alias(state))
+    out, source = with_text(docs, carry)
+    out = out.withColumn(state, empty)
     if parts > 1:
         items = items.withColumn("_block", F.pmod(F.xxhash64("item_id"), F.lit(parts)))
     for k in range(parts):
         rows = (items.where(F.col("_block") == k) if parts > 1 else items).select("item_id", "text").collect()  # one block: about block_bytes
         sent = spark.sparkContext.broadcast(([r[0] for r in rows], [r[1] for r in rows]))
-        mark = _marker(sent, window, state)
+        mark = _marker(sent, window, source, state)
         if k + 1 < parts:
             out = out.mapInArrow(mark, out.schema)
     finish = _finisher(carry, state, schema)
     return out.mapInArrow(lambda batches: finish(mark(batches)), schema)  # one worker a task marks and finishes
 
 
-def _marker(sent, window: int, state: str):
+def _marker(sent, window: int, source: str, state: str):
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tests = Tests(*sent.value, window)
         for whole in batches:
-            for batch in chunks(whole, "_text", SHARD_BYTES):
-                words = Words(batch.column("_text"), ALNUM, lower=True)
+            for batch in chunks(whole, source, SHARD_BYTES):
+                words = Words(batch.column(source), ALNUM, lower=True)
                 n, texts = batch.num_rows, words.texts()
                 before = batch.column(state).to_pylist()
                 hit, longest = np.zeros(len(words) + 1, dtype=np.int64), np.zeros(n, dtype=np.int64)

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
@@ -21,6 +22,13 @@ def kept(df: DataFrame, keep: list[str] | tuple[str, ...], made: str | T.StructT
     return carry, T.StructType([df.schema[c] for c in carry] + list(made))
 
 
+def with_text(docs: DataFrame, carry: list[str]) -> tuple[DataFrame, str]:
+    """The columns to send to Python, and the name of the text among them: a text that is carried along isn't sent twice."""
+    if "text" in carry and isinstance(docs.schema["text"].dataType, T.StringType):
+        return docs.select(*carry), "text"
+    return docs.select(*carry, F.col("text").cast("string").alias("_text")), "_text"
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset (a local session)."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")

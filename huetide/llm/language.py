@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from huetide.llm.frames import kept, table
+from huetide.llm.frames import kept, table, with_text
 from huetide.llm.tokens import LOWER, chunks, text_bytes
 
 #: Training texts and landmarks a language (bounds of what reaches the driver: a vector of GRAMS half floats a text), and bytes of a piece of text.
@@ -29,7 +29,7 @@ RIDGE = 1e-3
 RESULT = "lang_pred string, score double, margin double"
 _FOLD = LOWER.copy()
 _FOLD[[c for c in range(128) if not chr(c).isalpha()]] = 0x20
-_BATCH = 128
+_BATCH = 64
 
 
 def presence(data: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -128,13 +128,14 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], keep: tuple[s
     RESULT gives way to the result.
     """
     carry, schema = kept(docs, keep, RESULT)
+    rows, source = with_text(docs, carry)
     sent = docs.sparkSession.sparkContext.broadcast(model)  # GRAMS x languages
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, matrix = sent.value
         for whole in batches:
-            for batch in chunks(whole, "_text"):
-                data, at = text_bytes(batch.column("_text"))
+            for batch in chunks(whole, source):
+                data, at = text_bytes(batch.column(source))
                 bounds, owner = pieces(at)
                 total = np.zeros((batch.num_rows, max(1, len(names))))
                 for lo in range(0, len(owner), _BATCH):
@@ -153,7 +154,7 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], keep: tuple[s
                     score[i], margin[i] = (score[i], margin[i]) if known else (0, 0)
                 yield pa.RecordBatch.from_arrays([batch.column(c) for c in carry] + [pa.array(lang, pa.string()), pa.array(score), pa.array(margin)], names=[*carry, "lang_pred", "score", "margin"])
 
-    return docs.select(*carry, F.col("text").cast("string").alias("_text")).mapInArrow(work, schema)
+    return rows.mapInArrow(work, schema)
 
 
 def held_out() -> F.Column:
