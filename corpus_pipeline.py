@@ -17,6 +17,11 @@ from huetide.llm.similar import SEND, similar_documents
 MARGIN = 0.015
 
 
+def _apart(docs: DataFrame) -> tuple[str, ...]:
+    """Names for the columns of docs that no operator makes; the text keeps its own."""
+    return tuple(c if c == "text" else f"_in_{k}" for k, c in enumerate(docs.columns))
+
+
 def language_identification(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that one learned language fits better than the others stay; those that none does, or without any letter, go.
 
@@ -25,8 +30,8 @@ def language_identification(spark: SparkSession, docs: DataFrame, sf_dir: str) -
     one named as a result stays as it came.  An empty table gives no rows.
     """
     model = train_on_documents(docs.select("doc_id", "text", "lang"))
-    names = [f"_in_{k}" for k in range(len(docs.columns))]  # a column of docs may have the name of a result
-    marked = identify(docs.toDF(*names).withColumn("text", F.col(names[docs.columns.index("text")])), model, keep=tuple(names))
+    names = _apart(docs)
+    marked = identify(docs.toDF(*names), model, keep=names)
     return marked.where(f"lang_pred <> 'und' and margin >= {MARGIN}").select(*names).toDF(*docs.columns)
 
 
@@ -57,8 +62,8 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
     alike.  Extra columns are carried on; one with a name of the operator's
     result stays as it came.  An empty table gives no rows.
     """
-    names = [f"_in_{k}" for k in range(len(docs.columns))]
-    marked = decontaminate(docs.toDF(*names).withColumn("text", F.col(names[docs.columns.index("text")])), table(spark, sf_dir, "benchmark"), keep=tuple(names))
+    names = _apart(docs)
+    marked = decontaminate(docs.toDF(*names), table(spark, sf_dir, "benchmark"), keep=names)
     return marked.where("not contaminated").select(*names).toDF(*docs.columns)
 
 
