@@ -32,7 +32,7 @@ TREES, AXES, LEVELS, SEED = 80, 64, 3, 6
 #: Independent normal components, the hardest case, need these for a recall of 0.9; clustered rows need far fewer.
 ENOUGH, LEAST = 0.06, 384
 SHARD_ROWS, BLOCK_QUERIES = 8192, 8192
-BAND = 1.6
+BAND = 2.0
 #: Queries of a block that are looked up at once.
 _STEP = 256
 RESULT = "query_id long, vec_id long, score double, looked long"
