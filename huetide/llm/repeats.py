@@ -4,7 +4,8 @@ A word window that repeats has repeated halves.  At half the wanted length the
 smallest-hashed sub-window of each window stands for it (equal windows choose
 equal ones), so a sixth of the positions is counted.  Only windows whose
 half-length representative repeats are extended to the full length and
-compared there.
+compared there.  ``deduplicate`` needs no longer level than the one it removes;
+``levels`` goes on doubling until nothing repeats.
 
 What repeats inside one slice of texts is settled in its task.  Of each window
 a slice sends its first place alone, so a passage in a third of all documents
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from huetide.llm.frames import kept, table
+from huetide.llm.frames import kept, table, written
 from huetide.llm.tokens import SPACED, Words, chunks, join, mix, spans_of
 
 LENGTH = 20
@@ -49,12 +50,12 @@ def representatives(half: np.ndarray, room: np.ndarray, length: int) -> np.ndarr
     span, n = length - length // 2 + 1, len(half) - (length - length // 2)
     if n <= 0:
         return np.zeros(0, dtype=np.int64)
-    best = half[:n].copy()
-    place = np.zeros(n, dtype=np.int64)
-    for k in range(1, span):
-        less = half[k : k + n] < best
-        best[less], place[less] = half[k : k + n][less], k
-    return (place + np.arange(n))[room[:n]]
+    place, width = np.arange(len(half)), 1
+    while width < span:  # the least of ``width`` from each place on; the last step overlaps, which a minimum allows
+        shift = min(width, span - width)
+        left, right = place[:-shift], place[shift:]
+        place, width = np.where(half[right] < half[left], right, left), width + shift
+    return place[room[:n]]
 
 
 def _of(x: np.ndarray, owner: np.ndarray) -> np.ndarray:
@@ -66,39 +67,70 @@ def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
 
-def _anchors(length: int):
-    """Rows key, anchor, doc_id, sure for each text: its representatives, and anchor 0 for its whole word sequence."""
+def _sorted(batch: pa.RecordBatch, listed: bool) -> pa.RecordBatch:
+    """The rows that take part, by doc_id."""
+    batch = batch.filter(batch.column("anchors" if listed else "doc_id").is_valid())
+    return batch.take(pa.array(np.argsort(batch.column("doc_id").to_numpy(), kind="stable")))
+
+
+def _listed(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """The anchors of all rows, and the row of each."""
+    lists = batch.column("anchors")
+    return lists.flatten().to_numpy().view(np.uint64), np.repeat(np.arange(batch.num_rows), lists.value_lengths().to_numpy())
+
+
+def _anchors(length: int, extend: bool = False):
+    """Rows key, anchor, doc_id, sure for each text: the windows of half the length that represent one of ``length``.
+
+    Without ``extend`` all of them, and anchor 0 for the whole word sequence;
+    with it, those whose own representative is among the text's ``anchors``,
+    the survivors of the level before.
+    """
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in chunks(whole, "text", SLICE_BYTES):
-                batch = batch.filter(batch.column("doc_id").is_valid())
-                batch = batch.take(pa.array(np.argsort(batch.column("doc_id").to_numpy(), kind="stable")))
+                batch = _sorted(batch, extend)
                 ids, words = batch.column("doc_id").to_numpy(), Words(batch.column("text"), SPACED, lower=False)
                 hashes, owner = words.hashes(), words.texts()
                 half = window_hashes(hashes, length // 2)
                 place = np.unique(representatives(half, words.room(length), length))
-                sequence = np.zeros(batch.num_rows, dtype=np.uint64)
-                turn = mix(hashes + (np.arange(len(hashes)) - words.offsets[owner]).astype(np.uint64) * _U(0x9E3779B97F4A7C15))
-                np.add.at(sequence, owner, turn)
+                if extend:
+                    room, size = words.room(length // 2), length // 2
+                    quarter, own = window_hashes(hashes, size // 2), np.zeros(len(words), dtype=np.int64)
+                    own[room] = representatives(quarter, room, size)
+                    place = place[np.isin(_of(quarter[own[place]] | _U(1), owner[place]), _of(*_listed(batch)))]
                 names, owners = half[place] | _U(1), owner[place]
                 _, once = np.unique(_of(names, owners), return_index=True)
-                again, count = np.unique(names, return_counts=True)
+                # a repeated row of a doc_id is no other place
+                _, places = np.unique(_of(_of(names, ids[owners]), place - words.offsets[owners]), return_index=True)
+                again, count = np.unique(names[places], return_counts=True)
                 names, docs = names[once], ids[owners[once]]
-                sure = np.isin(names, again[count > 1])
                 marks = again[count > 1]
-                # whole sequences: even keys; the first text of each in this slice speaks for it
-                texts = np.flatnonzero(words.counts >= length)
-                whole_names, first = np.unique(sequence[texts] & ~_U(1), return_index=True)
-                speaks = ids[texts[first]]
-                copies = np.setdiff1d(texts, texts[first])
-                copies = copies[ids[copies] > speaks[np.searchsorted(whole_names, sequence[copies] & ~_U(1))]]  # a repeated row is no copy of itself
-                key = np.concatenate([np.where(sure, _of(names, docs), names), marks, whole_names, _of(sequence[copies], ids[copies])])
-                anchor = np.concatenate([names, marks, np.zeros(len(first) + len(copies), dtype=np.uint64)])
-                doc = np.concatenate([docs, np.zeros(len(marks), dtype=np.int64), speaks, ids[copies]]).astype(np.int64)
-                mark = np.concatenate([np.zeros(len(docs), dtype=bool), np.ones(len(marks), dtype=bool), np.zeros(len(first) + len(copies), dtype=bool)])
-                settled = np.concatenate([sure, np.zeros(len(marks) + len(first), dtype=bool), np.ones(len(copies), dtype=bool)])
-                yield pa.RecordBatch.from_arrays([_signed(key), _signed(anchor), pa.array(doc, mask=mark), pa.array(settled)], names=["key", "anchor", "doc_id", "sure"])
+                sure = np.isin(names, marks)
+                speaks, whole_names, copies = (np.zeros(0, dtype=x) for x in (np.int64, np.uint64, np.int64))
+                if not extend:  # whole sequences: even keys; the first text of each in this slice speaks for it
+                    sequence = np.zeros(batch.num_rows, dtype=np.uint64)
+                    turn = mix(hashes + (np.arange(len(hashes)) - words.offsets[owner]).astype(np.uint64) * _U(0x9E3779B97F4A7C15))
+                    np.add.at(sequence, owner, turn)
+                    sequence &= ~_U(1)
+                    texts = np.flatnonzero(words.counts >= length)
+                    whole_names, first = np.unique(sequence[texts], return_index=True)
+                    speaks = ids[texts[first]]
+                    copies = np.setdiff1d(texts, texts[first])
+                    copies = copies[ids[copies] > speaks[np.searchsorted(whole_names, sequence[copies])]]  # nor a copy of itself
+                n, m, w, c = len(docs), len(marks), len(speaks), len(copies)
+                key = [np.where(sure, _of(names, docs), names), marks, whole_names] + ([] if extend else [_of(sequence[copies], ids[copies])])
+                doc = np.concatenate([docs, np.zeros(m, dtype=np.int64), speaks, ids[copies]]).astype(np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        _signed(np.concatenate(key)),
+                        _signed(np.concatenate([names, marks, np.zeros(w + c, dtype=np.uint64)])),
+                        pa.array(doc, mask=np.repeat([False, True, False], [n, m, w + c])),
+                        pa.array(np.concatenate([sure, np.repeat([False, True], [m + w, c])])),
+                    ],
+                    names=["key", "anchor", "doc_id", "sure"],
+                )
 
     return emit
 
@@ -109,16 +141,13 @@ def _windows(length: int):
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in chunks(whole, "text", SLICE_BYTES):
-                batch = batch.filter(batch.column("anchors").is_valid())
-                batch = batch.take(pa.array(np.argsort(batch.column("doc_id").to_numpy(), kind="stable")))
+                batch = _sorted(batch, True)
                 ids, words = batch.column("doc_id").to_numpy(), Words(batch.column("text"), SPACED, lower=False)
                 hashes, owner = words.hashes(), words.texts()
                 half, full, room = window_hashes(hashes, length // 2), window_hashes(hashes, length), words.room(length)
-                lists = batch.column("anchors")
-                flat, at = lists.flatten().to_numpy().view(np.uint64), np.concatenate(([0], np.cumsum(lists.value_lengths().to_numpy()))).astype(np.int64)
+                flat, text = _listed(batch)
                 start = np.flatnonzero(room[: len(full)])
                 rep = representatives(half, room, length)
-                text = np.repeat(np.arange(len(ids)), np.diff(at))
                 copy = np.zeros(len(ids), dtype=bool)
                 copy[text[flat == 0]] = True
                 on = np.isin(_of(half[rep] | _U(1), owner[rep]), _of(flat, text)) & ~copy[owner[start]]
@@ -156,14 +185,52 @@ def _split(starts: np.ndarray, ends: np.ndarray, offsets: np.ndarray) -> tuple[n
     return np.union1d(starts, cuts).astype(np.int64), np.union1d(ends, np.setdiff1d(cuts, starts)).astype(np.int64)
 
 
+def _survivors(sent: DataFrame) -> DataFrame:
+    """doc_id and anchors: its representatives that stand in another place too; 0 for a text that an earlier one equals."""
+    by_key = Window.partitionBy("key")
+    sent = sent.withColumns({"least": F.min("doc_id").over(by_key), "most": F.max("doc_id").over(by_key), "told": F.bool_or(F.col("doc_id").isNull()).over(by_key)})
+    again = F.when(F.col("anchor") == 0, F.col("least") < F.col("doc_id")).otherwise(F.col("told") | (F.col("least") < F.col("most")))
+    return sent.where(F.col("doc_id").isNotNull() & (F.col("sure") | again)).groupBy("doc_id").agg(F.collect_set("anchor").alias("anchors"))
+
+
+def _rows(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+
+
+_SENT = "key long, anchor long, doc_id long, sure boolean"
+
+
+def levels(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+    """doc_id and longest: how long the windows of a document are that stand in another place too, in doubling steps.
+
+    Representatives of ``length // 2`` words are counted; those that repeat,
+    and only they, are extended to ``length`` words, those that repeat there
+    to twice that, until no document has a survivor.  Each level is a written
+    table, and only its documents' texts are read for the next.
+
+    ``longest`` is the last level at which a document has a survivor: a window
+    of so many words repeats, and none of four times as many does.  Documents
+    without one aren't returned.  Of an exact copy of an earlier text,
+    ``longest`` is null (all of it repeats), and later levels leave it out.
+    Rows with null doc_id, null text or no words take no part; repeated rows
+    of a doc_id count once.
+    """
+    rows, by_doc = _rows(docs), F.array_contains("anchors", 0)
+    marks = written(_survivors(rows.mapInArrow(_anchors(length), _SENT)), "repeats")
+    out = marks.select("doc_id", F.when(~by_doc, length // 2).cast("long").alias("longest"), by_doc.alias("copy"))
+    size, marks = length, marks.where(~by_doc)
+    while not marks.isEmpty():
+        sent = rows.join(marks, "doc_id").mapInArrow(_anchors(2 * size, extend=True), _SENT)
+        marks = written(_survivors(sent), "repeats")
+        out = out.unionByName(marks.select("doc_id", F.lit(size).cast("long").alias("longest"), F.lit(False).alias("copy")))
+        size *= 2
+    return out.groupBy("doc_id").agg(F.when(~F.bool_or("copy"), F.max("longest")).alias("longest"))
+
+
 def repeated(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """doc_id and spans (array of start, length in words; length 0: the whole text) that an earlier equal window covers."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    by_key = Window.partitionBy("key")
-    half = rows.mapInArrow(_anchors(length), "key long, anchor long, doc_id long, sure boolean")
-    half = half.withColumns({"n": F.count("*").over(by_key), "first": F.min("doc_id").over(by_key)})
-    marks = half.where("doc_id is not null and (sure or (anchor <> 0 and n > 1) or (anchor = 0 and first < doc_id))")
-    marks = marks.groupBy("doc_id").agg(F.collect_set("anchor").alias("anchors"))
+    rows, by_key = _rows(docs), Window.partitionBy("key")
+    marks = _survivors(rows.mapInArrow(_anchors(length), _SENT))
     full = rows.join(marks, "doc_id", "left").mapInArrow(_windows(length), "key long, doc_id long, start int, length int, sure boolean")
     full = full.withColumn("least", F.min(F.struct("doc_id", "start")).over(by_key))
     later = full.where(F.col("sure") | (F.col("least") < F.struct("doc_id", "start"))).select("doc_id", "start", "length")
@@ -182,7 +249,7 @@ def deduplicate(docs: DataFrame, length: int = LENGTH, keep: tuple[str, ...] = (
     kept one that has a name of RESULT gives way to the result.
     """
     carry, schema = kept(docs, keep, RESULT)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = _rows(docs)
     extra = [c for c in carry if c != "doc_id"]
     left = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *[F.col(c).alias(f"_keep_{c}") for c in extra]) if extra else rows
     joined = left.join(repeated(rows, length), "doc_id", "left")

@@ -1,4 +1,5 @@
 import hashlib
+from collections import Counter
 
 import numpy as np
 
@@ -60,6 +61,39 @@ def test_like_brute_force(spark, monkeypatch):
     assert rows(repeats.deduplicate(documents(spark, texts).repartition(3), length=7)) == brute(texts, 7)
 
 
+def test_representatives_are_the_first_least():
+    rng = np.random.default_rng(1)
+    half = rng.integers(0, 9, 200).astype(np.uint64)
+    for length in (2, 3, 7, 10, 20, 64):
+        n = len(half) - (length - length // 2)
+        room = rng.random(n + 5) < 0.7
+        want = [i + int(np.argmin(half[i : i + length - length // 2 + 1])) for i in range(n) if room[i]]
+        assert repeats.representatives(half, room, length).tolist() == want
+
+
+def test_levels_go_on_until_nothing_repeats(spark):
+    rng = np.random.default_rng(8)
+    say = lambda n: " ".join(str(x) for x in rng.integers(0, 10**9, n))
+    shared = say(330)
+    parts = [" ".join(shared.split()[:n]) for n in (8, 15, 40, 41, 85, 170, 299, 330)]
+    texts = [say(int(rng.integers(0, 60))) + " " + p + " " + say(3) for p in parts] + [say(90), None, "", say(30) + " " + "z " * 100]
+    texts += [" ".join([say(25)] * 2), shared]
+    words, longest = [split(t) for t in texts], [0] * len(texts)
+    for n in range(1, 334):
+        places = [(tuple(w[j : j + n]), i) for i, w in enumerate(words) for j in range(len(w) - n + 1)]
+        count = Counter(window for window, _ in places)
+        for i in {i for window, i in places if count[window] > 1}:
+            longest[i] = n
+    texts.append(texts[5])
+    docs = documents(spark, texts)
+    for df in (docs.repartition(4), docs.unionAll(docs).repartition(3)):
+        got = {r.doc_id: r.longest for r in repeats.levels(df).collect()}
+        assert got.pop(len(longest)) is None
+        for i, n in enumerate(longest):
+            assert got.get(i, 0) <= n < 4 * max(got.get(i, 0), 5), (i, got.get(i), n)
+    assert repeats.levels(empty(spark)).count() == 0
+
+
 def test_repeated_rows_and_empty_table(spark):
     texts = some_texts()[:20]
     docs = documents(spark, texts)
