@@ -78,6 +78,20 @@ def suppress(rows: DataFrame, conflicts: DataFrame) -> DataFrame:
             return rows.join(state.where("kept").select("id"), "id", "left_semi")
 
 
+def suppression_faults(rows: DataFrame, conflicts: DataFrame) -> DataFrame:
+    """One row of two counts, both 0 if ``suppress`` is right: kept pairs that conflict, and rejected rows that no kept better row conflicts with."""
+    conflicts = settled(conflicts.select("a", "b"))
+    kept = settled(suppress(rows, conflicts).select("id"))
+    both = conflicts.unionByName(conflicts.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    by = both.join(kept.withColumnRenamed("id", "b"), "b", "left_semi")
+    by = by.join(rows.select(F.col("id").alias("a"), F.col("rank").alias("ra")), "a").join(rows.select(F.col("id").alias("b"), F.col("rank").alias("rb")), "b")
+    beaten = by.where((F.col("rb") < F.col("ra")) | ((F.col("rb") == F.col("ra")) & (F.col("b") < F.col("a")))).select(F.col("a").alias("id"))
+    clash = conflicts.join(kept.withColumnRenamed("id", "a"), "a", "left_semi").join(kept.withColumnRenamed("id", "b"), "b", "left_semi").select(F.lit(1).alias("c"), F.lit(0).alias("u"))
+    alone = rows.select("id").join(kept, "id", "left_anti").join(beaten, "id", "left_anti").select(F.lit(0).alias("c"), F.lit(1).alias("u"))
+    zero = F.lit(0).cast("long")
+    return clash.unionByName(alone).agg(F.coalesce(F.sum("c"), zero).alias("kept_conflicts"), F.coalesce(F.sum("u"), zero).alias("unwitnessed"))
+
+
 def grid_edges(cells: DataFrame, eight: bool = False) -> DataFrame:
     """Pairs of neighbouring cells (image_id, y, x) of a mask, as ids image_id * 4096 + y * 64 + x."""
     steps = [(0, 1), (1, 0), (1, 1), (1, -1)] if eight else [(0, 1), (1, 0)]

@@ -31,8 +31,9 @@ def rotation(panel: DataFrame, date: str, k: int, mandatory: Column) -> DataFram
     if musts > k:
         raise ValueError(f"{musts} sources are mandatory, but only {k} are asked for")
     rows = panel.withColumns({"mandatory": mandatory, "h": F.sha2(F.concat_ws(":", F.lit(date), F.col("actor").cast("string")), 256)})
-    turn = F.when(F.col("mandatory"), 0).otherwise(F.row_number().over(Window.partitionBy("domain", "mandatory").orderBy("h")))
-    return rows.withColumn("turn", turn).orderBy(F.desc("mandatory"), "turn", "domain", "h").limit(k)
+    # no more than k of a domain can be taken, so a group keeps k rows before it is sorted whole
+    ranked = rows.withColumn("turn", F.row_number().over(Window.partitionBy("domain", "mandatory").orderBy("h"))).where(F.col("turn") <= k)
+    return ranked.withColumn("turn", F.when(F.col("mandatory"), 0).otherwise(F.col("turn"))).orderBy(F.desc("mandatory"), "turn", "domain", "h").limit(k)
 
 
 def hash_sample(rows: DataFrame, date: str, n: int, id_: str) -> DataFrame:

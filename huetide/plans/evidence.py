@@ -102,7 +102,7 @@ FROM images i JOIN panel p ON p.actor = i.actor GROUP BY ALL""",
     views=("images", "panel"),
 )
 def observation_registry(v: Views) -> DataFrame:
-    rows = v.images.join(F.broadcast(v.panel), "actor")  # the registry: 40 rows
+    rows = v.images.join(F.broadcast(v.panel), "actor")  # 40 actors at most, by its grouping
     return rows.groupBy("domain", "stage", "scale", "panel").agg(F.count("*").alias("images"), F.count_distinct("actor").alias("actors"), F.round(F.avg("confidence"), 6).alias("confidence"))
 
 

@@ -100,20 +100,22 @@ def hash_distance(v: Views) -> DataFrame:
     return pairs.select("a", "b", g.hamming(F.col("ha"), F.col("hb")).cast("long").alias("bits"))
 
 
-def kept_images(v: Views) -> DataFrame:
-    rows = v.embeddings.select(F.col("vec_id").alias("id"), F.col("label").alias("rank"))
-    return g.suppress(rows, hash_conflicts(v))
+#: What the SQL says of a suppression: no kept conflict, no rejected row without a kept better one.
+NO_FAULTS = "SELECT CAST(0 AS BIGINT) AS kept_conflicts, CAST(0 AS BIGINT) AS unwitnessed"
+
+
+def ranked_images(v: Views) -> DataFrame:
+    return v.embeddings.select(F.col("vec_id").alias("id"), F.col("label").alias("rank"))
 
 
 @query("alg08_hash_suppression")
 def hash_suppression(v: Views) -> DataFrame:
-    return kept_images(v).select(F.col("id").alias("image_id"))
+    return g.suppress(ranked_images(v), hash_conflicts(v)).select(F.col("id").alias("image_id"))
 
 
-@query("alg08_hash_suppression_violations", "SELECT CAST(0 AS BIGINT) AS kept_conflicts")
+@query("alg08_hash_suppression_violations", NO_FAULTS)
 def hash_violations(v: Views) -> DataFrame:
-    k = kept_images(v).select("id")
-    return hash_conflicts(v).join(k.withColumnRenamed("id", "a"), "a", "left_semi").join(k.withColumnRenamed("id", "b"), "b", "left_semi").agg(F.count("*").alias("kept_conflicts"))
+    return g.suppression_faults(ranked_images(v), hash_conflicts(v))
 
 
 def box_conflicts(v: Views) -> DataFrame:
@@ -181,10 +183,18 @@ def region_confidence(v: Views) -> DataFrame:
     return scored_boxes(v).select("box_id", *r6("area_ratio"), F.round(F.least(F.lit(1.0), "confidence"), 6).alias("confidence"))
 
 
+def ranked_boxes(v: Views) -> DataFrame:
+    return scored_boxes(v).select(F.col("box_id").alias("id"), (-F.round("confidence", 9)).alias("rank"))
+
+
 @query("alg08_box_suppression")
 def box_suppression(v: Views) -> DataFrame:
-    rows = scored_boxes(v).select(F.col("box_id").alias("id"), (-F.round("confidence", 9)).alias("rank"))
-    return g.suppress(rows, box_conflicts(v)).select(F.col("id").alias("box_id"))
+    return g.suppress(ranked_boxes(v), box_conflicts(v)).select(F.col("id").alias("box_id"))
+
+
+@query("alg08_box_suppression_violations", NO_FAULTS)
+def box_violations(v: Views) -> DataFrame:
+    return g.suppression_faults(ranked_boxes(v), box_conflicts(v))
 
 
 # colours: pairs within a limit
@@ -211,15 +221,18 @@ def distinct_colours(v: Views) -> DataFrame:
     return rows.select("day", "hex", "votes", "ll", "la", "lb", F.xxhash64("day", "hex").alias("id"))
 
 
-@query("alg08_colour_suppression_violations", "SELECT CAST(0 AS BIGINT) AS kept_conflicts")
+def ranked_colours(v: Views) -> tuple[DataFrame, DataFrame]:
+    rows = g.settled(distinct_colours(v).withColumn("rank", F.struct(-F.col("votes"), F.col("hex"))))
+    return rows, g.near_pairs(rows, ["day"], 0.04).where("distance < 0.04")
+
+
+@query("alg08_colour_suppression_violations", NO_FAULTS)
 def colour_violations(v: Views) -> DataFrame:
-    k = kept_colours(v)
-    return g.near_pairs(k, ["day"], 0.04).where("distance < 0.04").agg(F.count("*").alias("kept_conflicts"))
+    return g.suppression_faults(*ranked_colours(v))
 
 
 def kept_colours(v: Views) -> DataFrame:
-    rows = distinct_colours(v).withColumn("rank", F.struct(-F.col("votes"), F.col("hex")))
-    return g.suppress(rows, g.near_pairs(rows, ["day"], 0.04).where("distance < 0.04"))
+    return g.suppress(*ranked_colours(v))
 
 
 @query("alg08_colour_suppression")

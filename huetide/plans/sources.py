@@ -24,17 +24,19 @@ def registry_validation(v: Views) -> DataFrame:
     return pn.registry_violations(v.customer, checks, "c_custkey")
 
 
-@query("agg22_registry_statistics", "SELECT *, sources >= 30 AND domains >= 10 AND stages = 3 AND panels = 2 AND sectors_known AS ok FROM (SELECT count(*) AS sources, count(DISTINCT domain) AS domains, count(DISTINCT stage) AS stages, count(DISTINCT panel) AS panels, bool_and(sector IS NOT NULL) AS sectors_known FROM panel)", views=("panel",))
+@query("agg22_registry_statistics", "SELECT *, sources >= 30 AND domains >= 10 AND stages = 3 AND panels = 2 AND sectors_known AS ok FROM (SELECT count(*) AS sources, count(DISTINCT domain) AS domains, count(DISTINCT stage) AS stages, count(DISTINCT panel) AS panels, bool_and(sector IS NOT NULL) AS sectors_known FROM registry)", views=("registry",))
 def registry_statistics(v: Views) -> DataFrame:
-    return pn.statistics(v.panel)
+    return pn.statistics(v.registry)
 
 
-ROTATION = f"""SELECT actor, domain, mandatory FROM (SELECT *, CASE WHEN mandatory THEN 0 ELSE row_number() OVER (PARTITION BY domain, mandatory ORDER BY h) END AS turn FROM (SELECT *, actor % 8 = 3 AS mandatory, sha256('{DATE}:' || CAST(actor AS VARCHAR)) AS h FROM panel WHERE panel = 'discovery')) ORDER BY mandatory DESC, turn, domain, h LIMIT 10"""
+#: Sources that every rotation takes.
+MANDATORY = (3, 19, 43)
+ROTATION = f"""SELECT actor, domain, mandatory FROM (SELECT *, CASE WHEN mandatory THEN 0 ELSE row_number() OVER (PARTITION BY domain, mandatory ORDER BY h) END AS turn FROM (SELECT *, actor IN {MANDATORY} AS mandatory, sha256('{DATE}:' || CAST(actor AS VARCHAR)) AS h FROM registry WHERE panel = 'discovery')) ORDER BY mandatory DESC, turn, domain, h LIMIT 10"""
 
 
-@query("win07_domain_rotation", ROTATION, views=("panel",))
+@query("win07_domain_rotation", ROTATION, views=("registry",))
 def domain_rotation(v: Views) -> DataFrame:
-    return pn.rotation(v.panel.where("panel = 'discovery'"), DATE, 10, F.col("actor") % 8 == 3).select("actor", "domain", "mandatory")
+    return pn.rotation(v.registry.where("panel = 'discovery'"), DATE, 10, F.col("actor").isin(*MANDATORY)).select("actor", "domain", "mandatory")
 
 
 @query("top06_hash_sample", f"SELECT c_custkey FROM customer ORDER BY sha256('smoke:{DATE}:' || CAST(c_custkey AS VARCHAR)) LIMIT 25")
@@ -42,11 +44,11 @@ def hash_sample(v: Views) -> DataFrame:
     return pn.hash_sample(v.customer.select("c_custkey"), DATE, 25, "c_custkey")
 
 
-@query("set05_panel_partition", f"SELECT p.actor, CASE WHEN p.panel = 'benchmark' THEN 'active' WHEN s.actor IS NOT NULL THEN 'selected' ELSE 'skipped' END AS status FROM panel p LEFT JOIN (SELECT actor FROM ({ROTATION})) s ON s.actor = p.actor", views=("panel",))
+@query("set05_panel_partition", f"SELECT p.actor, CASE WHEN p.panel = 'benchmark' THEN 'active' WHEN s.actor IS NOT NULL THEN 'selected' ELSE 'skipped' END AS status FROM registry p LEFT JOIN (SELECT actor FROM ({ROTATION})) s ON s.actor = p.actor", views=("registry",))
 def panel_partition(v: Views) -> DataFrame:
-    chosen = pn.rotation(v.panel.where("panel = 'discovery'"), DATE, 10, F.col("actor") % 8 == 3).select("actor", F.lit(True).alias("chosen"))
+    chosen = pn.rotation(v.registry.where("panel = 'discovery'"), DATE, 10, F.col("actor").isin(*MANDATORY)).select("actor", F.lit(True).alias("chosen"))
     status = F.when(F.col("panel") == "benchmark", "active").when(F.col("chosen"), "selected").otherwise("skipped")
-    return v.panel.join(F.broadcast(chosen), "actor", "left").select("actor", status.alias("status"))
+    return v.registry.join(F.broadcast(chosen), "actor", "left").select("actor", status.alias("status"))
 
 
 @query("win06_round_robin", "SELECT role, conv_id, turn FROM (SELECT *, row_number() OVER (PARTITION BY role ORDER BY conv_id, turn) AS rn FROM conversations) ORDER BY rn, role LIMIT 60")

@@ -15,11 +15,16 @@ from pyspark.sql import DataFrame, SparkSession
 BASE = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 VIEWS: dict[str, str | tuple[str, str]] = {
-    "panel": """
+    # every customer is a source of the registry; sources are grouped into 40 actors, each with what its first source has
+    "registry": """
 SELECT c_custkey AS actor, c_name AS actor_name, c_nationkey % 12 AS domain, c_nationkey AS sector,
        c_custkey % 3 AS stage, c_mktsegment AS scale, c_custkey % 8 AS platform,
        CASE WHEN c_custkey % 5 < 3 THEN 'benchmark' ELSE 'discovery' END AS panel
-FROM {customer} WHERE c_custkey < 40""",
+FROM {customer}""",
+    "panel": """
+SELECT k AS actor, min_by(actor_name, actor) AS actor_name, min_by(domain, actor) AS domain, min_by(sector, actor) AS sector,
+       min_by(stage, actor) AS stage, min_by(scale, actor) AS scale, min_by(platform, actor) AS platform, min_by(panel, actor) AS panel
+FROM (SELECT *, actor % 40 AS k FROM {registry}) r GROUP BY k""",
     "images": """
 SELECT o_orderkey AS image_id, o_custkey % 40 AS actor,
        CAST(date_trunc('month', o_orderdate) AS DATE) AS day, CAST(o_orderdate AS DATE) AS captured_on,
