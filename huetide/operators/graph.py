@@ -78,10 +78,10 @@ def suppress(rows: DataFrame, conflicts: DataFrame) -> DataFrame:
             return rows.join(state.where("kept").select("id"), "id", "left_semi")
 
 
-def suppression_faults(rows: DataFrame, conflicts: DataFrame) -> DataFrame:
-    """One row of two counts, both 0 if ``suppress`` is right: kept pairs that conflict, and rejected rows that no kept better row conflicts with."""
+def suppression_faults(rows: DataFrame, conflicts: DataFrame, kept: DataFrame | None = None) -> DataFrame:
+    """One row of two counts, both 0 if ``kept`` (what ``suppress`` keeps, unless given) is right: kept pairs that conflict, and rejected rows that no kept better row conflicts with."""
     conflicts = settled(conflicts.select("a", "b"))
-    kept = settled(suppress(rows, conflicts).select("id"))
+    kept = settled((suppress(rows, conflicts) if kept is None else kept).select("id"))
     both = conflicts.unionByName(conflicts.select(F.col("b").alias("a"), F.col("a").alias("b")))
     by = both.join(kept.withColumnRenamed("id", "b"), "b", "left_semi")
     by = by.join(rows.select(F.col("id").alias("a"), F.col("rank").alias("ra")), "a").join(rows.select(F.col("id").alias("b"), F.col("rank").alias("rb")), "b")

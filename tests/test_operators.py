@@ -114,3 +114,14 @@ def test_overlay_terms_are_found_anywhere_in_a_page(spark):
     rows = spark.createDataFrame([(k, "https://e.org/", h) for k, h in enumerate(html)], "page_id long, dated_url string, html string")
     got = {r.page_id: r.status for r in dated.status_rows(SimpleNamespace(page_dates=rows)).select("page_id", "status").collect()}
     assert got[0] != "rejected_overlay" and got[1] == got[2] == "rejected_overlay"
+
+
+def test_suppression_faults_are_counted(spark):
+    rows = spark.createDataFrame([(k, k) for k in range(5)], "id long, rank long")
+    pairs = spark.createDataFrame([(0, 1), (2, 1), (3, 4)], "a long, b long")
+    kept = lambda *ids: spark.createDataFrame([(i,) for i in ids], "id long")
+    count = lambda *k: tuple(graph.suppression_faults(rows, pairs, *k).first())
+    assert count() == count(kept(0, 2, 3)) == (0, 0)
+    assert count(kept(0, 1, 2, 3)) == (2, 0)
+    assert count(kept(0, 3)) == (0, 1)
+    assert count(kept(0, 2, 4)) == (0, 1)
