@@ -209,8 +209,8 @@ def levels(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     table, and only its documents' texts are read for the next.
 
     ``longest`` is the last level at which a document has a survivor: a window
-    of so many words repeats, and none of four times as many does.  Documents
-    without one aren't returned.  Of an exact copy of an earlier text,
+    of so many words repeats, and none of four times as many does outside
+    exact copies.  Documents without one aren't returned.  Of an exact copy of an earlier text,
     ``longest`` is null (all of it repeats), and later levels leave it out.
     Rows with null doc_id, null text or no words take no part; repeated rows
     of a doc_id count once.
