@@ -84,10 +84,51 @@ select d.doc_id, any_value(len(w)) as n_words, count(label) as n_base, min(i) as
 from d left join places using (doc_id) group by d.doc_id
 """
 
+#: CRC-32 by its table of 256 entries, which the first two queries make; the second text takes the bytes of one string.
+_CRC_TABLE = """
+table_steps(n, c, k) as (
+    select i, i, 0 from (select unnest(range(0::bigint, 256)) as i)
+    union all
+    select n, case when c % 2 = 1 then xor(c >> 1, 3988292384) else c >> 1 end, k + 1 from table_steps where k < 8
+),
+crc_table as (select list(c order by n) as crc from table_steps where k = 8)
+"""
+_CRC = (
+    "xor(coalesce(list_reduce(list_transform(regexp_extract_all(hex(encode({0})), '..'), lambda x: ('0x' || x)::bigint), "
+    "lambda c, b: xor(c >> 8, crc[xor(c, b) % 256 + 1]), 4294967295::bigint), 4294967295), 4294967295)"
+)
+
+SHARDS = rf"""
+with recursive {_CRC_TABLE},
+d as (select doc_id, coalesce(text, '') as text from documents),
+keyed as (
+    select doc_id, strlen(text) + 8 as size, {_CRC.format("text")} as text_crc32,
+        left(md5(text), 15) || lpad(lower(to_hex((doc_id::hugeint + 9223372036854775808)::ubigint)), 16, '0') as key
+    from d, crc_table
+),
+levels(chars) as (values (3), (6), (9), (12), (15), (18), (21), (24), (27), (30), (31)),
+bins as (select chars, left(key, chars) as bin, sum(size)::bigint as size from keyed, levels group by all),
+edges as (
+    select chars, (sum(size) over (partition by chars order by bin))::bigint as below from bins
+    union all
+    select chars, 0 from levels
+),
+wanted as (select k, total from (select sum(size)::bigint as total from keyed), (select unnest(range(1, 24)) as k)),
+near as (
+    select k, chars, below, abs(below * 24 - k * total) as miss, total from edges, wanted
+    qualify row_number() over (partition by k, chars order by miss, below) = 1
+),
+cuts as (select k, below from near where miss * 1000 <= total or chars = 31 qualify row_number() over (partition by k order by chars) = 1),
+placed as (select *, coalesce(sum(size) over (order by key rows between unbounded preceding and 1 preceding), 0) as before from keyed),
+dealt as (select *, (select count(*) from cuts where below <= before)::int as shard from placed)
+select doc_id, size, text_crc32, 'bytes' as law, shard, row_number() over (partition by shard order by key) - 1 as slot, null::int as grown_shard from dealt
+"""
+
 ORACLES = {
     "op2_suffix_decontamination": DECONTAMINATION,
     "op4_substring_doubling": REPEATS,
     "op8_jaccard_components": COMPONENTS,
+    "op13_histogram_shards": SHARDS,
     "secrets_base_columns": SECRETS,
     "licenses_base_columns": LICENSES,
 }
