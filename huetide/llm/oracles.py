@@ -124,10 +124,50 @@ dealt as (select *, (select count(*) from cuts where below <= before)::int as sh
 select doc_id, size, text_crc32, 'bytes' as law, shard, row_number() over (partition by shard order by key) - 1 as slot, null::int as grown_shard from dealt
 """
 
+#: Level k names grams of 2**k words; neighbouring equal grams at a distance from 2**(k-1) to below 2**k lie in a stretch of that period.
+_LEVELS = 15  # texts of up to 2**17 words
+_NAMES = ",\n".join(
+    f"g{k} as (select doc_id, i, dense_rank() over (order by x, y) as x from (select doc_id, i, x, lead(x, {2 ** (k - 1)}) over (partition by doc_id order by i) as y from g{k - 1}) where y is not null)"
+    for k in range(1, _LEVELS + 1)
+)
+_PAIRS = "\nunion all ".join(
+    f"select doc_id, i, q, {2**k} as gram from (select doc_id, i, lead(i) over (partition by doc_id, x order by i) - i as q from g{k}) where q >= {2 ** (k - 1)} and q < {2**k}"
+    for k in range(1, _LEVELS + 1)
+)
+RUNS = rf"""
+with recursive {_CRC_TABLE},
+d as (select doc_id, coalesce({_SPACED.format("text")}, []) as w, {_CRC.format("doc_id::varchar")} as h from documents, crc_table),
+g as (select *, h // 10 as g, len(w) as n from d),
+ap as (select *, case when n > 0 then g % n end as a from g),
+pp as (select *, 1 + (n - a) // (3 + g % 8) as p from ap),
+planted as (
+    select doc_id, case when h % 10 = 0 and n > 0 then list_transform(range(0, n), lambda i: w[case when i < a then i else a + (i - a) % p end + 1]) else w end as w from pp
+),
+words as (select doc_id, unnest(range(0, len(w))) as i, unnest(w) as word from planted),
+g0 as (select doc_id, i, dense_rank() over (order by word) as x from words),
+{_NAMES},
+pairs as ({_PAIRS}),
+grouped as (select *, i - row_number() over (partition by doc_id, gram, q order by i) as island from pairs),
+stretches as (select doc_id, min(i) as start, max(i) - min(i) + q + gram as length, q as period from grouped group by doc_id, gram, q, island),
+runs as (select * from stretches where length >= greatest(6, 4 * period)),
+listed as (
+    select doc_id, count(*) as n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' order by start, period) as said from runs group by doc_id
+),
+best as (
+    select * from runs qualify row_number() over (partition by doc_id order by length::double / period desc, start, period) = 1
+),
+gone as (select distinct doc_id, unnest(range(start + period, start + length)) as i from runs),
+stays as (select doc_id, string_agg(word, ' ' order by i) as said from words anti join gone using (doc_id, i) group by doc_id)
+select d.doc_id, coalesce(n_runs, 0) as n_runs, start, length, period, 1000 * length // period as exponent_milli,
+    sha256(coalesce(l.said, '')) as runs_sha256, sha256(coalesce(s.said, '')) as collapsed_sha256
+from d left join listed l using (doc_id) left join best using (doc_id) left join stays s using (doc_id)
+"""
+
 ORACLES = {
     "op2_suffix_decontamination": DECONTAMINATION,
     "op4_substring_doubling": REPEATS,
     "op8_jaccard_components": COMPONENTS,
+    "op12_periodic_runs": RUNS,
     "op13_histogram_shards": SHARDS,
     "secrets_base_columns": SECRETS,
     "licenses_base_columns": LICENSES,

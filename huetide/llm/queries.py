@@ -12,6 +12,7 @@ from huetide.llm.licenses import op10_license_signatures
 from huetide.llm.neighbours import op6_hash_prefix_forest
 from huetide.llm.oracles import ORACLES
 from huetide.llm.packing import op7_length_buckets
+from huetide.llm.periodic import op12_periodic_runs
 from huetide.llm.pseudonyms import op3_feistel_pseudonyms
 from huetide.llm.repeats import op4_substring_doubling
 from huetide.llm.secrets import op5_secret_scan
@@ -32,7 +33,7 @@ def licenses_base_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    made = (op1_classifier_chain_toxicity, op2_suffix_decontamination, op3_feistel_pseudonyms, op4_substring_doubling, op5_secret_scan, op6_hash_prefix_forest, op7_length_buckets, op8_jaccard_components, op9_string_kernel_language, op10_license_signatures, op13_histogram_shards, secrets_base_columns, licenses_base_columns)
+    made = (op1_classifier_chain_toxicity, op2_suffix_decontamination, op3_feistel_pseudonyms, op4_substring_doubling, op5_secret_scan, op6_hash_prefix_forest, op7_length_buckets, op8_jaccard_components, op9_string_kernel_language, op10_license_signatures, op12_periodic_runs, op13_histogram_shards, secrets_base_columns, licenses_base_columns)
     return {f.__name__: f for f in made}
 
 
