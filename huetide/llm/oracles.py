@@ -163,10 +163,42 @@ select d.doc_id, coalesce(n_runs, 0) as n_runs, start, length, period, 1000 * le
 from d left join listed l using (doc_id) left join best using (doc_id) left join stays s using (doc_id)
 """
 
+TRIE = rf"""
+with recursive {_CRC_TABLE},
+turns as (
+    select conv_id, {{'role': coalesce(role, ''), 'text': coalesce(text, '')}} as said,
+        row_number() over (partition by conv_id order by turn nulls first, coalesce(role, ''), coalesce(text, '')) as i
+    from conversations where conv_id is not null
+),
+own as (select conv_id, list(said order by i) as said from turns group by all),
+heads as (select *, {_CRC.format("conv_id::varchar")} % 9 as h from own, crc_table),
+rebuilt as (
+    select a.conv_id, list_concat(coalesce(b.said, [])[1 : a.h], a.said[a.h + 1 : len(a.said)]) as said
+    from heads a left join own b on b.conv_id = a.conv_id - a.conv_id % 5
+),
+prefixes as (select conv_id, depth, said[1:depth] as path, len(said) as n from (select *, unnest(range(0, len(said) + 1)) as depth from rebuilt)),
+nodes as (
+    select path, depth, min(conv_id) as conv_id, count(*) as n_convs, string_agg(conv_id::varchar, ',' order by conv_id) filter (n = depth) as ends
+    from prefixes group by path, depth
+),
+children as (select path[1 : depth - 1] as path, count(*) as n_children from nodes where depth > 0 group by 1),
+full_nodes as (
+    select n.*, coalesce(n_children, 0) as n_children, (n_convs - 1) * case when depth > 0 then strlen(path[depth].text) else 0 end as saved
+    from nodes n left join children using (path)
+),
+sums as (
+    select path[1:k] as path, count(*) filter (n_children = 0) as n_leaves, sum(saved)::bigint as saved_tokens
+    from (select *, unnest(range(0, depth + 1)) as k from full_nodes) group by 1
+)
+select n.conv_id, n.depth, p.conv_id as parent_conv_id, n.n_convs, n.n_children, n_leaves, saved_tokens, sha256(coalesce(n.ends, '')) as ends_sha256
+from full_nodes n join sums using (path) left join nodes p on n.depth > 0 and p.path = n.path[1 : n.depth - 1]
+"""
+
 ORACLES = {
     "op2_suffix_decontamination": DECONTAMINATION,
     "op4_substring_doubling": REPEATS,
     "op8_jaccard_components": COMPONENTS,
+    "op11_conversation_trie": TRIE,
     "op12_periodic_runs": RUNS,
     "op13_histogram_shards": SHARDS,
     "secrets_base_columns": SECRETS,

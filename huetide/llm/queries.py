@@ -19,6 +19,7 @@ from huetide.llm.secrets import op5_secret_scan
 from huetide.llm.sharding import op13_histogram_shards
 from huetide.llm.similar import op8_jaccard_components
 from huetide.llm.toxicity import op1_classifier_chain_toxicity
+from huetide.llm.trie import op11_conversation_trie
 
 
 def secrets_base_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,9 +32,8 @@ def licenses_base_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op10_license_signatures(spark, sf_dir).drop("labels", "score")
 
 
-
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    made = (op1_classifier_chain_toxicity, op2_suffix_decontamination, op3_feistel_pseudonyms, op4_substring_doubling, op5_secret_scan, op6_hash_prefix_forest, op7_length_buckets, op8_jaccard_components, op9_string_kernel_language, op10_license_signatures, op12_periodic_runs, op13_histogram_shards, secrets_base_columns, licenses_base_columns)
+    made = (op1_classifier_chain_toxicity, op2_suffix_decontamination, op3_feistel_pseudonyms, op4_substring_doubling, op5_secret_scan, op6_hash_prefix_forest, op7_length_buckets, op8_jaccard_components, op9_string_kernel_language, op10_license_signatures, op11_conversation_trie, op12_periodic_runs, op13_histogram_shards, secrets_base_columns, licenses_base_columns)
     return {f.__name__: f for f in made}
 
 
