@@ -83,7 +83,7 @@ TABLE = [
     ],
 ]
 #: Sentences of license texts, in order: of equally long ones that overlap the earlier wins.  Label, keyword, expression (a space: any white
-#: space and comment marks; every alternative holds the keyword).
+#: space and comment marks; every alternative holds the keyword; never \W beside a space, which would try every way to share blanks).
 SENTENCES = [
     ("apache-2.0", "grants", r"each contributor hereby grants to you a perpetual, worldwide, non-exclusive, no-charge, royalty-free, irrevocable (?:copyright|patent) license"),
     ("apache-2.0", "compliance", r"you may not use this (?:file|work) except in compliance with the license"),
@@ -95,9 +95,9 @@ SENTENCES = [
     ("lgpl", "lesser", r"under the terms of the gnu lesser general public license"),
     ("lgpl", "library", r"under the terms of the gnu library general public license"),
     ("lgpl-2.1", "linked", r"a work that uses the library\W+[^.]{0,200}linked with it"),
-    ("gpl-3.0", "convey", r"to \W*convey\W* a work means any kind of propagation"),
-    ("gpl-3.0", "propagate", r"to \W*propagate\W* a work means to do anything with it"),
-    ("gpl-3.0", "installation", r"installation information\W* for a user product"),
+    ("gpl-3.0", "convey", r"to\W+convey\W+a work means any kind of propagation"),
+    ("gpl-3.0", "propagate", r"to\W+propagate\W+a work means to do anything with it"),
+    ("gpl-3.0", "installation", r"installation information\W+for a user product"),
     ("gpl-2.0", "franklin", r"51 franklin (?:street|st), fifth floor, boston"),
     ("gpl-2.0", "temple", r"59 temple place,? suite 330, boston"),
     ("gpl-2.0", "version", r"either version 2 of the license, or \(at your option\) any later version"),
@@ -136,7 +136,7 @@ SENTENCES = [
     ("bsd", "disclaimed", r"the implied warranties of merchantability and fitness for a particular purpose are disclaimed"),
     ("zlib", "misrepresented", r"the origin of this software must not be misrepresented"),
     ("zlib", "altered", r"altered source versions must be plainly marked as such"),
-    ("zlib", "express", r"this software is provided \W*as-is\W*, without any express or implied warranty"),
+    ("zlib", "express", r"this software is provided\W+as-is\W*, without any express or implied warranty"),
     ("boost-1.0", "machine-executable", r"machine-executable object code generated by a source language processor"),
     ("boost-1.0", "boost", r"distributed under the boost software license"),
     ("unlicense", "unencumbered", r"this is free and unencumbered software released into the public domain"),

@@ -24,6 +24,10 @@ from huetide.llm.frames import kept, table
 from huetide.llm.tokens import chunks, text_bytes
 
 ROUNDS = 10
+#: Characters of a value permuted at once.
+BLOCK = 64
+#: Values longer than this aren't kept for when they come again.
+_CACHED = 256
 #: Only for tests and the registered query: pass the key of the data's owner.
 DEMO_KEY = b"not a secret: replace me"
 RESULT = "text string, replaced array<struct<kind:string,start:long,end:long,pseudonym:string>>"
@@ -79,14 +83,12 @@ class Feistel:
 _CLASSES = ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
 
 
-def _letters(f: Feistel, label: str, s: str, back: bool) -> str:
-    """Digits, small and capital letters permuted within their kinds; the rest stays."""
-    sets = [next((c for c in _CLASSES if ch in c), "") for ch in s]
+def _block(f: Feistel, label: str, s: str, sets: list[str], back: bool) -> str:
     x, n = 0, 1
     for ch, c in zip(s, sets, strict=True):
         if c:
             x, n = x * len(c) + c.index(ch), n * len(c)
-    x = f.permute(f"{label}|{''.join(c[:1] or ch for ch, c in zip(s, sets, strict=True))}", x, n, back)
+    x = f.permute(label, x, n, back)
     out = []
     for ch, c in zip(reversed(s), reversed(sets), strict=True):
         if c:
@@ -96,6 +98,24 @@ def _letters(f: Feistel, label: str, s: str, back: bool) -> str:
     return "".join(reversed(out))
 
 
+def _letters(f: Feistel, label: str, s: str, back: bool) -> str:
+    """Digits, small and capital letters permuted within their kinds; the rest stays.
+
+    Up to BLOCK characters at once.  Of a longer value each block is permuted
+    under a label made of the pseudonyms of the blocks before, so work grows
+    with the length and the way back takes the same labels.
+    """
+    sets = [next((c for c in _CLASSES if ch in c), "") for ch in s]
+    form = "".join(c[:1] or ch for ch, c in zip(s, sets, strict=True))
+    if len(s) <= BLOCK:
+        return _block(f, f"{label}|{form}", s, sets, back)
+    seen, out = hashlib.blake2b(f"{label}|{form}".encode(), key=f.key, digest_size=32), []
+    for k in range(0, len(s), BLOCK):
+        out.append(_block(f, f"{label}|{seen.hexdigest()}", s[k : k + BLOCK], sets[k : k + BLOCK], back))
+        seen.update((s[k : k + BLOCK] if back else out[-1]).encode())
+    return "".join(out)
+
+
 def _refill(form: str, digits: str) -> str:
     """``form`` with its digits replaced in order."""
     it = iter(digits)
@@ -291,7 +311,8 @@ def pseudonymise(docs: DataFrame, key: bytes = DEMO_KEY, keep: tuple[str, ...] =
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = Feistel(key)
-        make = functools.lru_cache(1 << 16)(functools.partial(pseudonym, f))
+        known = functools.lru_cache(1 << 16)(functools.partial(pseudonym, f))
+        make = lambda kind, value: (known if len(value) <= _CACHED else known.__wrapped__)(kind, value)
         kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("pseudonym", pa.string())]))
         for whole in batches:
             for batch in chunks(whole, "_text"):

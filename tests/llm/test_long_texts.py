@@ -36,6 +36,31 @@ def test_a_long_run_of_token_beginnings():
     assert secrets.find(raw, Keywords(by_word), by_word) == [] and time.monotonic() - began < 20
 
 
+def test_long_addresses():
+    """Addresses of any length are permuted, in their form, back and forth, in time that grows with the length."""
+    f, began = pseudonyms.Feistel(b"key"), time.monotonic()
+    for s in ("a" * 1_000_000 + "@example.com", "x@" + "Host-9." * 100_000 + "org", "a1" * 33 + "@b.de"):
+        new = pseudonyms.pseudonym(f, "email", s)
+        assert new != s and len(new) == len(s) and pseudonyms.PATTERNS["email"].fullmatch(new)
+        assert pseudonyms.pseudonym(f, "email", new, back=True) == s
+        text, spans = pseudonyms.replace(f"to {s} now", lambda kind, value: pseudonyms.pseudonym(f, kind, value))
+        assert text == f"to {new} now" and [x[0] for x in spans] == ["email"]
+    one, two = (pseudonyms.pseudonym(f, "email", "q" * k + "@example.com") for k in (200, 201))
+    assert one[64:150] != two[64:150]
+    assert time.monotonic() - began < 60
+
+
+def test_long_blanks_beside_license_words():
+    """Every keyword and the beginning of every sentence, each before and after a long run of blanks."""
+    scanner, blanks, began = licenses.Scanner(), b" " * 300_000, time.monotonic()
+    for said in ("to convey to", "convey to", "to propagate", "installation information", "this software is provided as-is provided", "licence ouverte etalab", "a work that uses the library linked", "version 2 mit license licensed under the terms of the"):
+        scanner.scan(blanks.join(said.encode().split()) + blanks)
+        scanner.scan(said.encode() + blanks + said.encode())
+    assert time.monotonic() - began < 60
+    found = scanner.scan(b'to "convey" a work means any kind of propagation. to\n * convey a work means any kind of propagation')[1]
+    assert [r[2].label for r in found] == ["gpl-3.0"] * 2
+
+
 def test_a_day_has_one_pseudonym_in_every_way_of_writing():
     f = pseudonyms.Feistel(b"key")
     for year, month, day in ((2001, 2, 3), (1999, 11, 25), (2010, 10, 12), (1950, 3, 31)):
