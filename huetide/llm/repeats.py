@@ -63,6 +63,16 @@ def _of(x: np.ndarray, owner: np.ndarray) -> np.ndarray:
     return mix(x + owner.astype(np.int64).view(np.uint64) * _U(0xA0761D6478BD642F))
 
 
+def _alike(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first place of each distinct pair, and of every place the number of its pair."""
+    order = np.lexsort((b, a))
+    new = np.ones(len(a), dtype=bool)
+    new[1:] = (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1])
+    back = np.empty(len(a), dtype=np.int64)
+    back[order] = np.cumsum(new) - 1
+    return order[new], back
+
+
 def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
@@ -80,9 +90,10 @@ def _listed(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _anchors(length: int, extend: bool = False):
-    """Rows key, anchor, doc_id, sure for each text: the windows of half the length that represent one of ``length``.
+    """Rows key, check, anchor, doc_id, sure for each text: the windows of half the length that represent one of ``length``.
 
-    Without ``extend`` all of them, and anchor 0 for the whole word sequence;
+    Without ``extend`` all of them, and anchor 0 for the whole word sequence,
+    which ``check``, a hash from other word hashes, tells from any other;
     with it, those whose own representative is among the text's ``anchors``,
     the survivors of the level before.
     """
@@ -108,35 +119,41 @@ def _anchors(length: int, extend: bool = False):
                 names, docs = names[once], ids[owners[once]]
                 marks = again[count > 1]
                 sure = np.isin(names, marks)
-                speaks, whole_names, copies = (np.zeros(0, dtype=x) for x in (np.int64, np.uint64, np.int64))
+                speaks, whole_names, copies, checks = (np.zeros(0, dtype=x) for x in (np.int64, np.uint64, np.int64, np.uint64))
                 if not extend:  # whole sequences: even keys; the first text of each in this slice speaks for it
-                    sequence = np.zeros(batch.num_rows, dtype=np.uint64)
-                    turn = mix(hashes + (np.arange(len(hashes)) - words.offsets[owner]).astype(np.uint64) * _U(0x9E3779B97F4A7C15))
-                    np.add.at(sequence, owner, turn)
+                    sequence, check = (np.zeros(batch.num_rows, dtype=np.uint64) for _ in range(2))
+                    place_of = (np.arange(len(hashes)) - words.offsets[owner]).astype(np.uint64) * _U(0x9E3779B97F4A7C15)
+                    np.add.at(sequence, owner, mix(hashes + place_of))
+                    np.add.at(check, owner, mix(words.hashes(1) + place_of))
                     sequence &= ~_U(1)
                     texts = np.flatnonzero(words.counts >= length)
-                    whole_names, first = np.unique(sequence[texts], return_index=True)
-                    speaks = ids[texts[first]]
-                    copies = np.setdiff1d(texts, texts[first])
-                    copies = copies[ids[copies] > speaks[np.searchsorted(whole_names, sequence[copies])]]  # nor a copy of itself
+                    first, back = _alike(sequence[texts], check[texts])
+                    speaks, whole_names, checks = ids[texts[first]], sequence[texts[first]], check[texts[first]]
+                    later = ids[texts] > speaks[back]  # a repeated row is no copy of itself
+                    later[first] = False
+                    copies = texts[later]
                 n, m, w, c = len(docs), len(marks), len(speaks), len(copies)
                 key = [np.where(sure, _of(names, docs), names), marks, whole_names] + ([] if extend else [_of(sequence[copies], ids[copies])])
                 doc = np.concatenate([docs, np.zeros(m, dtype=np.int64), speaks, ids[copies]]).astype(np.int64)
                 yield pa.RecordBatch.from_arrays(
                     [
                         _signed(np.concatenate(key)),
+                        _signed(np.concatenate([np.zeros(n + m, dtype=np.uint64), checks, np.zeros(c, dtype=np.uint64)])),
                         _signed(np.concatenate([names, marks, np.zeros(w + c, dtype=np.uint64)])),
                         pa.array(doc, mask=np.repeat([False, True, False], [n, m, w + c])),
                         pa.array(np.concatenate([sure, np.repeat([False, True], [m + w, c])])),
                     ],
-                    names=["key", "anchor", "doc_id", "sure"],
+                    names=["key", "check", "anchor", "doc_id", "sure"],
                 )
 
     return emit
 
 
 def _windows(length: int):
-    """Rows key, doc_id, start, length, sure: windows whose representative repeats; sure rows are runs settled in the slice."""
+    """Rows key, check, doc_id, start, length, sure: windows whose representative repeats; sure rows are runs settled in the slice.
+
+    Two hashes, from two hashes of each word, tell windows apart.
+    """
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -152,7 +169,9 @@ def _windows(length: int):
                 copy[text[flat == 0]] = True
                 on = np.isin(_of(half[rep] | _U(1), owner[rep]), _of(flat, text)) & ~copy[owner[start]]
                 start = start[on]
-                keys, first, back = np.unique(full[start], return_index=True, return_inverse=True)
+                other = window_hashes(words.hashes(1), length)[start]
+                first, back = _alike(full[start], other)
+                keys, checks = full[start][first], other[first]
                 # later than the first here: removed, whatever other slices hold; the same doc_id and place is a repeated row
                 doc, place = ids[owner[start]], start - words.offsets[owner[start]]
                 later = (doc != doc[first][back]) | (place != place[first][back])
@@ -165,12 +184,13 @@ def _windows(length: int):
                 yield pa.RecordBatch.from_arrays(
                     [
                         _signed(key),
+                        _signed(np.concatenate([checks, np.zeros(len(a), dtype=np.uint64)])),
                         pa.array(np.concatenate([doc[first], said]).astype(np.int64)),
                         pa.array(np.concatenate([place[first], a - words.offsets[owner[a]] if len(a) else a]).astype(np.int32)),
                         pa.array(np.concatenate([np.full(len(first), length), b - a]).astype(np.int32)),
                         pa.array(np.concatenate([np.zeros(len(first), dtype=bool), np.ones(len(a), dtype=bool)])),
                     ],
-                    names=["key", "doc_id", "start", "length", "sure"],
+                    names=["key", "check", "doc_id", "start", "length", "sure"],
                 )
 
     return emit
@@ -187,7 +207,7 @@ def _split(starts: np.ndarray, ends: np.ndarray, offsets: np.ndarray) -> tuple[n
 
 def _survivors(sent: DataFrame) -> DataFrame:
     """doc_id and anchors: its representatives that stand in another place too; 0 for a text that an earlier one equals."""
-    by_key = Window.partitionBy("key")
+    by_key = Window.partitionBy("key", "check")
     sent = sent.withColumns({"least": F.min("doc_id").over(by_key), "most": F.max("doc_id").over(by_key), "told": F.bool_or(F.col("doc_id").isNull()).over(by_key)})
     again = F.when(F.col("anchor") == 0, F.col("least") < F.col("doc_id")).otherwise(F.col("told") | (F.col("least") < F.col("most")))
     return sent.where(F.col("doc_id").isNotNull() & (F.col("sure") | again)).groupBy("doc_id").agg(F.collect_set("anchor").alias("anchors"))
@@ -197,7 +217,7 @@ def _rows(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
-_SENT = "key long, anchor long, doc_id long, sure boolean"
+_SENT = "key long, check long, anchor long, doc_id long, sure boolean"
 
 
 def levels(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -229,9 +249,9 @@ def levels(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
 def repeated(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """doc_id and spans (array of start, length in words; length 0: the whole text) that an earlier equal window covers."""
-    rows, by_key = _rows(docs), Window.partitionBy("key")
+    rows, by_key = _rows(docs), Window.partitionBy("key", "check")
     marks = _survivors(rows.mapInArrow(_anchors(length), _SENT))
-    full = rows.join(marks, "doc_id", "left").mapInArrow(_windows(length), "key long, doc_id long, start int, length int, sure boolean")
+    full = rows.join(marks, "doc_id", "left").mapInArrow(_windows(length), "key long, check long, doc_id long, start int, length int, sure boolean")
     full = full.withColumn("least", F.min(F.struct("doc_id", "start")).over(by_key))
     later = full.where(F.col("sure") | (F.col("least") < F.struct("doc_id", "start"))).select("doc_id", "start", "length")
     whole = marks.where(F.array_contains("anchors", 0)).select("doc_id", F.lit(0).alias("start"), F.lit(0).alias("length"))

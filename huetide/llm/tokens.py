@@ -8,6 +8,7 @@ byte finds the words of a whole batch and no Python object per word is made.
 from __future__ import annotations
 
 import ctypes
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,7 +16,6 @@ import pyarrow as pa
 
 #: Bytes of text worked on at once in a task; a longer text is taken alone.
 CHUNK_BYTES = 1 << 20
-_SEGMENT = 1 << 20
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -28,11 +28,10 @@ SPACED[[0x20, *range(0x09, 0x0E)]] = False
 ALNUM = np.zeros(256, dtype=bool)
 ALNUM[[*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
 
+#: Words of more bytes are hashed one by one.
+_LONG = 64
 _U = np.uint64
-_RADIX = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_RADIX, -1, 1 << 64)
-_BYTE = np.random.default_rng(20240229).integers(1, 2**63, 256, dtype=np.uint64)
-_powers: dict[int, np.ndarray] = {}
+_BYTES = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=np.uint64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -50,16 +49,6 @@ def join(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return mix(left * _U(0xD6E8FEB86659FD93) + (right ^ _U(0xA0761D6478BD642F)))
 
 
-def _power(base: int, n: int) -> np.ndarray:
-    """``base`` to the powers 0 to n - 1, modulo 2**64."""
-    have = _powers.get(base)
-    if have is None or len(have) < n:
-        have = np.full(max(n, _SEGMENT + 4096), base, dtype=np.uint64)
-        have[0] = 1
-        _powers[base] = have = np.multiply.accumulate(have)
-    return have[:n]
-
-
 class Words:
     """Words of a batch: byte ranges, hashes, and where each text's words begin.
 
@@ -95,20 +84,22 @@ class Words:
         """The text that each word belongs to."""
         return np.repeat(np.arange(len(self.offsets) - 1), self.counts)
 
-    def hashes(self) -> np.ndarray:
-        """A 64-bit hash of each word, never 0."""
-        out = np.empty(len(self.starts), dtype=np.uint64)
-        lo = 0
-        while lo < len(out):
-            begin = self.starts[lo]
-            hi = max(lo + 1, int(np.searchsorted(self.ends, begin + _SEGMENT, "right")))
-            size = int(self.ends[hi - 1] - begin)
-            sums = np.zeros(size + 1, dtype=np.uint64)
-            np.cumsum(_BYTE[self.data[begin : begin + size]] * _power(_RADIX, size), out=sums[1:])
-            s, e = self.starts[lo:hi] - begin, self.ends[lo:hi] - begin
-            out[lo:hi] = (sums[e] - sums[s]) * _power(_INVERSE, size)[s]
-            lo = hi
-        out = mix(out)
+    def hashes(self, seed: int = 0) -> np.ndarray:
+        """A 64-bit hash of each word, never 0: eight bytes after eight are mixed in, so that no sum or product of bytes shows through."""
+        size = self.ends - self.starts
+        out = mix(size.astype(np.uint64) + _U((seed * 0x9E3779B97F4A7C15 + 1) % (1 << 64)))
+        padded = np.concatenate((self.data, np.zeros(8, dtype=np.uint8)))
+        eight = np.ndarray((len(self.data) + 1,), dtype="<u8", buffer=padded, strides=(1,))
+        rows = np.flatnonzero(size <= _LONG)
+        at, left, made = self.starts[rows], size[rows], out[rows]
+        while len(rows):
+            made = mix(made * _U(0xD6E8FEB86659FD93) + (eight[at] & _BYTES[np.minimum(left, 8)]))
+            out[rows] = made
+            more = left > 8
+            rows, at, left, made = rows[more], at[more] + 8, left[more] - 8, made[more]
+        for k in np.flatnonzero(size > _LONG).tolist():
+            said = hashlib.blake2b(self.data[self.starts[k] : self.ends[k]].tobytes(), digest_size=8, salt=seed.to_bytes(8))
+            out[k] = int.from_bytes(said.digest())
         out[out == 0] = 1
         return out
 
