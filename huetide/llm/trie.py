@@ -255,7 +255,8 @@ def rollup(nodes: DataFrame, steps: Callable[[], DataFrame], limit: int = LIMIT,
     if root.weight <= limit:
         return _split_all(state, limit)
     columns = state.columns
-    large, small, done, walked = state.withColumn("total", F.lit(root.weight)), [], [], written(steps(), "steps")
+    # written, so that the one component's name is no constant that would make joins on it cross joins
+    large, small, done, walked = written(state.withColumn("total", F.lit(root.weight)), "left"), [], [], written(steps(), "steps")
     while True:
         path = F.col("weight") * 2 >= F.col("total")
         centres = large.where(path).groupBy(*top).agg(F.max(F.struct("depth", "conv_id", "weight")).alias("centre"))
