@@ -262,17 +262,3 @@ def sql_functions(v: Views) -> DataFrame:
     """The SQL functions of this library, from SQL."""
     functions.register(v.spark)
     return v.spark.sql("SELECT p_partkey, slug(p_name) AS slug, hex_of(p_partkey % 256, p_size, 7) AS hex, round(colour_distance(0D, 0D, 0D, p_size / 100D, 0.5D, 0D), 6) AS distance FROM {part}", part=v.part)
-
-
-@query(
-    "str02_admission_routes",
-    """SELECT route, count(*) AS n FROM (SELECT CASE WHEN age < 0 THEN 'rejected' WHEN age > span THEN 'context' ELSE 'eligible' END AS route
-FROM (SELECT DATE '2024-01-20' - CAST(ts AS DATE) AS age, CASE WHEN event_type = 'view' THEN 45 WHEN event_type = 'click' THEN 3 ELSE 2 END AS span FROM events)) GROUP BY route""",
-)
-def admission_routes(v: Views) -> DataFrame:
-    routes = jobs.drain_admission(jobs.stream(v.spark, v.sf_dir), "2024-01-20")
-    rows = None
-    for name in ("eligible", "context", "rejected"):
-        own = routes[name].select(F.lit(name).alias("route"))
-        rows = own if rows is None else rows.unionAll(own)
-    return rows.groupBy("route").agg(F.count("*").alias("n"))

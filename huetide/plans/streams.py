@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from typing import TypeVar
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -10,13 +13,78 @@ from huetide.operators import graph as g
 from huetide.plans.catalog import long, query, r6, text
 from huetide.plans.shapes import month_points
 from huetide.sources.fixtures import Views
-from huetide.streaming import jobs
+from huetide.streaming import jobs, ledger
+
+T = TypeVar("T")
 
 
 def events(v: Views) -> DataFrame:
     return jobs.stream(v.spark, v.sf_dir)
 
 
+DELAY = "2 days"
+#: What ``in_two_batches`` gives to jobs: events of the first and second batch, and the watermark after each.
+_BATCHES = """marks AS (SELECT date_trunc('milliseconds', max(ts) FILTER (event_id % 10 <> 3)) - INTERVAL 2 DAY AS one, date_trunc('milliseconds', max(ts)) - INTERVAL 2 DAY AS two FROM events),
+came AS (SELECT *, event_id % 10 = 3 AS second FROM events, marks)"""
+
+
+def in_two_batches(v: Views, run: Callable[[DataFrame, str], T]) -> T:
+    """What ``run`` gives for a stream that has nine events of ten in a first batch and, from the same checkpoint on, the others in a second one."""
+    path = jobs.shared_path(v.spark)
+    v.events.where("event_id % 10 <> 3").write.parquet(f"{path}/feed/first")
+    stream = lambda: v.spark.readStream.schema(jobs.SCHEMA).parquet(f"{path}/feed/*")
+    run(stream(), path)
+    v.events.where("event_id % 10 = 3").write.parquet(f"{path}/feed/second")
+    return run(stream(), path)
+
+
+@query(
+    "str03_closed_days",
+    f"""WITH {_BATCHES} SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, user_id, count(*) AS n, round(max(value), 6) AS most FROM came
+WHERE date_trunc('day', ts) + INTERVAL 1 DAY <= two AND NOT (second AND date_trunc('day', ts) + INTERVAL 1 DAY <= one) GROUP BY ALL""",
+)
+def closed_days(v: Views) -> DataFrame:
+    out = in_two_batches(v, lambda e, path: jobs.drain(jobs.closed_days(e, DELAY), "append", path))
+    return out.select(*text("day"), "user_id", "n", *r6("most"))
+
+
+@query("str03_late_events", f"WITH {_BATCHES} SELECT event_id, user_id, event_type FROM came WHERE second AND date_trunc('day', ts) + INTERVAL 1 DAY <= one")
+def late_events(v: Views) -> DataFrame:
+    """What the closed days left out, row by row."""
+    ends = F.date_trunc("day", "ts") + F.expr("interval 1 day")
+    return in_two_batches(v, lambda e, path: jobs.drain_late(e, ends, DELAY, path)).select("event_id", "user_id", "event_type")
+
+
+@query(
+    "str04_closed_windows",
+    f"""WITH {_BATCHES} SELECT CAST(CAST(first_day AS DATE) AS VARCHAR) AS first_day, count(*) AS n
+FROM (SELECT *, unnest(generate_series(date_trunc('day', ts) - INTERVAL 6 DAY, date_trunc('day', ts), INTERVAL 1 DAY)) AS first_day FROM came)
+WHERE first_day + INTERVAL 7 DAY <= two AND NOT (second AND first_day + INTERVAL 7 DAY <= one) GROUP BY ALL""",
+)
+def closed_windows(v: Views) -> DataFrame:
+    return in_two_batches(v, lambda e, path: jobs.drain(jobs.closed_windows(e, delay=DELAY), "append", path)).select(*text("first_day"), "n")
+
+
+#: Events of the first batch whose sessions are open at its end, and those of the second that aren't late.
+_OPEN = """SELECT e.* EXCLUDE (fresh) FROM early e JOIN early_all a ON a.user_id = e.user_id AND a.s = e.s WHERE a.ends > e.one
+UNION ALL SELECT *, 0 AS s FROM came WHERE second AND ts + INTERVAL 12 HOUR > one"""
+_SESSIONS = """{to} AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS s FROM (
+SELECT * EXCLUDE (s), CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 12 HOUR THEN 0 ELSE 1 END AS fresh FROM ({of}))),
+{to}_all AS (SELECT user_id, s, min(ts) AS begins, max(ts) + INTERVAL 12 HOUR AS ends, count(*) AS n FROM {to} GROUP BY ALL)"""
+
+
+@query(
+    "str05_closed_sessions",
+    f"""WITH {_BATCHES}, {_SESSIONS.format(to="early", of="SELECT *, 0 AS s FROM came WHERE NOT second")},
+{_SESSIONS.format(to="rest", of=_OPEN)}
+SELECT user_id, CAST(floor(epoch(begins)) AS BIGINT) AS begins, n FROM early_all, marks WHERE ends <= one
+UNION ALL SELECT user_id, CAST(floor(epoch(begins)) AS BIGINT), n FROM rest_all, marks WHERE ends <= two""",
+)
+def closed_sessions(v: Views) -> DataFrame:
+    out = in_two_batches(v, lambda e, path: jobs.drain(jobs.closed_sessions(e, delay=DELAY), "append", path))
+    return out.select("user_id", F.unix_timestamp("begins").alias("begins"), "n")
+
+
 @query("str03_daily_prevalence", "SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, user_id, count(*) AS n, round(max(value), 6) AS most FROM events GROUP BY ALL")
 def daily(v: Views) -> DataFrame:
     return jobs.drain(jobs.daily_prevalence(events(v)), "complete").select(*text("day"), "user_id", "n", *r6("most"))
@@ -55,15 +123,44 @@ def admission(v: Views) -> DataFrame:
     return jobs.drain(jobs.admission(events(v), "2024-01-20"), "append")
 
 
+@query(
+    "str02_admission_routes",
+    f"""WITH {_BATCHES}, aged AS (SELECT *, DATE '2024-01-20' - CAST(ts AS DATE) AS age, CASE WHEN event_type = 'view' THEN 45 WHEN event_type = 'click' THEN 3 ELSE 2 END AS span FROM came)
+SELECT route, count(*) AS n FROM (SELECT CASE WHEN age < 0 THEN 'rejected' WHEN age > span THEN 'context' ELSE 'eligible' END AS route FROM aged UNION ALL SELECT 'late' FROM aged WHERE second AND ts <= one) GROUP BY route""",
+)
+def admission_routes(v: Views) -> DataFrame:
+    """Rows of each route, late ones besides, from a stream of two batches."""
+    routes = in_two_batches(v, lambda e, path: jobs.drain_admission(e, "2024-01-20", DELAY, path))
+    rows = None
+    for name, table in routes.items():
+        own = table.select(F.lit(name).alias("route"))
+        rows = own if rows is None else rows.unionAll(own)
+    return rows.groupBy("route").agg(F.count("*").alias("n"))
+
+
 @query(
     "str01_ledger_state",
     """SELECT source_id, region, max_by(fingerprint, (ts, event_id)) AS fingerprint, CAST(floor(epoch(min(ts))) AS BIGINT) AS first_seen, CAST(floor(epoch(max(ts))) AS BIGINT) AS last_seen, CAST(floor(epoch(max(CASE WHEN changed THEN ts END))) AS BIGINT) AS last_changed, count(*) AS events FROM (
 SELECT *, coalesce(lag(fingerprint) OVER (PARTITION BY source_id, region ORDER BY ts, event_id) <> fingerprint, true) AS changed FROM ledger_events) GROUP BY ALL""",
     views=("ledger_events",),
 )
-def ledger(v: Views) -> DataFrame:
-    rows = jobs.drain_ledger(events(v))
-    return rows.select("source_id", "region", "fingerprint", *[F.unix_timestamp(c).alias(c) for c in ("first_seen", "last_seen", "last_changed")], "events")
+def ledger_state(v: Views) -> DataFrame:
+    rows = ledger.drain_ledger(ledger.ledger_rows(events(v)))
+    return rows.select("source_id", "region", "fingerprint", *[F.unix_timestamp(c).alias(n) for c, n in (("first_seen", "first_seen"), ("last_seen", "last_seen"), ("since", "last_changed"))], "events")
+
+
+@query(
+    "str01_ledger_forms",
+    f"""WITH {_BATCHES}, rows_ AS (SELECT event_id, ts, user_id AS source_id, event_type AS region, CAST(regexp_extract(props, '([0-9]+)', 1) AS INT) AS k FROM came WHERE NOT (second AND ts <= one)),
+said AS (SELECT *, coalesce(lag(k % 2) OVER (PARTITION BY source_id, region ORDER BY ts, event_id) <> k % 2, true) AS changed FROM rows_),
+ended AS (SELECT source_id, region, max_by('f' || (k % 2), (ts, event_id)) AS fingerprint, min(ts) AS first_seen, max(ts) AS last_seen,
+max(ts) FILTER (changed OR k % 3 = 1) AS last_changed, max(ts) FILTER (changed) AS since, count(*) AS events FROM said GROUP BY ALL)
+SELECT source_id, region, fingerprint, {", ".join(f"CAST(floor(epoch({c})) AS BIGINT) AS {c}" for c in ("first_seen", "last_seen", "last_changed", "since"))}, events FROM ended""",
+)
+def ledger_forms(v: Views) -> DataFrame:
+    """Both forms of the ledger, over two batches with a restart between: dated events move the ledger's last change, the status form keeps to runs of one fingerprint."""
+    rows = in_two_batches(v, lambda e, path: ledger.drain_ledger(ledger.ledger_rows(e), DELAY, path))
+    return rows.select("source_id", "region", "fingerprint", *[F.unix_timestamp(c).alias(c) for c in ("first_seen", "last_seen", "last_changed", "since")], "events")
 
 
 def clusters(v: Views, policy: str) -> tuple[DataFrame, DataFrame]:

@@ -1,16 +1,22 @@
 """Structured Streaming jobs over the append-only event table.
 
 Each job is a streaming DataFrame from ``stream``; ``drain`` runs one over
-what has landed and returns its result table from the shared folder.
+what has landed and returns its result table from a folder that the caller
+names or that is made for it.  Drained again with the same folder, a job goes
+on from its checkpoint: it reads new files alone, and results and state carry
+on.
 """
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 SCHEMA = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
 
@@ -24,23 +30,70 @@ def shared_path(spark: SparkSession) -> str:
     """A new path in the folder that driver and executors share."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="spark-")
     return f"{root}/stream-{uuid.uuid4().hex}"
 
 
-def drain(df: DataFrame, mode: str) -> DataFrame:
-    """Runs a streaming query over all that has landed; state and result lie in the shared folder."""
+def landed(spark: SparkSession, path: str, schema) -> DataFrame:
+    """A table that batches have written; empty if none has."""
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+
+
+def drain(df: DataFrame, mode: str, path: str | None = None, runs: list[StreamingQuery] | None = None) -> DataFrame:
+    """Runs a streaming query over all that has landed and returns its result table; ``runs``, if given, gets the query.
+
+    ``append`` writes each row once, when it is final; ``complete`` writes the
+    whole result table anew with each batch.
+    """
     spark = df.sparkSession
-    path = shared_path(spark)
+    path = path or shared_path(spark)
     write = df.writeStream.outputMode(mode).option("checkpointLocation", f"{path}/state").trigger(availableNow=True)
     if mode == "append":
         query = write.format("parquet").option("path", f"{path}/out").start()
-    else:  # the whole result table of each batch replaces the one before
+    else:
         query = write.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(f"{path}/out")).start()
     query.awaitTermination()
-    return spark.read.schema(df.schema).parquet(f"{path}/out")
+    if runs is not None:
+        runs.append(query)
+    return landed(spark, f"{path}/out", df.schema)
+
+
+def watermark_before(session: SparkSession, path: str, n: int, delay: str) -> Column | None:
+    """The watermark of batch ``n``: the greatest time of the batches before, in whole milliseconds, less ``delay``; None before any."""
+    most = session.read.schema("most timestamp").parquet(f"{path}/times/{n - 1}").first()["most"] if n else None
+    return None if most is None else F.date_trunc("millisecond", F.lit(most).cast("timestamp")) - F.expr(f"interval {delay}")
+
+
+def _write_times(batch: DataFrame, path: str, n: int) -> None:
+    session = batch.sparkSession
+    most = session.read.schema("most timestamp").parquet(f"{path}/times/{n - 1}").first()["most"] if n else None
+    batch.agg(F.greatest(F.max("ts"), F.lit(most).cast("timestamp")).alias("most")).write.mode("overwrite").parquet(f"{path}/times/{n}")
+
+
+def drain_late(events: DataFrame, closes: Column, delay: str, path: str | None = None) -> DataFrame:
+    """The side table of events that a windowed job with the same ``delay`` drops, as all they would add to has closed.
+
+    ``closes`` is when the (last) window of an event ends; an event is late if
+    that isn't after the watermark of its batch.  A batch that runs again
+    overwrites what it wrote.
+    """
+    spark = events.sparkSession
+    path = path or shared_path(spark)
+
+    def step(batch: DataFrame, n: int) -> None:
+        mark = watermark_before(batch.sparkSession, path, n, delay)
+        batch.where(F.lit(False) if mark is None else closes <= mark).write.mode("overwrite").parquet(f"{path}/late/batch={n}")
+        _write_times(batch, path, n)
+
+    events.writeStream.option("checkpointLocation", f"{path}/late-state").trigger(availableNow=True).foreachBatch(step).start().awaitTermination()
+    return landed(spark, f"{path}/late", events.schema)
 
 
 def daily_prevalence(events: DataFrame) -> DataFrame:
@@ -58,6 +111,21 @@ def silence_sessions(events: DataFrame, gap: str = "12 hours") -> DataFrame:
     return events.groupBy(F.session_window("ts", gap).alias("w"), "user_id").agg(F.count("*").alias("n")).select("user_id", F.col("w.start").alias("begins"), "n")
 
 
+def closed_days(events: DataFrame, delay: str = "2 days") -> DataFrame:
+    """``daily_prevalence`` in append mode: a day is given out once, when the watermark has passed its end, and its state goes."""
+    return daily_prevalence(events.withWatermark("ts", delay))
+
+
+def closed_windows(events: DataFrame, length: str = "7 days", step: str = "1 day", delay: str = "2 days") -> DataFrame:
+    """``sliding_baseline`` in append mode."""
+    return sliding_baseline(events.withWatermark("ts", delay), length, step)
+
+
+def closed_sessions(events: DataFrame, gap: str = "12 hours", delay: str = "2 days") -> DataFrame:
+    """``silence_sessions`` in append mode: a session is given out when the watermark has passed its gap."""
+    return silence_sessions(events.withWatermark("ts", delay), gap)
+
+
 def status_counts(events: DataFrame) -> DataFrame:
     return events.groupBy("event_type").agg(F.count("*").alias("n"), F.count_if(F.col("value") > 90).alias("late"))
 
@@ -78,81 +146,28 @@ def _status(target: str) -> Column:
     return F.when(age < 0, "rejected_future").when(age > window, "context_only_stale").otherwise("eligible_current")
 
 
-def drain_admission(events: DataFrame, target: str, delay: str = "2 days") -> dict[str, DataFrame]:
+def drain_admission(events: DataFrame, target: str, delay: str = "2 days", path: str | None = None) -> dict[str, DataFrame]:
     """Admission over all that has landed, routed: a table of eligible events, one of context, one of rejected ones, and one of late ones.
 
-    An event is late if it is older than the greatest time of the batches
-    before its own by more than ``delay``; late ones are admitted by the same
-    rules and listed besides, never dropped.  A batch that runs again
-    overwrites what it wrote.
+    An event is late if it is not after the watermark of its batch; late ones
+    are admitted by the same rules and listed besides, never dropped.  A batch
+    that runs again overwrites what it wrote.
     """
-    spark, path = events.sparkSession, shared_path(events.sparkSession)
+    spark = events.sparkSession
+    path = path or shared_path(spark)
     routes = {"eligible": "status like 'eligible%'", "context": "status like 'context%'", "rejected": "status like 'rejected%'", "late": "late"}
     schema = "event_id long, ts timestamp, status string, late boolean"
 
     def step(batch: DataFrame, n: int) -> None:
-        session = batch.sparkSession
-        most = session.read.schema("most timestamp").parquet(f"{path}/times/{n - 1}").first()["most"] if n else None  # of all batches before
-        late = F.col("ts") < F.lit(most).cast("timestamp") - F.expr(f"interval {delay}") if most is not None else F.lit(False)
-        rows = batch.select("event_id", "ts", _status(target).alias("status"), F.coalesce(late, F.lit(False)).alias("late")).persist()
+        mark = watermark_before(batch.sparkSession, path, n, delay)
+        late = F.lit(False) if mark is None else F.coalesce(F.col("ts") <= mark, F.lit(False))
+        rows = batch.select("event_id", "ts", _status(target).alias("status"), late.alias("late")).persist()
         try:
             for name, test in routes.items():
-                rows.where(test).write.mode("overwrite").parquet(f"{path}/{name}/{n}")
-            rows.agg(F.greatest(F.max("ts"), F.lit(most).cast("timestamp")).alias("most")).write.mode("overwrite").parquet(f"{path}/times/{n}")
+                rows.where(test).write.mode("overwrite").parquet(f"{path}/{name}/batch={n}")
+            _write_times(rows, path, n)
         finally:
             rows.unpersist()
-        done.append(n)
 
-    done: list[int] = []
     events.writeStream.option("checkpointLocation", f"{path}/state").trigger(availableNow=True).foreachBatch(step).start().awaitTermination()
-    read = lambda name: spark.read.schema(schema).parquet(*[f"{path}/{name}/{k}" for k in range(done[-1] + 1)]) if done else spark.createDataFrame([], schema)
-    return {name: read(name) for name in routes}
-
-
-def ledger_rows(events: DataFrame) -> DataFrame:
-    """Events as the ledger holds them."""
-    return events.select("event_id", "ts", F.col("user_id").alias("source_id"), F.col("event_type").alias("region"), F.concat(F.lit("f"), (F.regexp_extract("props", "([0-9]+)", 1).cast("int") % 2).cast("string")).alias("fingerprint"))
-
-
-def ledger_state(rows: DataFrame) -> DataFrame:
-    """State of each source and region after all its rows in event order (ts, event_id), however they lie.
-
-    The last change begins the run of rows after the last one of another
-    fingerprint.  Aggregates alone, so a key of many rows is shared by tasks.
-    """
-    rows, order = rows.withColumn("key", F.struct("source_id", "region")), F.struct("ts", "event_id")
-    ends = rows.groupBy("key").agg(F.max_by("fingerprint", order).alias("last"), F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"), F.count("*").alias("events"))
-    before = rows.join(ends.select("key", "last"), "key").where(~F.col("fingerprint").eqNullSafe(F.col("last"))).groupBy("key").agg(F.max(order).alias("other"))
-    run = rows.join(before, "key", "left").where(F.col("other").isNull() | (order > F.col("other")))
-    begins = run.groupBy("key").agg(F.min("ts").alias("last_changed"))
-    return ends.join(begins, "key").select("key.*", F.col("last").alias("fingerprint"), "first_seen", "last_seen", "last_changed", "events")
-
-
-def drain_ledger(events: DataFrame) -> DataFrame:
-    """Ledger state of each source and region after all that has landed.
-
-    Rows are held in the shared folder by batch, as a late one can move the
-    last change; a batch writes the state of its own keys anew and takes over
-    the others.  A batch that runs again overwrites what it wrote.
-    """
-    spark, key = events.sparkSession, F.struct("source_id", "region").alias("key")
-    path = shared_path(spark)
-    rows = ledger_rows(events)
-    state = "source_id long, region string, fingerprint string, first_seen timestamp, last_seen timestamp, last_changed timestamp, events long"
-
-    def step(batch: DataFrame, n: int) -> None:
-        session = batch.sparkSession
-        batch.write.mode("overwrite").parquet(f"{path}/rows/batch={n}")
-        held = session.read.schema(rows.schema).parquet(*[f"{path}/rows/batch={k}" for k in range(n + 1)])
-        if n:
-            touched = session.read.schema(rows.schema).parquet(f"{path}/rows/batch={n}").select(key).distinct()
-            same = session.read.schema(state).parquet(f"{path}/out/{n - 1}").select("*", key).join(touched, "key", "left_anti").drop("key")
-            new = ledger_state(held.select("*", key).join(touched, "key", "left_semi").drop("key")).unionByName(same)
-        else:
-            new = ledger_state(held)
-        new.write.mode("overwrite").parquet(f"{path}/out/{n}")
-        last.append(n)
-
-    last: list[int] = []
-    rows.writeStream.option("checkpointLocation", f"{path}/state").trigger(availableNow=True).foreachBatch(step).start().awaitTermination()
-    return spark.read.schema(state).parquet(f"{path}/out/{last[-1]}") if last else spark.createDataFrame([], state)
+    return {name: landed(spark, f"{path}/{name}", schema) for name in routes}
