@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from huetide.functions.color import MUTED, distance
@@ -148,6 +148,22 @@ def merge_swatches(swatches: DataFrame, parts: int = 64) -> DataFrame:
     return rows.groupBy(F.pmod(F.xxhash64("image_id"), F.lit(parts))).applyInPandas(run, "id long, cluster long")
 
 
+def merge_faults(swatches: DataFrame, clusters: DataFrame) -> DataFrame:
+    """``violations``: swatches that given clusters (id, cluster) don't put where one pass in order would, after those put before.
+
+    That is with the cluster that lies wholly within the limit at the least
+    total distance, or alone if there is none; no other clusters have none.
+    """
+    rows = swatches.select("image_id", "id", "strength", "ll", "la", "lb").join(clusters, "id")
+    rows = rows.withColumn("place", F.row_number().over(Window.partitionBy("image_id").orderBy(F.desc("strength"), "id")))  # an image's swatches
+    d = distance(("x.ll", "x.la", "x.lb"), ("y.ll", "y.la", "y.lb"))
+    met = rows.alias("x").join(rows.alias("y"), "image_id").where("y.place < x.place").groupBy(F.col("x.id").alias("id"), F.col("y.cluster").alias("with")).agg(F.max(d).alias("most"), F.sum(d).alias("total"), F.min("y.place").alias("begun"))
+    best = met.where(F.col("most") <= MERGE_LIMIT).groupBy("id").agg(F.min(F.struct("total", "begun", "with")).alias("best"), F.collect_list(F.struct("total", "with")).alias("all"))
+    own = F.filter("all", lambda x: x["with"] == F.col("cluster"))
+    right = F.when(F.col("best").isNull(), F.col("cluster") == F.col("id")).otherwise(F.exists(own, lambda x: x["total"] <= F.col("best.total") + 1e-9))
+    return rows.join(best, "id", "left").agg(F.count_if(~right).alias("violations"))
+
+
 def kmeans(points: DataFrame, k: int, rounds: int = 18) -> tuple[DataFrame, DataFrame]:
     """k-means of every group (``key``) at once: labels (key, id, c) and the real point nearest each centre.
 

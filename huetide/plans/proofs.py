@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from huetide.functions import sql as functions
@@ -11,8 +11,9 @@ from huetide.functions import urls
 from huetide.operators import evidence as ev
 from huetide.operators import ledger as lg
 from huetide.operators import pages as pg
+from huetide.operators import palette
 from huetide.operators import panel as pn
-from huetide.plans.catalog import long, query, text
+from huetide.plans.catalog import long, query, r6, text
 from huetide.sources import files
 from huetide.sources.fixtures import Views
 from huetide.streaming import jobs
@@ -184,25 +185,37 @@ def registry_rules(v: Views) -> DataFrame:
     return pn.registry_violations(rows, checks).select("id", "rule").unionAll(twice)
 
 
-_PIXEL = "(image_id * 3 + y * 8 + x)"
+def _weight(x: Column) -> Column:
+    return F.floor(F.abs(x.cast("double")) * 100000)
 
 
 def images(v: Views) -> DataFrame:
-    """Eight by eight pixels of four channels for each vector, as Spark's image source gives files."""
-    value = lambda k, f: F.lpad(F.hex((F.col("vec_id") * 3 + k) * f % 256), 2, "0")
-    data = F.unhex(F.array_join(F.transform(F.sequence(F.lit(0), F.lit(63)), lambda k: F.concat(value(k, 5), value(k, 3), value(k, 1), value(k, 11))), ""))
+    """Each vector's 64 values as the eight by eight pixels of an image of four channels, as Spark's image source gives files; some stand apart from two clear columns."""
+    byte = lambda x: F.lpad(F.hex(x % 256), 2, "0")
+
+    def pixel(x: Column, k: Column) -> Column:
+        m = _weight(x)
+        alpha = F.when((F.col("vec_id") % 4 == 0) & (k % 8).isin(0, 7), 0).when(m % 11 == 0, 20).otherwise(255)
+        return F.concat(byte(m), byte(F.floor(m / 7)), byte(F.floor(m / 49)), byte(alpha))
+
+    data = F.unhex(F.array_join(F.transform("embedding", pixel), ""))
     return v.embeddings.select(F.col("vec_id").alias("image_id"), F.struct(F.lit(8).alias("height"), F.lit(8).alias("width"), F.lit(4).alias("nChannels"), data.alias("data")).alias("image"))
 
 
+BYTES = (
+    "bytes",
+    """SELECT *, m // 49 % 256 AS r, m // 7 % 256 AS g, m % 256 AS b, CASE WHEN image_id % 4 = 0 AND x IN (0, 7) THEN 0 WHEN m % 11 = 0 THEN 20 ELSE 255 END AS alpha FROM (
+SELECT vec_id AS image_id, p // 8 AS y, p % 8 AS x, CAST(floor(abs(CAST(embedding[p + 1] AS DOUBLE)) * 100000) AS BIGINT) AS m FROM (SELECT vec_id, embedding, unnest(range(64)) AS p FROM embeddings))""",
+)
 PIXELS = (
     "pixels",
-    f"SELECT image_id, y, x, {_PIXEL} % 256 AS r, {_PIXEL} * 3 % 256 AS g, {_PIXEL} * 5 % 256 AS b FROM (SELECT vec_id AS image_id, p // 8 AS y, p % 8 AS x FROM (SELECT vec_id, unnest(range(64)) AS p FROM embeddings)) WHERE {_PIXEL} * 11 % 256 >= 32",
+    "SELECT image_id, y - top AS y, x - lft AS x, r, g, b FROM (SELECT *, min(y) FILTER (alpha > 0) OVER w AS top, min(x) FILTER (alpha > 0) OVER w AS lft FROM bytes WINDOW w AS (PARTITION BY image_id)) WHERE alpha >= 32",
 )
 
 
-@query("src08_pixel_table", "SELECT image_id, y, x, r, g, b FROM pixels WHERE y % 2 = 0 AND x % 2 = 0", extra=(PIXELS,))
+@query("src08_pixel_table", "SELECT image_id, y, x, r, g, b FROM pixels", extra=(BYTES, PIXELS))
 def pixel_table(v: Views) -> DataFrame:
-    return files.pixels(images(v), step=2).select("image_id", *long("y", "x", "r", "g", "b"))
+    return files.pixels(images(v)).select("image_id", *long("y", "x", "r", "g", "b"))
 
 
 @query(
@@ -210,18 +223,51 @@ def pixel_table(v: Views) -> DataFrame:
     """SELECT 'pixel_absent' AS scope, CAST(c.id AS VARCHAR) AS id FROM claims c WHERE NOT EXISTS (SELECT 1 FROM pixels p WHERE p.image_id = c.image_id AND p.r = c.r AND p.g = c.g AND p.b = c.b)
 UNION ALL SELECT 'candidate_colour_unclaimed', CAST(vec_id AS VARCHAR) FROM embeddings WHERE vec_id % 3 = 0
 UNION ALL SELECT 'representative_missing', CAST(vec_id AS VARCHAR) FROM embeddings WHERE vec_id % 4 = 1""",
-    extra=(PIXELS, ("claims", "SELECT vec_id AS id, vec_id AS image_id, vec_id * 3 % 256 AS r, (vec_id * 3 * 3 + CASE WHEN vec_id % 5 = 0 THEN 1 ELSE 0 END) % 256 AS g, vec_id * 3 * 5 % 256 AS b FROM embeddings")),
+    extra=(BYTES, PIXELS, ("claims", "SELECT image_id AS id, image_id, r, (g + CASE WHEN image_id % 5 = 0 THEN 1 ELSE 0 END) % 256 AS g, b FROM bytes WHERE y = 0 AND x = 0")),
 )
 def colour_truth_scopes(v: Views) -> DataFrame:
-    """Each vector claims its image's first pixel, some with a green channel that no pixel has; candidates with foreign colours or representatives."""
-    k = F.col("vec_id")
-    r, b = k * 3 % 256, k * 15 % 256
-    claims = v.embeddings.select(k.alias("id"), k.alias("candidate"), k.alias("image_id"), r.alias("r"), ((k * 9 + (k % 5 == 0).cast("long")) % 256).alias("g"), b.alias("b"))
-    green = (k * 9 + (k % 5 == 0).cast("long")) % 256
+    """Each vector claims its image's first pixel, which may be clear, some with another green; candidates with foreign colours or representatives."""
+    k, m = F.col("vec_id"), _weight(F.get("embedding", F.lit(0)))
+    r, b = F.floor(m / 49) % 256, m % 256
+    green = (F.floor(m / 7) + (k % 5 == 0).cast("long")) % 256
+    claims = v.embeddings.select(k.alias("id"), k.alias("candidate"), k.alias("image_id"), r.alias("r"), green.alias("g"), b.alias("b"))
     candidates = v.embeddings.select(k.alias("candidate"), r.alias("r"), F.when(k % 3 == 0, (green + 7) % 256).otherwise(green).alias("g"), b.alias("b"), F.when(k % 4 == 1, -k).otherwise(k).alias("representative"))
     return ev.colour_truth(claims, files.pixels(images(v)), candidates)
 
 
+@query("alg01_image_palette")
+def image_palette(v: Views) -> DataFrame:
+    """The palette of each vector's image, near colours merged."""
+    out = palette.palettes(images(v))
+    return out.select("image_id", *long("swatch_no"), *long("r", "g", "b", "n", "swatches"), *r6("share", "adjusted_share", "salience", "component_share", "coverage", "border_share"), "structural")
+
+
+@query(
+    "alg01_image_palette_faults",
+    """SELECT 'images' AS what, count(DISTINCT image_id) AS n FROM pixels UNION ALL SELECT 'pixels', count(*) FROM pixels
+UNION ALL SELECT unnest(['foreign_colours', 'one_colour_twice', 'out_of_rank']), 0""",
+    extra=(BYTES, PIXELS),
+)
+def image_palette_faults(v: Views) -> DataFrame:
+    """What must hold of palettes: every image with pixels has one, its colours are pixels of it and different, they share out all its pixels and are ranked."""
+    rows = v.kept("palette_rows", lambda: palette.palettes(images(v)).withColumn("rank", ev.palette_rank()))
+    seen = files.pixels(images(v)).select("image_id", *long("r", "g", "b")).distinct()
+    foreign = rows.select("image_id", *long("r", "g", "b")).join(seen, ["image_id", "r", "g", "b"], "left_anti")
+    after = F.lag("rank").over(Window.partitionBy("image_id").orderBy("swatch_no"))  # a palette's rows
+    counts = {
+        "images": rows.select("image_id").distinct().agg(F.count("*").alias("n")),
+        "pixels": rows.agg(F.sum("n").alias("n")),
+        "foreign_colours": foreign.agg(F.count("*").alias("n")),
+        "one_colour_twice": rows.groupBy("image_id", "r", "g", "b").count().where("count > 1").agg(F.count("*").alias("n")),
+        "out_of_rank": rows.withColumn("after", after).agg(F.count_if(F.col("after") < F.col("rank") - 1e-6).alias("n")),
+    }
+    out = None
+    for what, n in counts.items():
+        row = n.select(F.lit(what).alias("what"), "n")
+        out = row if out is None else out.unionAll(row)
+    return out
+
+
 _CARD = """CASE page_id % 6 WHEN 0 THEN '<p>Opens January 5, 2024</p>' WHEN 1 THEN '<p>March 3 – April 7, 2024</p>' WHEN 2 THEN '<p>3 Feb 2024 and 4 Feb 2024</p>' WHEN 3 THEN '<p>Dec 9, 2023 - Jan 2, 2022</p>' WHEN 4 THEN '<p>soon</p>' ELSE '<p>May 1st, 2024</p>' END"""
 
 

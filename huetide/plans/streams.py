@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from huetide.operators import cluster as cl
 from huetide.operators import graph as g
-from huetide.plans.catalog import long, query, r6, text
+from huetide.operators import palette
+from huetide.plans.catalog import COLORS, long, query, r6, text
 from huetide.plans.shapes import month_points
 from huetide.sources.fixtures import Views
 from huetide.streaming import jobs, ledger
@@ -206,10 +207,30 @@ def swatch_merge(v: Views) -> DataFrame:
 
 @query("alg03_swatch_merge_violations", "SELECT CAST(0 AS BIGINT) AS violations")
 def swatch_merge_violations(v: Views) -> DataFrame:
+    """Swatches that aren't where one pass in order puts them: all apart, or all together, would be wrong."""
     p = image_points(v)
-    merged = p.join(cl.merge_swatches(p), "id").select("day", "cluster", "id", "ll", "la", "lb")
-    inside = merged.groupBy("cluster").agg(F.greatest(F.max("ll") - F.min("ll"), F.max("la") - F.min("la"), F.max("lb") - F.min("lb")).alias("w"))
-    return inside.agg(F.count_if(F.col("w") > cl.MERGE_LIMIT).alias("violations"))
+    return cl.merge_faults(p, cl.merge_swatches(p))
+
+
+@query(
+    "alg03_merged_swatches",
+    """SELECT image_id, cluster, row_number() OVER (PARTITION BY image_id ORDER BY round(0.5 * coalesce(adjusted_share, share) + 0.25 * salience + 0.15 * component_share + 0.10 * coverage, 9) DESC, r, g, b) AS swatch_no,
+CAST(r AS BIGINT) AS r, CAST(g AS BIGINT) AS g, CAST(b AS BIGINT) AS b, n, swatches, round(share, 6) AS share, round(adjusted_share, 6) AS adjusted_share, round(salience, 6) AS salience, round(component_share, 6) AS component_share, round(coverage, 6) AS coverage, round(border_share, 6) AS border_share, structural FROM folded JOIN chosen USING (image_id, cluster)""",
+    on=COLORS,
+    extra=(
+        ("given", """SELECT *, swatch_no % 3 AS cluster, 1 + image_id % 7 * swatch_no AS n FROM colors"""),
+        ("cost", """SELECT a.image_id, a.cluster, a.swatch_no, a.r, a.g, a.b, round(sum(sqrt((a.ll - c.ll) ** 2 + (a.la - c.la) ** 2 + (a.lb - c.lb) ** 2) * greatest(1, c.n)), 9) AS cost FROM given a JOIN given c USING (image_id, cluster) GROUP BY ALL"""),
+        ("chosen", """SELECT * FROM cost QUALIFY row_number() OVER (PARTITION BY image_id, cluster ORDER BY cost, swatch_no) = 1"""),
+        ("folded", """SELECT image_id, cluster, CAST(sum(n) AS BIGINT) AS n, count(*) AS swatches, sum(share) AS share, CASE WHEN count(*) = 1 THEN max(adjusted_share) ELSE sum(coalesce(adjusted_share, share)) END AS adjusted_share, sum(salience) AS salience,
+max(component_share) AS component_share, max(coverage) AS coverage, CASE WHEN count(*) = 1 THEN max(border_share) ELSE sum(border_share * share) / greatest(sum(share), 1e-9) END AS border_share,
+CASE WHEN count(*) = 1 THEN bool_or(structural) ELSE coalesce(sum(n) FILTER (structural), 0) / greatest(1, sum(n)) >= 0.70 END AS structural FROM given GROUP BY ALL"""),
+    ),
+)
+def merged_swatches(v: Views) -> DataFrame:
+    """Given clusters of an image's swatches, each folded into one."""
+    rows = v.colors.withColumns({"cluster": F.col("swatch_no") % 3, "n": 1 + F.col("image_id") % 7 * F.col("swatch_no")})
+    out = palette.merged(rows)
+    return out.select("image_id", "cluster", *long("swatch_no", "r", "g", "b", "n", "swatches"), *r6("share", "adjusted_share", "salience", "component_share", "coverage", "border_share"), "structural")
 
 
 @query("alg01_palette_kmeans")

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -84,18 +88,66 @@ def archive(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("date").parquet(path)
 
 
-def pixels(images: DataFrame, alpha: int = 32, step: int = 1) -> DataFrame:
+def decode(height: int, width: int, channels: int, data: bytes | None, alpha: int = 32) -> tuple[np.ndarray, np.ndarray, int, int] | None:
+    """Red, green and blue of the box that holds all that isn't fully transparent, which of its pixels can be seen, and the box's first row and column.
+
+    Bytes stand as blue, green, red and, with four channels, alpha, row by row;
+    one channel is grey.  A pixel with less than ``alpha`` isn't seen.  None for
+    an image without bytes, with too few for its size, or fully transparent.
+    """
+    size = (height or 0) * (width or 0) * (channels or 0)
+    if not size or data is None or len(data) < size or channels not in (1, 3, 4):
+        return None
+    raw = np.frombuffer(data, dtype=np.uint8, count=size).reshape(height, width, channels)
+    rgb = np.repeat(raw, 3, axis=2) if channels == 1 else raw[:, :, 2::-1]
+    if channels < 4:
+        return rgb, np.ones((height, width), dtype=bool), 0, 0
+    through = raw[:, :, 3] > 0
+    rows, columns = np.flatnonzero(through.any(axis=1)), np.flatnonzero(through.any(axis=0))
+    if not len(rows):
+        return None
+    box = slice(rows[0], rows[-1] + 1), slice(columns[0], columns[-1] + 1)
+    return rgb[box], raw[:, :, 3][box] >= alpha, int(rows[0]), int(columns[0])
+
+
+def each_image(batches: Iterator[pa.RecordBatch], alpha: int) -> Iterator[tuple[pa.RecordBatch, tuple | None]]:
+    """One-row batches and their decoded image."""
+    for batch in batches:
+        image = batch.column("image")
+        parts = [image.field(c) for c in ("height", "width", "nChannels", "data")]
+        for k in range(batch.num_rows):
+            said = [p[k].as_py() for p in parts[:3]] if image[k].is_valid else [0, 0, 0]
+            data = parts[3][k]
+            yield batch.slice(k, 1), decode(*said, data.as_buffer() if data.is_valid else None, alpha)
+
+
+#: Pixels in a row of batches that a task gives out at once.
+_PIXELS = 1 << 18
+
+
+def pixels(images: DataFrame, alpha: int = 32) -> DataFrame:
     """image_id, y, x, r, g, b of the pixels that can be seen, from rows image_id and image (as Spark's image source gives it).
 
-    Bytes stand as blue, green, red and, with four channels, alpha, row by
-    row; every ``step``-th row and column is taken.
+    One pass over each image's bytes.  y and x count from the first row and
+    column of the box that holds all that isn't fully transparent.  Images
+    that ``decode`` can't read have no pixels; repeated rows are given each.
     """
-    image, n = F.col("image"), F.col("_n")
-    rows = images.select("image_id", image["width"].alias("_w"), image["nChannels"].alias("_n"), F.hex(image["data"]).alias("_hex"), F.explode(F.sequence(F.lit(0), image["height"] * image["width"] - 1)).alias("_at"))
-    byte = lambda k: F.conv(F.substring(F.col("_hex"), 2 * (F.col("_at") * n + k) + 1, F.lit(2)), 16, 10).cast("int")
-    rows = rows.withColumns({"y": F.floor(F.col("_at") / F.col("_w")).cast("int"), "x": (F.col("_at") % F.col("_w")).cast("int")}).where((F.col("y") % step == 0) & (F.col("x") % step == 0))
-    seen = F.when(n == 4, byte(3) >= alpha).otherwise(True)
-    return rows.where(seen).select("image_id", "y", "x", byte(2).alias("r"), byte(1).alias("g"), byte(0).alias("b"))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row, image in each_image(batches, alpha):
+            if image is None:
+                continue
+            rgb, seen, _, _ = image
+            at = np.flatnonzero(seen)
+            for lo in range(0, len(at), _PIXELS):
+                part = at[lo : lo + _PIXELS]
+                y, x = np.divmod(part, seen.shape[1])
+                colour = rgb[y, x].astype(np.int32)
+                ids = row.column("image_id").take(pa.array(np.zeros(len(part), dtype=np.int64)))
+                yield pa.RecordBatch.from_arrays([ids] + [pa.array(c.astype(np.int32)) for c in (y, x, *colour.T)], names=["image_id", "y", "x", "r", "g", "b"])
+
+    kind = images.schema["image_id"].dataType.simpleString()
+    return images.select("image_id", "image").mapInArrow(work, f"image_id {kind}, y int, x int, r int, g int, b int")
 
 
 def public_feed(days: DataFrame, private: list[str], order: str = "date") -> DataFrame:
