@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -20,8 +22,17 @@ def canonical_url(url: Column) -> Column:
 
 
 def normalized_url(url: Column) -> Column:
-    """Scheme, host and path without a trailing slash or query."""
-    return F.regexp_replace(F.regexp_replace(url, r"[?#].*$", ""), "/+$", "")
+    """Scheme and host in lower case and the path, without a trailing slash, query or fragment."""
+    plain = F.regexp_replace(F.regexp_replace(url, r"[?#].*$", ""), "/+$", "")
+    head = F.regexp_extract(plain, "^([A-Za-z][A-Za-z0-9+.-]*://[^/]*)", 1)
+    return F.concat(F.lower(head), F.substring(plain, F.length(head) + 1, F.length(plain)))
+
+
+def normal_address(url: str) -> str:
+    """``normalized_url`` of a given text."""
+    head, mark, rest = re.split("[?#]", url)[0].rstrip("/").partition("://")
+    place, slash, path = rest.partition("/")
+    return f"{head.lower()}{mark}{place.lower()}{slash}{path}" if mark else head
 
 
 def host(url: Column) -> Column:

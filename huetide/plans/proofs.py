@@ -286,6 +286,51 @@ def visible_dates(v: Views) -> DataFrame:
     return pg.visible_evidence(cards).select("page_id", "status", "method", *text("published_at", "event_end"))
 
 
+#: Markup put into pages: cards, or (from 2 to 7 and 11) into the page itself: its head, its article or its end.
+_CASES = {
+    0: '<article><a href="/work/one"><img></a><time datetime="{day}">x</time></article>',
+    1: '<article><a href="/work/one"></a><time datetime="{day}">x</time></article><article><a href="/work/two"></a></article>',
+    2: "<time class='entry updated' datetime='{day}'>{day}</time><span itemprop=\"dateModified\" content=\"{day}\">x</span>",
+    3: '<footer><time datetime="{day}">x</time></footer>',
+    4: "<meta content='{day}T09:20:00Z' property='article:published_time'>",
+    5: '<script type="application/ld+json">{{"@type": "Article", "url": "{url}/other", "datePublished": "{day}"}}</script>',
+    6: '<script type="application/ld+json">{{"@graph": [{{"@type": "Person"}}, {{"@type": ["NewsArticle"], "mainEntityOfPage": {{"@id": "{url}"}}, "datePublished": "{day}"}}]}}</script>',
+    7: '<script type="application/ld+json">{{"@type": "Product", "url": "{url}", "datePublished": "{day}"}}</script>',
+    8: "<article>Apr 23\u2013Nov 1, 2026 at the hall</article>",
+    9: "<article>Dec 1\u2013Jan 5, 2026 at the hall</article>",
+    10: "<div><meta content={day} itemprop=startDate><b itemprop='endDate'>2024-03-05</b></div>",
+    11: '<i itemprop="datePublished" content="{day}"></i><i content="2024-02-02T10:00" itemprop="datePublished"></i>',
+    12: '<p>Seen on <b>9th Sept.</b> 2024, 1880\u20131950, <span class="modified">June 1, 2024</span></p>',
+}
+
+
+@query(
+    "alg10_dated_items",
+    """SELECT page_id, CASE WHEN k IN (0, 4, 6, 8, 10, 12) THEN 'explicit' WHEN k = 1 THEN 'multiple_items' WHEN k = 9 OR k = 11 AND one THEN 'ambiguous' ELSE 'missing' END AS date_status,
+ CASE WHEN k = 8 THEN 'exhibition' WHEN k IN (0, 4, 6, 10, 12) THEN 'publication' ELSE 'undated' END AS kind, CASE WHEN k BETWEEN 2 AND 7 OR k = 11 THEN 'detail' ELSE 'card' END AS scope,
+ CASE WHEN k IN (0, 4, 6, 10) THEN '2024-01-' || lpad(CAST(1 + page_id % 28 AS VARCHAR), 2, '0') WHEN k = 8 THEN '2026-04-23' WHEN k = 12 THEN '2024-09-09' END AS published_at, CASE k WHEN 8 THEN '2026-11-01' WHEN 10 THEN '2024-03-05' END AS event_end,
+ CASE WHEN k IN (0, 4, 6, 8, 9, 10, 12) OR k = 11 AND one THEN CASE k WHEN 0 THEN 'time:datetime' WHEN 4 THEN 'publication_meta' WHEN 6 THEN 'jsonld:datePublished' WHEN 10 THEN 'itemprop:endDate,itemprop:startDate' WHEN 11 THEN 'itemprop:datePublished' WHEN 12 THEN 'visible_full_date' ELSE 'visible_event_range' END ELSE '' END AS methods
+FROM (SELECT page_id, page_id % 13 AS k, len(regexp_extract_all(html, '<article>')) = 1 AS one FROM pages)""",
+)
+def dated_items(v: Views) -> DataFrame:
+    """Pages with a date marked up in thirteen ways, some of which date the item, and cards of listings."""
+    k, url = F.col("page_id") % 13, F.col("url")
+    day = F.concat(F.lit("2024-01-"), F.lpad((1 + F.col("page_id") % 28).cast("string"), 2, "0"))
+    plain = urls.normalized_url(url)
+
+    def filled(text: str) -> Column:
+        out = F.lit(text.replace("{{", "{").replace("}}", "}") if "{{" in text else text)
+        return F.replace(F.replace(out, F.lit("{day}"), day), F.lit("{url}"), plain)
+
+    made = None
+    for n, said in _CASES.items():
+        case = filled(said)
+        page = F.concat("html", case) if n == 3 else F.concat(case, F.col("html")) if n in (4, 5, 6, 7) else F.replace("html", F.lit("<article>"), F.concat(F.lit("<article>"), case)) if n in (2, 11) else case
+        made = F.when(k == n, page) if made is None else made.when(k == n, page)
+    pages = v.pages.select("page_id", "url", made.alias("html"), F.when(k.isin(8, 9), "newly_exhibited").otherwise("").alias("event_type"), (k.between(2, 7) | (k == 11)).alias("detail"))
+    return pg.dated_items(pages).select("page_id", "date_status", "kind", "scope", *text("published_at", "event_end"), F.array_join("methods", ",").alias("methods"))
+
+
 @query(
     "prj20_snapshot_proof",
     """SELECT conv_id, coalesce(conv_id % 5 <> 0 AND conv_id % 7 <> 0 AND conv_id % 11 <> 0 AND conv_id % 6 <> 4 AND count(*) >= 3 AND min(turn + 1) >= 1 AND max(turn + 1) <= 200 AND count(DISTINCT turn) = count(*) AND bool_and(conv_id % 8 <> 3 OR turn <> 0), FALSE) AS "current"
@@ -298,9 +343,9 @@ def snapshot_proof(v: Views) -> DataFrame:
     item = F.struct((F.col("turn") + 1).alias("rank"), F.concat(host, F.lit("/item/"), F.col("turn").cast("string")).alias("url"))
     rows = v.conversations.groupBy("conv_id").agg(F.collect_list(item).alias("items"))  # a conversation's turns
     at = F.when(k % 7 == 0, "2024-05-02T03:59:00Z").otherwise("2024-05-02T04:01:00Z")
-    page = F.when(k % 5 == 0, "https://e.org/other").otherwise("https://e.org/chart/?week=1")
+    page = F.when(k % 5 == 0, "https://e.org/other").otherwise("HTTPS://E.org/chart/?week=1")
     proof = rows.select("conv_id", "items", page.alias("page_url"), page.alias("source_url"), at.alias("captured_at"), F.when(k % 11 == 0, "2024-05-02T05:00:00Z").otherwise(at).alias("observed_at"), F.when(k % 6 == 4, "abc").otherwise(F.sha2(k.cast("string").cast("binary"), 256)).alias("digest"))
-    return pg.snapshot_current(proof, ["https://e.org/chart"], ["/item/"], "2024-05-02", "America/New_York").select("conv_id", "current")
+    return pg.snapshot_current(proof, ["https://E.ORG/chart?all"], ["/item/"], "2024-05-02", "America/New_York").select("conv_id", "current")
 
 
 @query("udx01_sql_functions", "SELECT p_partkey, trim(regexp_replace(lower(p_name), '[^a-z0-9]+', '-', 'g'), '-') AS slug, printf('#%02X%02X%02X', p_partkey % 256, p_size, 7) AS hex, round(sqrt(power(p_size / 100.0, 2) + 0.25), 6) AS distance FROM part")

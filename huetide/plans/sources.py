@@ -152,12 +152,14 @@ def ranked_lists(v: Views) -> DataFrame:
 
 @query(
     "scl02_url_forms",
-    """SELECT page_id, base || CASE WHEN len(kept) > 0 THEN '?' || array_to_string(kept, '&') ELSE '' END AS canonical, regexp_replace(regexp_replace(url, '[?#].*$', ''), '/+$', '') AS normalized, lower(regexp_extract(url, '^[A-Za-z]+://([^/:?#]*)', 1)) AS host FROM (
-SELECT page_id, url, regexp_replace(regexp_replace(url, '#.*$', ''), '\\?.*$', '') AS base, list_sort(list_filter(string_split(regexp_extract(regexp_replace(url, '#.*$', ''), '\\?(.*)$', 1), '&'), lambda p: p <> '' AND NOT starts_with(lower(p), 'utm_') AND NOT regexp_matches(lower(p), '^(fbclid|gclid)(=|$)'))) AS kept FROM pages)""",
+    """SELECT page_id, lower(regexp_extract(base, '^[A-Za-z]+://[^/]*')) || substr(base, len(regexp_extract(base, '^[A-Za-z]+://[^/]*')) + 1) || CASE WHEN len(kept) > 0 THEN '?' || array_to_string(kept, '&') ELSE '' END AS canonical, lower(regexp_extract(plain, '^[A-Za-z]+://[^/]*')) || substr(plain, len(regexp_extract(plain, '^[A-Za-z]+://[^/]*')) + 1) AS normalized, lower(regexp_extract(url, '^[A-Za-z]+://([^/:?#]*)', 1)) AS host FROM (
+SELECT page_id, url, regexp_replace(regexp_replace(url, '[?#].*$', ''), '/+$', '') AS plain, regexp_replace(regexp_replace(url, '#.*$', ''), '\\?.*$', '') AS base, list_sort(list_filter(string_split(regexp_extract(regexp_replace(url, '#.*$', ''), '\\?(.*)$', 1), '&'), lambda p: p <> '' AND NOT starts_with(lower(p), 'utm_') AND NOT regexp_matches(lower(p), '^(fbclid|gclid)(=|$)'))) AS kept FROM (SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'HTTP' || replace(substr(url, 5), 'example', 'Example') ELSE url END AS url FROM pages))""",
 )
 def url_forms(v: Views) -> DataFrame:
+    """Addresses, some with capitals in scheme and host."""
+    pages = v.pages.selectExpr("page_id", "CASE WHEN page_id % 3 = 0 THEN 'HTTP' || replace(substr(url, 5), 'example', 'Example') ELSE url END AS url")
     url = F.col("url")
-    return v.pages.select("page_id", urls.canonical_url(url).alias("canonical"), urls.normalized_url(url).alias("normalized"), urls.host(url).alias("host"))
+    return pages.select("page_id", urls.canonical_url(url).alias("canonical"), urls.normalized_url(url).alias("normalized"), urls.host(url).alias("host"))
 
 
 @query(
