@@ -10,8 +10,8 @@ candidates, level by level, until there are enough.  Candidates are scored
 exactly.
 
 Strings see angles, the measure is the inner product.  So rows are sharded by
-norm first (bands of a factor BAND), and inside a shard one more component
-makes all rows equally long.  Rows go to shards, queries in blocks to all
+norm first, and inside a shard one more component makes all rows equally long;
+the narrower the band of norms, the less that component blurs angles.  Rows go to shards, queries in blocks to all
 shards of their length; a task holds one shard and one block whatever the size
 of the table.
 """
@@ -32,7 +32,8 @@ TREES, AXES, LEVELS, SEED = 80, 64, 3, 6
 #: Independent normal components, the hardest case, need these for a recall of 0.9; clustered rows need far fewer.
 ENOUGH, LEAST = 0.06, 384
 SHARD_ROWS, BLOCK_QUERIES = 8192, 8192
-BAND = 2.0
+#: Rows of norms within a factor BAND belong together, the closer ones of up to WIDEST while they are fewer than FEW.
+BAND, WIDEST, FEW = 1.1, 2.0, 4096
 #: Queries of a block that are looked up at once.
 _STEP = 256
 RESULT = "query_id long, vec_id long, score double, looked long"
@@ -57,6 +58,7 @@ class Forest:
 
     def __init__(self, rows: np.ndarray, seed: int = SEED):
         self.n, self.seed = len(rows), seed
+        rows = rows / (np.abs(rows).max(initial=0) or 1.0)
         centred = rows - rows.mean(axis=0)
         square = (centred * centred).sum(axis=1)
         most = math.sqrt(square.max()) or 1.0
@@ -71,6 +73,7 @@ class Forest:
     def shared(self, queries: np.ndarray) -> np.ndarray:
         """Queries x rows: shared symbols of all trees' prefixes."""
         n = len(queries)
+        queries = queries / np.maximum(np.abs(queries).max(axis=1, keepdims=True), 1e-320)
         size = np.sqrt((queries * queries).sum(axis=1, keepdims=True))
         symbols = strings(np.hstack([queries / np.maximum(size, 1e-300), np.zeros((n, 1))]).astype(np.float32), self.seed).astype(np.int64)
         cells, base = [], np.arange(n, dtype=np.int32) * np.int32(self.n)
@@ -98,6 +101,22 @@ def energy(vector: Column) -> Column:
     return F.aggregate(vector, F.lit(0.0), lambda a, x: a + x * x)
 
 
+def log_norm(vector: Column) -> Column:
+    """The logarithm of a usable vector's norm: components are divided by the largest before they are squared, so that no norm is infinite or 0."""
+    most = F.array_max(F.transform(vector, F.abs))
+    return F.log(most) + 0.5 * F.log(energy(F.transform(vector, lambda x: x / most)))
+
+
+def inner(rows: np.ndarray, vector: np.ndarray) -> np.ndarray:
+    """Inner products; where a term or a sum overflows, that of scaled vectors scaled back, which has the right sign."""
+    with np.errstate(over="ignore", invalid="ignore"):
+        out = (rows * vector).sum(axis=1)
+        for k in np.flatnonzero(~np.isfinite(out)).tolist():
+            a, b = np.abs(rows[k]).max(), np.abs(vector).max()
+            out[k] = (rows[k] / a * (vector / b)).sum() * a * b
+    return out
+
+
 def usable(vector: Column) -> Column:
     """Not null or empty, no null or non-finite component, not zero."""
     bad = lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))
@@ -105,24 +124,42 @@ def usable(vector: Column) -> Column:
     return F.when(energy(vector).between(1e-290, 1e300), True).otherwise(exact)  # the sum settles all but extremes
 
 
+def banded_together(sizes: list[tuple[int, int, int]]) -> dict[tuple[int, int], int]:
+    """The group of each band (width, band, rows): neighbouring bands go together while they are few rows and not too far apart."""
+    out: dict[tuple[int, int], int] = {}
+    first, rows, of = 0, FEW, None
+    for width, band, n in sorted(sizes):
+        if width != of or rows >= FEW or (band - first + 1) * math.log(BAND) > math.log(WIDEST):
+            first, rows, of = band, 0, width
+        out[width, band] = first
+        rows += n
+    return out
+
+
 def searched(rows: DataFrame, queries: Column, k: int = 20, enough: float = ENOUGH, least: int = LEAST, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """RESULT of each query and shard: its k nearest candidates there, and how many rows were looked at."""
     spark = rows.sparkSession
     vectors = rows.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>").alias("embedding"))
     vectors = vectors.where(F.col("vec_id").isNotNull() & usable(F.col("embedding")))
-    norm = F.sqrt(energy(F.col("embedding")))
-    banded = lambda df: df.select("vec_id", "embedding", F.size("embedding").alias("width"), F.coalesce(F.floor(F.log(norm) / math.log(BAND) + 0.5), F.lit(-1)).cast("int").alias("band"))
+    banded = lambda df: df.select("vec_id", "embedding", F.size("embedding").alias("width"), F.floor(log_norm(F.col("embedding")) / math.log(BAND) + 0.5).cast("int").alias("band"))
     sizes = banded(vectors).groupBy("width", "band").agg(F.count("*").alias("n"), F.count(F.when(queries, 1)).alias("q")).collect()  # a row a band of norms
     if not any(r["q"] for r in sizes):
         return spark.createDataFrame([], RESULT)
     blocks = max(1, -(-sum(r["q"] for r in sizes) // BLOCK_QUERIES))
     vectors = banded(vectors.groupBy("vec_id").agg(F.min("embedding").alias("embedding")))
-    plan = F.broadcast(spark.createDataFrame([(r["width"], r["band"], -(-r["n"] // shard_rows)) for r in sizes], "width int, band int, shards int"))
+    groups = banded_together([(r["width"], r["band"], r["n"]) for r in sizes])
+    rows_of: dict[tuple[int, int], int] = {}
+    for r in sizes:
+        at = (r["width"], groups[r["width"], r["band"]])
+        rows_of[at] = rows_of.get(at, 0) + r["n"]
+    shards = {at: -(-n // shard_rows) for at, n in rows_of.items()}
+    plan = F.broadcast(spark.createDataFrame([(w, b, g, shards[w, g]) for (w, b), g in groups.items()], "width int, band int, group int, shards int"))
+    every_shard = F.broadcast(spark.createDataFrame([(w, g, n) for (w, g), n in shards.items()], "width int, group int, shards int"))
     hashed = lambda many: F.pmod(F.xxhash64("vec_id"), many).cast("int")
     every = lambda many, name: F.explode(F.sequence(F.lit(0), many - 1)).alias(name)
-    columns = ["vec_id", "embedding", "asks", "width", "band", "shard", "block"]
+    columns = ["vec_id", "embedding", "asks", "width", "group", "shard", "block"]
     row = vectors.join(plan, ["width", "band"]).select("*", F.lit(False).alias("asks"), hashed(F.col("shards")).alias("shard"), every(F.lit(blocks), "block"))
-    ask = vectors.where(queries).drop("band").join(plan, "width").select("*", F.lit(True).alias("asks"), every(F.col("shards"), "shard"), hashed(F.lit(blocks)).alias("block"))
+    ask = vectors.where(queries).drop("band").join(every_shard, "width").select("*", F.lit(True).alias("asks"), every(F.col("shards"), "shard"), hashed(F.lit(blocks)).alias("block"))
 
     def search(part: pa.Table) -> pa.Table:
         asks = part.column("asks").to_numpy()
@@ -139,7 +176,7 @@ def searched(rows: DataFrame, queries: Column, k: int = 20, enough: float = ENOU
                 chosen = forest.candidates(part_rows, max(k + 1, least, math.ceil(enough * len(own))))
                 for at, (query, vector) in enumerate(zip(part_ids, part_rows, strict=True)):
                     r = np.flatnonzero(chosen[at] & (own != query))
-                    score = (data[r] * vector).sum(axis=1)
+                    score = inner(data[r], vector)
                     if len(r) > k:  # those below the k-th score go
                         near = score >= np.partition(score, len(r) - k)[len(r) - k]
                         best, looked, score = r[near], len(r), score[near]
@@ -151,7 +188,7 @@ def searched(rows: DataFrame, queries: Column, k: int = 20, enough: float = ENOU
         kinds = (np.int64, np.int64, np.float64, np.int64)
         return pa.table({name: np.concatenate([*column, np.zeros(0, dtype=kind)]).astype(kind) for name, column, kind in zip(("query_id", "vec_id", "score", "looked"), out, kinds, strict=True)})
 
-    return row.select(columns).unionByName(ask.select(columns)).groupBy("width", "band", "shard", "block").applyInArrow(search, RESULT)
+    return row.select(columns).unionByName(ask.select(columns)).groupBy("width", "group", "shard", "block").applyInArrow(search, RESULT)
 
 
 def nearest(rows: DataFrame, queries: Column, k: int = 20, enough: float = ENOUGH, least: int = LEAST, shard_rows: int = SHARD_ROWS) -> DataFrame:

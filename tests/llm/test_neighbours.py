@@ -64,6 +64,41 @@ def test_awkward_vectors(spark):
     assert neighbours.nearest(table(spark, []), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def test_extreme_finite_vectors(spark):
+    """Norms that overflow or vanish when squared; products beyond the largest double keep their sign."""
+    rows = [(0, [1e200, 0.0]), (1, [1e200, 1e200]), (2, [1e-200, 0.0]), (3, [-1e-200, 1e-200]), (4, [1e308, -1e308]), (5, [5e-324, 0.0]), (6, [1.0, 1.0]), (7, [-1e200, 1e-200]), (20, [1e-200, 1e-200]), (40, [1e308, 1e308])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {}
+    for r in neighbours.nearest(df, F.col("vec_id") % 20 == 0).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    assert [v for v, _ in got[0]] == [1, 4, 40, 6, 2, 20, 5, 3, 7] and got[0][0][1] == math.inf and got[0][-1][1] == -math.inf
+    assert got[20][:3] == [(40, 2e108), (1, 2.0), (0, 1.0)] and dict(got[20])[7] == -1.0
+    assert dict(got[40])[4] == 0.0 and dict(got[40])[1] == math.inf
+    bands = [r.b for r in df.select(neighbours.log_norm(F.col("embedding")).alias("b")).collect()]
+    assert all(math.isfinite(b) for b in bands) and abs(bands[0] - math.log(1e200)) < 1e-9
+
+
+def test_normal_vectors_in_bands():
+    """Plain normal vectors of 64 components, whose norms differ by a tenth: the setting that ships, by band as the query cuts them."""
+    rng = np.random.default_rng(1)
+    rows = rng.standard_normal((50_000, 64))
+    asked = rng.choice(len(rows), 40, replace=False)
+    score = rows[asked] @ rows.T
+    score[np.arange(40), asked] = -np.inf
+    best = np.argsort(-score, axis=1)[:, :20]
+    band = np.floor(np.log(np.sqrt((rows * rows).sum(axis=1))) / math.log(neighbours.BAND) + 0.5).astype(int)
+    groups = neighbours.banded_together([(64, int(b), int(n)) for b, n in zip(*np.unique(band, return_counts=True), strict=True)])
+    group, found, looked = np.array([groups[64, b] for b in band]), np.zeros(score.shape, dtype=bool), 0
+    for g in np.unique(group):
+        own = np.flatnonzero(group == g)
+        for part in np.array_split(own, -(-len(own) // neighbours.SHARD_ROWS)):
+            chosen = neighbours.Forest(rows[part]).candidates(rows[asked], max(21, neighbours.LEAST, math.ceil(neighbours.ENOUGH * len(part))))
+            found[:, part] |= chosen
+            looked += chosen.sum()
+    assert np.take_along_axis(found, best, axis=1).mean() >= 0.9
+    assert looked < 0.15 * score.size
+
+
 def test_many_copies_and_shards(spark):
     rng = np.random.default_rng(5)
     rows = [(i, [1.0, 2.0, 3.0]) for i in range(300)] + [(i, rng.standard_normal(3).tolist()) for i in range(300, 400)]
