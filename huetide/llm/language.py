@@ -25,6 +25,8 @@ from huetide.llm.tokens import LOWER, chunks, text_bytes
 #: Training texts and landmarks a language (bounds of what reaches the driver: a vector of GRAMS half floats a text), and bytes of a piece of text.
 TRAIN, LANDMARKS, PIECE = 200, 48, 2048
 GRAMS = 1 << 14
+#: Training texts in all, and languages that are learned: those with the most texts.
+TOTAL, LANGUAGES = 4096, 512
 RIDGE = 1e-3
 RESULT = "lang_pred string, score double, margin double"
 _FOLD = LOWER.copy()
@@ -89,17 +91,23 @@ def fit(x: np.ndarray, langs: list[str]) -> tuple[list[str], np.ndarray]:
 
 
 def train(labelled: DataFrame) -> tuple[list[str], np.ndarray]:
-    """The model from a sample of at most TRAIN whole texts a language, chosen by a hash of their ids."""
+    """The model from a sample of at most TRAIN whole texts a language, chosen by a hash of their ids.
+
+    Of more than LANGUAGES languages those with the most texts are learned (of
+    equals the first by name), and of more than TOTAL / TRAIN ones each has an
+    equal part of TOTAL texts, so that what reaches the driver has a bound.
+    """
     rows = labelled.where("text is not null and lang is not null and text rlike '[\\\\p{L}]'")
-    counts = {r[0]: r[1] for r in rows.groupBy("lang").count().collect()}  # a row a language
+    counts = {r[0]: r[1] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()}
     if not counts:
         return fit(np.zeros((0, GRAMS)), [])
+    each = min(TRAIN, TOTAL // len(counts))
     order = F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(1 << 20))
-    share = F.create_map(*[F.lit(v) for k, n in counts.items() for v in (k, int(min(1.0, 1.3 * TRAIN / n) * (1 << 20)) + 1)])
+    share = F.create_map(*[F.lit(v) for k, n in counts.items() for v in (k, int(min(1.0, 1.3 * max(each, 40) / n) * (1 << 20)) + 1)])
     sample = rows.where(order < share[F.col("lang")]).select("lang", order.alias("o"), "doc_id", F.col("text").cast("string").alias("text"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("o", "doc_id"))
-    chosen = sample.select("lang", "o", "doc_id", F.xxhash64("text").alias("h")).withColumn("rank", rank).where(F.col("rank") <= TRAIN).select("lang", "o", "doc_id", "h")
-    chosen = chosen.dropDuplicates(["doc_id"]).select("doc_id", "lang", "o")  # TRAIN a language at most
+    chosen = sample.select("lang", "o", "doc_id", F.xxhash64("text").alias("h")).withColumn("rank", rank).where(F.col("rank") <= each).select("lang", "o", "doc_id", "h")
+    chosen = chosen.dropDuplicates(["doc_id"]).select("doc_id", "lang", "o")  # TOTAL at most
     sample = sample.join(F.broadcast(chosen), ["doc_id", "lang", "o"]).dropDuplicates(["doc_id"])
 
     def embed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

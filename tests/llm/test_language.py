@@ -27,3 +27,18 @@ def test_awkward_texts(spark):
 def test_nothing_to_learn_from(spark):
     model = lang.train(empty(spark))
     assert [r.lang_pred for r in lang.identify(documents(spark, ["the cat"]), model).collect()] == ["und"]
+
+
+def test_many_languages_have_a_bound(spark, monkeypatch):
+    """A column of junk: the most frequent languages are learned, each from a part of the sample."""
+    monkeypatch.setattr(lang, "LANGUAGES", 5)
+    monkeypatch.setattr(lang, "TOTAL", 15)
+    seen = []
+    fit = lang.fit
+    monkeypatch.setattr(lang, "fit", lambda x, names: seen.append(names) or fit(x, names))
+    fit_rows = [(k * 100 + j, f"{word} {j} " * 9, f"l{k}") for k, word in enumerate(("alpha", "bravo", "carol", "delta", "echos", "foxes", "golfs")) for j in range(10 - k)]
+    df = spark.createDataFrame(fit_rows, "doc_id long, text string, lang string")
+    model = lang.train(df)
+    assert model[0] == ["l0", "l1", "l2", "l3", "l4"] and {n: seen[0].count(n) for n in model[0]} == {n: 3 for n in model[0]}
+    got = {r.doc_id: r.lang_pred for r in lang.identify(df, model).collect()}
+    assert got[0] == "l0" and got[400] == "l4"
