@@ -6,6 +6,8 @@ A candidate is a group of swatches named by ``by`` columns: a cluster from
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -118,6 +120,17 @@ def candidates(best: DataFrame, by: list[str]) -> DataFrame:
     return out.withColumns({"top_source_weight": 1.0 / F.col("source_count"), "uncertainty": 1.0 / F.sqrt("source_count")})
 
 
+def swatch_summary(best: DataFrame, by: list[str], kinds: dict[str, Iterable]) -> DataFrame:
+    """``candidates`` in one aggregation: the weights of the largest domain and platform are the greatest of counts by kind.
+
+    ``kinds`` has, for each of these columns, the registry's values: a bounded
+    list.  A row with another value or none counts in no kind.
+    """
+    weight = lambda c, values: (F.greatest(F.lit(0).cast("long"), F.count_if(F.col(c).isNull()), *[F.count_if(F.col(c) == v) for v in values]) / F.count("*")).alias(f"top_{c}_weight")
+    out = best.groupBy(*by).agg(*[c.alias(n) for n, c in usage_scores().items()], *[weight(c, values) for c, values in kinds.items()])
+    return out.withColumns({"top_source_weight": 1.0 / F.col("source_count"), "uncertainty": 1.0 / F.sqrt("source_count")})
+
+
 def evidence_order(best: DataFrame, by: list[str]) -> DataFrame:
     order = Window.partitionBy(*by).orderBy(F.desc("confidence"), F.desc("component_share"), F.desc("share"), "actor")
     return best.withColumn("place", F.row_number().over(order))

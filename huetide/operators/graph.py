@@ -43,6 +43,22 @@ def near_pairs(points: DataFrame, keys: list[str], limit: float, id_: str = "id"
     return home.join(other, [*keys, "x", "y", "z"]).where("a < b").withColumn("distance", d).where(F.col("distance") <= limit).select(*keys, "a", "b", "distance")
 
 
+def pair_statistics(points: DataFrame, keys: list[str], colour: str, limit: float) -> DataFrame:
+    """``keys``, pairs and mean_distance: how many pairs of points are within an OKLab distance, and how far apart on average.
+
+    Counted over distinct colours (``colour`` names one): n points of a colour
+    are n (n - 1) / 2 pairs at no distance, and two near colours as many as the
+    product of their points, so no pair of points is made.
+    """
+    rows = points.groupBy(*keys, F.col(colour).alias("id")).agg(F.count("*").alias("n"), *[F.first(c).alias(c) for c in ("ll", "la", "lb")])
+    count = lambda name: rows.select(*keys, F.col("id").alias(name), F.col("n").alias(f"n_{name}"))
+    two = near_pairs(rows, keys, limit).join(count("a"), [*keys, "a"]).join(count("b"), [*keys, "b"])
+    weight = F.col("n_a") * F.col("n_b")
+    both = two.select(*keys, weight.alias("pairs"), (weight * F.col("distance")).alias("total"))
+    own = rows.where("n > 1").select(*keys, F.expr("n * (n - 1) div 2").alias("pairs"), F.lit(0.0).alias("total"))
+    return both.unionByName(own).groupBy(*keys).agg(F.sum("pairs").alias("pairs"), (F.sum("total") / F.sum("pairs")).alias("mean_distance"))
+
+
 def components(edges: DataFrame, vertices: DataFrame) -> DataFrame:
     """vertex and component (its smallest vertex): minimum labels over neighbours with pointer jumping, to a fixpoint."""
     both = settled(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))))

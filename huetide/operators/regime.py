@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,17 +12,26 @@ from huetide.operators.evidence import share
 
 
 def first_images(colors: DataFrame, swatches: int = 5) -> DataFrame:
-    """The first swatches of each actor's most confident image of a day (of equals, the first image)."""
-    best = colors.groupBy("day", "actor").agg(F.max(F.struct("confidence", -F.col("image_id"))).alias("top")).select("day", "actor", (-F.col("top.col2")).alias("image_id"))
-    return colors.join(best, ["day", "actor", "image_id"]).where(F.col("swatch_no") <= swatches).withColumn("weight", share())
+    """A row a day and actor: its most confident image (of equals the first), confidence, and ``swatches``, the image's first ones in order.
+
+    Two aggregations of one scan: an image's few swatches are gathered, then
+    one image is kept.
+    """
+    fields = F.struct("swatch_no", "hex", "ll", "la", "lb", "chroma", "hue", "neutral", share().alias("weight"))
+    first = F.collect_list(F.when(F.col("swatch_no") <= swatches, fields))
+    images = colors.groupBy("day", "actor", "image_id").agg(F.max("confidence").alias("confidence"), F.array_sort(first).alias("swatches"))
+    best = F.max_by(F.struct("image_id", "confidence", "swatches"), F.struct("confidence", -F.col("image_id"))).alias("best")
+    return images.groupBy("day", "actor").agg(best).select("day", "actor", "best.*").where(F.size("swatches") > 0)
+
 
+def _pairs(items: Column, make: Callable[[Column, Column], Column]) -> Column:
+    """``make`` of every item of an array with each later one."""
+    return F.flatten(F.transform(items, lambda x, k: F.transform(F.slice(items, k + 2, F.size(items)), lambda y: make(x, y))))
 
-def contrast(rows: DataFrame) -> DataFrame:
-    """The largest distance between two swatches of an image (five at most an image)."""
-    keys = ["day", "actor", "image_id"]
-    a = rows.select(*keys, F.struct("swatch_no", "ll", "la", "lb").alias("x"))
-    pairs = a.join(a.withColumnRenamed("x", "y"), keys).where("x.swatch_no < y.swatch_no")
-    return pairs.groupBy(*keys).agg(F.max(distance(("x.ll", "x.la", "x.lb"), ("y.ll", "y.la", "y.lb"))).alias("contrast"))
+
+def contrast(swatches: Column) -> Column:
+    """The largest distance between two of an image's swatches; null for one alone."""
+    return F.array_max(_pairs(swatches, lambda x, y: distance((x["ll"], x["la"], x["lb"]), (y["ll"], y["la"], y["lb"]))))
 
 
 def regime_label(neutral: Column, chroma: Column, contrast: Column) -> Column:
@@ -36,37 +47,42 @@ def regime_label(neutral: Column, chroma: Column, contrast: Column) -> Column:
 
 
 def regimes(colors: DataFrame) -> DataFrame:
-    """One row a day: means over images, and median chroma and mean lightness over values repeated by tenths of their weight."""
+    """One row a day: means over images, and median chroma and mean lightness over values that count as often as tenths of their weight.
+
+    What belongs to an image stands at its first swatch's row, so that one
+    aggregation a day has all.
+    """
     rows = first_images(colors)
-    chromatic = ~F.col("neutral")
-    spread = F.max(F.when(chromatic, F.col("hue"))) - F.min(F.when(chromatic, F.col("hue")))
-    total = F.sum("weight")
-    image = rows.groupBy("day", "actor", "image_id").agg(
-        (F.sum(F.when(F.col("neutral"), F.col("weight")).otherwise(0.0)) / F.when(total == 0, 1.0).otherwise(total)).alias("neutral_share"),
-        F.count("*").alias("size"),
-        F.when(F.coalesce(spread, F.lit(0.0)) < 25, 1.0).otherwise(0.0).alias("monochrome"),
-    )
-    image = image.join(contrast(rows), ["day", "actor", "image_id"], "left")
-    per_day = image.groupBy("day").agg(F.avg("neutral_share").alias("neutral_share"), F.avg("contrast").alias("contrast"), F.avg("size").alias("palette_size"), F.avg("monochrome").alias("monochrome_share"))
+    total = lambda test: F.aggregate(F.filter("swatches", test), F.lit(0.0), lambda a, s: a + s["weight"])
+    hues = F.transform(F.filter("swatches", lambda s: ~s["neutral"]), lambda s: s["hue"])
+    all_ = total(lambda s: F.lit(True))
+    image = {
+        "neutral_share": total(lambda s: s["neutral"]) / F.when(all_ == 0, 1.0).otherwise(all_),
+        "palette_size": F.size("swatches"),
+        "monochrome_share": F.when(F.coalesce(F.array_max(hues) - F.array_min(hues), F.lit(0.0)) < 25, 1.0).otherwise(0.0),
+        "contrast": contrast(F.col("swatches")),
+    }
+    each = rows.withColumns(image).select("day", *image, F.posexplode("swatches").alias("place", "s"))
+    each = each.select("day", *[F.when(F.col("place") == 0, F.col(c)).alias(c) for c in image], "s.*")
     times = F.greatest(F.lit(1), (F.col("weight") * 10).cast("int"))
-    values = rows.select("day", "chroma", "ll", F.explode(F.array_repeat(F.lit(1), times)).alias("_"))
-    medians = values.groupBy("day").agg(F.median("chroma").alias("median_chroma"), F.avg("ll").alias("mean_lightness"))
-    part = lambda test: F.sum(F.when(chromatic & test, F.col("weight")).otherwise(0.0))
+    part = lambda test: F.sum(F.when(~F.col("neutral") & test, F.col("weight")).otherwise(0.0))
     warm, cool, muted, electric = part(is_warm("hue")), part(~is_warm("hue")), part(F.col("chroma") < 0.10), part(F.col("chroma") >= 0.18)
     safe = lambda x: F.when(x == 0, 1.0).otherwise(x)
-    shares = rows.groupBy("day").agg((warm / safe(warm + cool)).alias("warm_share"), (muted / safe(muted + electric)).alias("muted_share"))
-    out = per_day.join(medians, "day").join(shares, "day")
+    out = each.groupBy("day").agg(
+        *[F.avg(c).alias(c) for c in image],
+        F.percentile("chroma", F.lit(0.5), times).alias("median_chroma"), (F.sum(F.col("ll") * times) / F.sum(times)).alias("mean_lightness"),
+        (warm / safe(warm + cool)).alias("warm_share"), (muted / safe(muted + electric)).alias("muted_share"),
+    )
     return out.withColumn("regime", regime_label(F.col("neutral_share"), F.col("median_chroma"), F.coalesce("contrast", F.lit(0.0))))
 
 
 def pairs(colors: DataFrame, top: int = 10) -> DataFrame:
     """The day's strongest unordered pairs among the first four chromatic swatches of each actor's image."""
-    keys = ["day", "actor", "image_id"]
-    place = F.row_number().over(Window.partitionBy(*keys).orderBy("swatch_no"))
-    rows = first_images(colors).where("not neutral").withColumn("place", place).where("place <= 4").select(*keys, "confidence", F.struct("place", "hex", "weight").alias("x"))
-    both = rows.join(rows.select(*keys, F.col("x").alias("y")), keys).where("x.place < y.place")
-    score = F.sum(F.least("x.weight", "y.weight") * F.col("confidence"))
-    scored = both.groupBy("day", F.least("x.hex", "y.hex").alias("first"), F.greatest("x.hex", "y.hex").alias("second")).agg(score.alias("score"))
+    four = F.slice(F.filter("swatches", lambda s: ~s["neutral"]), 1, 4)
+    rows = first_images(colors).select("day", "confidence", four.alias("four"))
+    made = _pairs(F.col("four"), lambda x, y: F.struct(F.least(x["hex"], y["hex"]).alias("first"), F.greatest(x["hex"], y["hex"]).alias("second"), F.least(x["weight"], y["weight"]).alias("weight")))
+    both = rows.select("day", "confidence", F.explode(made).alias("x"))
+    scored = both.groupBy("day", "x.first", "x.second").agg(F.sum(F.col("x.weight") * F.col("confidence")).alias("score"))
     order = Window.partitionBy("day").orderBy(F.desc(F.round("score", 9)), "first", "second")
     return scored.withColumn("place", F.row_number().over(order)).where(F.col("place") <= top)
 

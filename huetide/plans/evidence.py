@@ -18,13 +18,18 @@ def points(v: Views) -> DataFrame:
     return ev.admitted(v.colors, v.panel)
 
 
+#: The registry's kinds of domains and platforms.
+KINDS = {"domain": range(12), "platform": range(8)}
+
+
 def best(v: Views) -> DataFrame:
     # kept in memory: a row an actor, family and month, which one query reads several times
     return v.kept("best", lambda: ev.best_per_actor(points(v).where("current_eligible"), BY))
 
 
 def cand(v: Views) -> DataFrame:
-    return ev.candidates(best(v), BY)
+    # kept likewise: a row a family and month, which scores, gates and ties read
+    return v.kept("cand", lambda: ev.swatch_summary(best(v), BY, KINDS))
 
 
 @query(

@@ -161,8 +161,12 @@ EMERGING = "score >= 55 AND source_count >= 6 AND domain_count >= 4 AND concentr
 
 
 def scored(v: Views) -> DataFrame:
-    rows = best(v)
-    c = ev.candidates(rows, ["day", "family"])
+    """Candidates with their scores, kept: gates, ties and audits read them."""
+    return v.kept("scored", lambda: _scored(v))
+
+
+def _scored(v: Views) -> DataFrame:
+    rows, c = best(v), cand(v)
     seen = rows.where("panel = 'benchmark'").groupBy("day").agg(F.count_distinct("actor").alias("n"))  # a row a month
     before = seen.select(F.col("day").alias("pday"), F.col("n").alias("pn"))
     prior = c.select("day", "family", F.explode(F.transform(F.sequence(F.lit(1), F.lit(12)), lambda k: F.add_months("day", -k))).alias("pday")).join(F.broadcast(before), "pday")
@@ -185,6 +189,10 @@ def known_actors(rows: DataFrame) -> DataFrame:
 
 
 def gated(v: Views) -> DataFrame:
+    return v.kept("gated", lambda: _gated(v))
+
+
+def _gated(v: Views) -> DataFrame:
     wide = ev.medoid_and_diameter(best(v), ["day", "family"]).select("day", "family", "diameter")
     out = scored(v).join(wide, ["day", "family"])
     gates = {"concentrated_ok": le.concentration_ok(), "neutral_ok": le.neutral_ok(F.col("days")), "integrity_ok": le.integrity_ok(), "runner_ok": le.runner_ok(), "score": F.round("emergence_score", 6)}

@@ -212,7 +212,7 @@ def month_points(v: Views) -> DataFrame:
     on=POINTS,
 )
 def colour_distance(v: Views) -> DataFrame:
-    return g.near_pairs(month_points(v), ["day"], 0.045).groupBy("day").agg(F.count("*").alias("pairs"), F.round(F.avg("distance"), 6).alias("mean_distance")).select(*text("day"), "pairs", "mean_distance")
+    return g.pair_statistics(month_points(v), ["day"], "hex", 0.045).select(*text("day"), "pairs", *r6("mean_distance"))
 
 
 def distinct_colours(v: Views) -> DataFrame:
