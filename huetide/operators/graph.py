@@ -180,13 +180,50 @@ def hamming(a: Column, b: Column) -> Column:
 
 
 def overlap(a: str, b: str) -> tuple[Column, Column]:
-    """Intersection over union, and over the smaller box, of two struct columns (x, y, w, h)."""
+    """Intersection over union, and over the smaller box, of two struct columns (x, y, w, h); 0 with a box of no area."""
     c = lambda s, f: F.col(f"{s}.{f}").cast("double")
     width = F.least(c(a, "x") + c(a, "w"), c(b, "x") + c(b, "w")) - F.greatest(c(a, "x"), c(b, "x"))
     height = F.least(c(a, "y") + c(a, "h"), c(b, "y") + c(b, "h")) - F.greatest(c(a, "y"), c(b, "y"))
     inside = F.greatest(F.lit(0.0), width) * F.greatest(F.lit(0.0), height)
     one, two = c(a, "w") * c(a, "h"), c(b, "w") * c(b, "h")
-    return inside / (one + two - inside), inside / F.least(one, two)
+    part = lambda whole: F.when(whole > 0, inside / whole).otherwise(0.0)
+    return part(one + two - inside), part(F.least(one, two))
+
+
+def hash_pairs(rows: DataFrame, keys: list[str], bits: int, width: int = 56) -> DataFrame:
+    """Pairs (a < b) of ids of equal ``keys`` whose hashes (dhash, of ``width`` bits) differ in at most ``bits``: in one of ``bits`` + 1 bands they are equal."""
+    cuts = [width * k // (bits + 1) for k in range(bits + 2)]
+    bands = [F.struct(F.lit(k).alias("band"), F.shiftright("dhash", lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1)).alias("bits")) for k, (lo, hi) in enumerate(zip(cuts, cuts[1:], strict=False))]
+    banded = rows.select(*keys, "id", "dhash", F.explode(F.array(*bands)).alias("x")).select(*keys, "id", "dhash", "x.*")
+    left, right = (banded.select(*keys, "band", "bits", F.col("id").alias(n), F.col("dhash").alias(f"h{n}")) for n in "ab")
+    return left.join(right, [*keys, "band", "bits"]).where("a < b").where(hamming(F.col("ha"), F.col("hb")) <= bits).select(*keys, "a", "b").distinct()
+
+
+def box_pairs(rows: DataFrame, keys: list[str], step: tuple[int, int]) -> DataFrame:
+    """Pairs (a < b) of boxes (id and box, a struct x, y, w, h) of equal ``keys`` that share a cell of a grid, with their overlaps iou and inside."""
+    cells = lambda lo, size, by: F.sequence(F.floor(F.col(lo) / by), F.floor((F.col(lo) + F.col(size)) / by))
+    placed = rows.select(*keys, "id", "box", F.explode(cells("box.x", "box.w", step[0])).alias("cx")).select("*", F.explode(cells("box.y", "box.h", step[1])).alias("cy"))
+    left, right = (placed.select(*keys, "cx", "cy", F.col("id").alias(n), F.col("box").alias(c)) for n, c in (("a", "p"), ("b", "q")))
+    iou, inside = overlap("p", "q")
+    return left.join(right, [*keys, "cx", "cy"]).where("a < b").select(*keys, "a", "b", iou.alias("iou"), inside.alias("inside")).dropDuplicates([*keys, "a", "b"])
+
+
+def region_conflicts(regions: DataFrame, keys: list[str], iou: float = 0.82, bits: int = 8, step: tuple[int, int] = (1100, 700)) -> DataFrame:
+    """Pairs of regions (id, box, dhash) of equal ``keys`` that show the same: boxes that overlap by ``iou``, or hashes within ``bits``.
+
+    Two generators of candidates, each exact for its rule, make one conflict
+    graph for ``suppress``.  A region without a box or a hash has no pairs by it.
+    """
+    boxes = box_pairs(regions.where("box is not null"), keys, step).where(F.col("iou") >= iou)
+    hashes = hash_pairs(regions.where("dhash is not null"), keys, bits)
+    return boxes.select("a", "b").unionByName(hashes.select("a", "b")).distinct()
+
+
+def image_conflicts(images: DataFrame, bits: int = 6) -> DataFrame:
+    """Pairs of images (id, dhash, content) that are one: equal bytes, each with the first of them, or hashes within ``bits``."""
+    first = images.where("content is not null").groupBy("content").agg(F.min("id").alias("a"))
+    same = images.join(first, "content").where("id > a").select("a", F.col("id").alias("b"))
+    return same.unionByName(hash_pairs(images.where("dhash is not null"), [], bits).select("a", "b")).distinct()
 
 
 def nearest_members(points: DataFrame, centres: DataFrame) -> DataFrame:

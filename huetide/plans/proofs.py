@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from huetide.functions import sql as functions
 from huetide.functions import urls
+from huetide.functions.color import sql_colors
 from huetide.operators import evidence as ev
 from huetide.operators import ledger as lg
 from huetide.operators import pages as pg
@@ -348,8 +349,39 @@ def snapshot_proof(v: Views) -> DataFrame:
     return pg.snapshot_current(proof, ["https://E.ORG/chart?all"], ["/item/"], "2024-05-02", "America/New_York").select("conv_id", "current")
 
 
-@query("udx01_sql_functions", "SELECT p_partkey, trim(regexp_replace(lower(p_name), '[^a-z0-9]+', '-', 'g'), '-') AS slug, printf('#%02X%02X%02X', p_partkey % 256, p_size, 7) AS hex, round(sqrt(power(p_size / 100.0, 2) + 0.25), 6) AS distance FROM part")
+_PARTS = (("swatches", "SELECT *, p_partkey % 256 AS r, p_size AS g, 7 AS b FROM part"), *sql_colors()[:3])
+
+
+@query(
+    "udx01_sql_functions",
+    "SELECT p_partkey, trim(regexp_replace(lower(p_name), '[^a-z0-9]+', '-', 'g'), '-') AS slug, hex, round(sqrt(power(p_size / 100.0, 2) + 0.25), 6) AS distance, round(ll, 6) AS l, round(la, 6) AS a, round(lb, 6) AS b, CAST(bit_count(xor(p_partkey, CAST(p_size AS BIGINT))) AS BIGINT) AS bits FROM lab_",
+    extra=_PARTS,
+)
 def sql_functions(v: Views) -> DataFrame:
     """The SQL functions of this library, from SQL."""
     functions.register(v.spark)
-    return v.spark.sql("SELECT p_partkey, slug(p_name) AS slug, hex_of(p_partkey % 256, p_size, 7) AS hex, round(colour_distance(0D, 0D, 0D, p_size / 100D, 0.5D, 0D), 6) AS distance FROM {part}", part=v.part)
+    return v.spark.sql(
+        """SELECT p_partkey, slug(p_name) AS slug, hex, round(colour_distance(0D, 0D, 0D, p_size / 100D, 0.5D, 0D), 6) AS distance, round(lab.l, 6) AS l, round(lab.a, 6) AS a, round(lab.b, 6) AS b,
+        CAST(hash_distance(lower(hex(p_partkey)), lower(hex(p_size))) AS BIGINT) AS bits FROM (SELECT *, hex_to_oklab(hex) AS lab FROM (SELECT *, hex_of(p_partkey % 256, p_size, 7) AS hex FROM {part}))""",
+        part=v.part,
+    )
+
+
+_NEAR = "sqrt((a.ll - b.ll) * (a.ll - b.ll) + (a.la - b.la) * (a.la - b.la) + (a.lb - b.lb) * (a.lb - b.lb))"
+
+
+@query(
+    "udx04_sql_neighbours",
+    f"SELECT a.hex AS a, b.hex AS b, round({_NEAR}, 6) AS distance FROM (SELECT DISTINCT hex, ll, la, lb FROM lab_) a JOIN (SELECT DISTINCT hex, ll, la, lb FROM lab_) b ON a.hex < b.hex AND {_NEAR} <= 0.02",
+    extra=_PARTS,
+)
+def sql_neighbours(v: Views) -> DataFrame:
+    """Near colours of parts from SQL alone: the table function gives a point's 27 cells, which meet points at home in them."""
+    functions.register(v.spark)
+    colours = v.spark.sql("SELECT hex, hex_to_oklab(hex) AS p FROM (SELECT DISTINCT hex_of(p_partkey % 256, p_size, 7) AS hex FROM {part})", part=v.part)
+    return v.spark.sql(
+        """SELECT a, b, round(distance, 6) AS distance FROM (SELECT a.hex AS a, b.hex AS b, colour_distance(a.p.l, a.p.a, a.p.b, b.p.l, b.p.a, b.p.b) AS distance
+        FROM (SELECT c.hex, c.p, n.cx, n.cy, n.cz FROM {colours} c, LATERAL explode_neighbours(c.p.l, c.p.a, c.p.b, 0.02D) n) a
+        JOIN {colours} b ON CAST(floor(b.p.l / 0.02D) AS BIGINT) = a.cx AND CAST(floor(b.p.a / 0.02D) AS BIGINT) = a.cy AND CAST(floor(b.p.b / 0.02D) AS BIGINT) = a.cz AND a.hex < b.hex) WHERE distance <= 0.02D""",
+        colours=colours,
+    )

@@ -85,12 +85,8 @@ def difference_hash(v: Views) -> DataFrame:
 
 
 def hash_conflicts(v: Views) -> DataFrame:
-    """Pairs of hashes within 16 bits: 17 bands of bits, one of which two such hashes share."""
-    h = g.difference_hash(v.patches).select(F.col("image_id").alias("id"), "dhash")
-    bands = [F.struct(F.lit(k).alias("band"), F.shiftright("dhash", 56 * k // 17).bitwiseAND(F.lit((1 << (56 * (k + 1) // 17 - 56 * k // 17)) - 1)).alias("bits")) for k in range(17)]
-    banded = h.select("id", "dhash", F.explode(F.array(*bands)).alias("x")).select("id", "dhash", "x.*")
-    left, right = banded.select(F.col("id").alias("a"), F.col("dhash").alias("ha"), "band", "bits"), banded.select(F.col("id").alias("b"), F.col("dhash").alias("hb"), "band", "bits")
-    return left.join(right, ["band", "bits"]).where("a < b").where(g.hamming(F.col("ha"), F.col("hb")) <= 16).select("a", "b").distinct()
+    """Pairs of hashes within 16 bits."""
+    return g.hash_pairs(g.difference_hash(v.patches).withColumnRenamed("image_id", "id"), [], 16)
 
 
 @query("scl03_hash_distance", "SELECT a.image_id AS a, b.image_id AS b, CAST(bit_count(xor(a.dhash, b.dhash)) AS BIGINT) AS bits FROM hashes a JOIN hashes b ON a.image_id < b.image_id WHERE bit_count(xor(a.dhash, b.dhash)) <= 16", views=("patches",), extra=(HASH,))
@@ -121,11 +117,7 @@ def hash_violations(v: Views) -> DataFrame:
 def box_conflicts(v: Views) -> DataFrame:
     """Pairs of boxes of a page that overlap: a grid of 1100 x 700, so boxes that touch share a cell."""
     box = v.boxes.select("page", F.col("box_id").alias("id"), F.struct("x", "y", "w", "h").alias("box"))
-    cells = lambda lo, size, step: F.sequence(F.floor(F.col(lo) / step), F.floor((F.col(lo) + F.col(size)) / step))
-    placed = box.select("page", "id", "box", F.explode(cells("box.x", "box.w", 1100)).alias("cx")).select("*", F.explode(cells("box.y", "box.h", 700)).alias("cy"))
-    pairs = placed.select("page", "cx", "cy", F.col("id").alias("a"), F.col("box").alias("p")).join(placed.select("page", "cx", "cy", F.col("id").alias("b"), F.col("box").alias("q")), ["page", "cx", "cy"]).where("a < b")
-    iou, inside = g.overlap("p", "q")
-    return pairs.withColumns({"iou": iou, "inside": inside}).where("iou >= 0.80 or inside >= 0.90").select("a", "b", "iou", "inside").dropDuplicates(["a", "b"])
+    return g.box_pairs(box, ["page"], (1100, 700)).where("iou >= 0.80 or inside >= 0.90").select("a", "b", "iou", "inside")
 
 
 _OVER = "greatest(0, least(a.x + a.w, b.x + b.w) - greatest(a.x, b.x)) * greatest(0, least(a.y + a.h, b.y + b.h) - greatest(a.y, b.y))"
@@ -197,6 +189,50 @@ def box_violations(v: Views) -> DataFrame:
     return g.suppression_faults(ranked_boxes(v), box_conflicts(v))
 
 
+#: Regions: boxes on a coarser raster, with the hash of one of 17 pictures, a bit of it changed in one of 13 ways.
+_COARSE = ", ".join(f"{c} - {c} % {step} AS {c}" for c, step in (("x", 550), ("y", 450), ("w", 140), ("h", 90)))
+_BIT = "(box_id // 20 % 17) * 4222124650659841"
+REGIONS = ("regions", f"SELECT page, box_id, {_COARSE}, xor({_BIT}, CAST(1 AS BIGINT) << CAST(box_id % 13 AS INT)) AS dhash FROM boxes")
+
+
+def regions(v: Views) -> DataFrame:
+    rows = v.boxes.selectExpr("page", "box_id AS id", *_COARSE.split(", "), f"({_BIT.replace('//', 'div')}) ^ shiftleft(1L, CAST(box_id % 13 AS INT)) AS dhash", "struct(-image_ratio AS r, box_id AS i) AS rank")
+    return rows.select("page", "id", F.struct("x", "y", "w", "h").alias("box"), "dhash", "rank")
+
+
+@query(
+    "alg08_region_conflicts",
+    f"SELECT a.box_id AS a, b.box_id AS b FROM regions a JOIN regions b ON a.page = b.page AND a.box_id < b.box_id WHERE {_OVER} / (a.w * a.h + b.w * b.h - {_OVER}) >= 0.82 OR bit_count(xor(a.dhash, b.dhash)) <= 8",
+    views=("boxes",),
+    extra=(REGIONS,),
+)
+def region_conflicts(v: Views) -> DataFrame:
+    """Regions of a page that show the same, by overlap or by hash."""
+    return g.region_conflicts(regions(v), ["page"])
+
+
+@query("alg08_region_suppression")
+def region_suppression(v: Views) -> DataFrame:
+    return g.suppress(regions(v), region_conflicts(v)).select(F.col("id").alias("box_id"))
+
+
+@query("alg08_region_suppression_violations", NO_FAULTS)
+def region_violations(v: Views) -> DataFrame:
+    return g.suppression_faults(regions(v), region_conflicts(v))
+
+
+@query(
+    "alg08_image_conflicts",
+    "SELECT a.image_id AS a, b.image_id AS b FROM hashes a JOIN hashes b ON a.image_id < b.image_id WHERE bit_count(xor(a.dhash, b.dhash)) <= 6 UNION SELECT m, image_id FROM (SELECT image_id, min(image_id) OVER (PARTITION BY image_id // 3) AS m FROM hashes) WHERE m < image_id",
+    views=("patches",),
+    extra=(HASH,),
+)
+def image_conflicts(v: Views) -> DataFrame:
+    """Images that are one, by nearly equal hashes or equal content (given: three in a row have one)."""
+    rows = g.difference_hash(v.patches).select(F.col("image_id").alias("id"), "dhash", F.floor(F.col("image_id") / 3).alias("content"))
+    return g.image_conflicts(rows)
+
+
 # colours: pairs within a limit
 MONTH = "1995-06-01"
 _D = "sqrt((a.ll - b.ll) * (a.ll - b.ll) + (a.la - b.la) * (a.la - b.la) + (a.lb - b.lb) * (a.lb - b.lb))"

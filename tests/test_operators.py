@@ -125,3 +125,65 @@ def test_suppression_faults_are_counted(spark):
     assert count(kept(0, 1, 2, 3)) == (2, 0)
     assert count(kept(0, 3)) == (0, 1)
     assert count(kept(0, 2, 4)) == (0, 1)
+
+
+def test_region_conflicts_like_all_pairs(spark):
+    import random
+
+    rng = random.Random(6)
+    rows = [(k, k % 3, None if k % 17 == 0 else [rng.choice((0, 10, 900)), rng.choice((0, 700)), rng.choice((300, 310, 1200)), rng.choice((200, 210))], None if k % 13 == 0 else rng.choice((0, 2**56 - 1, 2**40)) ^ (1 << rng.randrange(56)) ^ (1 << rng.randrange(56))) for k in range(60)]
+    df = spark.createDataFrame([(k, p, b and tuple(b), h) for k, p, b, h in rows], "id long, page long, box struct<x: long, y: long, w: long, h: long>, dhash long")
+
+    def same(a, b):
+        if a[2] and b[2]:
+            (x, y, w, h), (s, t, u, v) = a[2], b[2]
+            inside = max(0, min(x + w, s + u) - max(x, s)) * max(0, min(y + h, t + v) - max(y, t))
+            if inside / (w * h + u * v - inside) >= 0.82:
+                return True
+        return a[3] is not None and b[3] is not None and (a[3] ^ b[3]).bit_count() <= 8
+
+    want = {(a[0], b[0]) for a in rows for b in rows if a[0] < b[0] and a[1] == b[1] and same(a, b)}
+    got = [(r.a, r.b) for r in graph.region_conflicts(df, ["page"]).collect()]
+    assert len(got) == len(set(got)) and set(got) == want and want
+    images = df.selectExpr("id", "dhash", "CASE WHEN id % 4 > 0 THEN id % 11 END AS content")
+    near = {(a[0], b[0]) for a in rows for b in rows if a[0] < b[0] and a[3] is not None and b[3] is not None and (a[3] ^ b[3]).bit_count() <= 6}
+    first = {}
+    for k in range(60):
+        if k % 4:
+            first.setdefault(k % 11, k)
+    near |= {(first[k % 11], k) for k in range(60) if k % 4 and first[k % 11] < k}
+    assert {(r.a, r.b) for r in graph.image_conflicts(images).collect()} == near
+
+
+def test_swatch_summary_like_candidates(spark):
+    from huetide.operators import evidence
+
+    rows = [(k % 4, f"a{k}", k % 5 if k % 7 else None, k % 3, k % 2, ("HOUSEHOLD", "BUILDING", "FURNITURE")[k % 3], k % 3 if k % 5 else None, ("benchmark", "discovery")[k % 2], 0.5 + k / 200, 0.01 * k, 0.005 * k, "Red") for k in range(60)]
+    df = spark.createDataFrame(rows, "day int, actor string, domain int, sector int, stage int, scale string, platform int, panel string, confidence double, share double, component_share double, family string")
+    one, two = (d.orderBy("day").collect() for d in (evidence.candidates(df, ["day"]), evidence.swatch_summary(df, ["day"], {"domain": range(5), "platform": range(3)})))
+    assert [{c: round(v, 9) if isinstance(v, float) else v for c, v in r.asDict().items()} for r in one] == [{c: round(v, 9) if isinstance(v, float) else v for c, v in r.asDict().items()} for r in two]
+    plan = evidence.swatch_summary(df, ["day"], {"domain": range(5), "platform": range(3)})._jdf.queryExecution().toString()
+    assert "Join" not in plan
+
+
+def test_near_colours_counted_by_colour(spark):
+    rows = [(k % 2, k, f"c{k % 6}", 0.01 * (k % 6), 0.0, 0.0) for k in range(50)]
+    df = spark.createDataFrame(rows, "day int, id long, hex string, ll double, la double, lb double")
+    got = {r.day: (r.pairs, round(r.mean_distance, 9)) for r in graph.pair_statistics(df, ["day"], "hex", 0.025).collect()}
+    for day in (0, 1):
+        near = [abs(a[3] - b[3]) for a in rows for b in rows if a[0] == b[0] == day and a[1] < b[1] and abs(a[3] - b[3]) <= 0.025]
+        assert got[day] == (len(near), round(sum(near) / len(near), 9))
+
+
+def test_sql_functions_of_colours_and_hashes(spark):
+    from huetide.functions import color, sql
+
+    sql.register(spark)
+    said = ["#E4372E", "0f8", " ##ABCDEF", "12345", "", None]
+    df = spark.createDataFrame([(t,) for t in said], "t string")
+    hexes = color.normalize_hex("t")
+    want = df.select(*[F.round(c, 9) for c in color.oklab(*color.rgb_of(hexes))]).collect()
+    got = df.selectExpr("hex_to_oklab(t) AS p").selectExpr("round(p.l, 9)", "round(p.a, 9)", "round(p.b, 9)").collect()
+    assert [tuple(r) for r in got] == [tuple(r) if t and len(t.strip().strip("#")) in (3, 6) else (None,) * 3 for r, t in zip(want, said, strict=True)]
+    pairs = [("ff", "0", 8), ("0123456789abcdef0123", "123456789abcdef0122", 1), ("", "", None), ("a", None, None), ("f" * 80, "0", 320)]
+    assert [r[0] for r in spark.createDataFrame([p[:2] for p in pairs], "a string, b string").selectExpr("hash_distance(a, b)").collect()] == [p[2] for p in pairs]
