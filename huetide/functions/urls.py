@@ -49,6 +49,18 @@ def first_known(*columns: Column) -> Column:
     return F.coalesce(*[F.when(c != "", c) for c in columns])
 
 
+#: Fields of a record that are its fingerprint, the first known one first.
+FINGERPRINTS = ("content_hash", "image_hash", "sha256", "pixel_hash", "region_hash", "phash")
+
+
+def fingerprint(fields: Column, content: Column, source: Column, url: Column, hex_: Column, region: Column) -> Column:
+    """A record's fingerprint: the first known of its fields (a map) of FINGERPRINTS, else the hash of its file's bytes, else that of what names it, as JSON with sorted keys."""
+    quoted = lambda c: F.regexp_extract(F.to_json(F.struct(F.coalesce(c, F.lit("")).alias("v"))), r'(?s)^\{"v":(.*)\}$', 1)
+    said = F.concat(F.lit('{"hex": '), quoted(hex_), F.lit(', "region": '), quoted(region), F.lit(', "source": '), quoted(source), F.lit(', "url": '), quoted(url), F.lit("}"))
+    own = [F.try_element_at(fields, F.lit(k)) for k in FINGERPRINTS]
+    return F.coalesce(*[F.when(c != "", c) for c in own], F.sha2(content, 256), F.sha2(F.encode(said, "UTF-8"), 256))
+
+
 def json_alias(body: Column, *names: str) -> Column:
     """The first known value of an object under one of several names (lower case) in any case; [] and {} are none."""
     fields = F.transform_keys(F.from_json(body, "map<string,string>", {"mode": "PERMISSIVE"}), lambda k, _: F.lower(k))

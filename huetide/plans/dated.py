@@ -170,6 +170,44 @@ def temporal_status(v: Views) -> DataFrame:
     return status_rows(v).select("page_id", "status")
 
 
+@query(
+    "prj07_temporal_record",
+    """SELECT s.page_id, s.status, CASE s.status WHEN 'rejected_future' THEN 'dated later: ' || array_to_string(list_transform(list_filter(urls, lambda d: d > DATE '2024-02-15'), lambda d: CAST(d AS VARCHAR)), ', ')
+ WHEN 'rejected_overlay' THEN 'text of an overlay' WHEN 'context_only_historical' THEN CASE WHEN len(urls) = 0 THEN 'historical and undated' ELSE 'historical, no date of these days' END WHEN 'context_only_undated' THEN 'needs a date'
+ WHEN 'baseline_only_unchanged' THEN 'undated, fingerprint unchanged' WHEN 'eligible_changed_today' THEN 'undated, fingerprint changed' WHEN 'calibration_only_undated' THEN 'undated, seen for the first time' WHEN 'eligible_current' THEN 'within ' || span || ' days'
+ ELSE CAST(DATE '2024-02-15' - list_max(list_filter(urls, lambda d: d <= DATE '2024-02-15')) AS VARCHAR) || ' days old, ' || span || ' allowed' END AS reasons,
+ CASE WHEN prior <> '' AND prior = fingerprint THEN '2024-01-' || lpad(CAST(1 + s.page_id % 20 AS VARCHAR), 2, '0') ELSE '2024-02-15' END AS first_seen, '2024-02-15' AS last_seen,
+ CASE WHEN prior <> '' AND prior = fingerprint THEN '2024-02-' || lpad(CAST(1 + s.page_id % 9 AS VARCHAR), 2, '0') ELSE '2024-02-15' END AS last_changed, CASE s.page_id % 4 WHEN 0 THEN 'none' WHEN 1 THEN 'region' ELSE 'source' END AS level
+FROM status_ s JOIN (SELECT *, CASE WHEN event LIKE '%exhibit%' THEN 45 WHEN event LIKE '%list%' THEN 3 ELSE 2 END AS span FROM records) r ON r.page_id = s.page_id""",
+    on=STATUS_ON,
+)
+def temporal_record(v: Views) -> DataFrame:
+    """Records against a ledger of sources with regions: some have their region in it, some their source alone, some neither."""
+    k = F.col("page_id")
+    dates = [F.date_add(F.lit(day).cast("date"), (k % n).cast("int")) for day, n in (("2024-01-01", 20), ("2024-02-01", 9))]
+    kept = F.struct(F.concat(F.lit("f"), (k % 2).cast("string")).alias("fingerprint"), dates[0].alias("first_seen"), dates[1].alias("last_changed"))
+    other = F.struct(F.lit("zz").alias("fingerprint"), dates[0].alias("first_seen"), dates[0].alias("last_changed"))
+    own = k % 4 == 1
+    nested = v.page_dates.where(k % 4 > 0).select(
+        k.alias("source_id"), F.when(own, other).otherwise(kept).alias("s"), F.create_map(F.lit("elsewhere"), other, F.lit("top"), F.when(own, kept)).alias("regions")
+    ).select("source_id", "s.*", "regions")
+    rows = record_rows(v).drop("prior").select("*", k.alias("source_id"), F.lit("top").alias("region"))
+    out = lg.temporal_records(rows, lg.flat_ledger(nested), F.lit("2024-02-15").cast("date"))
+    return out.select("page_id", "status", F.array_join("reasons", "; ").alias("reasons"), *text("first_seen", "last_seen", "last_changed"), "level")
+
+
+@query(
+    "agg19_health_lists",
+    """SELECT 'timed_out' AS list, CAST(user_id AS VARCHAR) AS name, count(*) AS n FROM events WHERE value > 90 GROUP BY user_id
+UNION ALL SELECT 'captured', event_type, count(DISTINCT user_id) FROM events WHERE event_id % 5 > 0 GROUP BY event_type""",
+)
+def health_lists(v: Views) -> DataFrame:
+    """Sources that timed out, and sources that gave regions by domain (event types as domains)."""
+    status = F.when(F.col("value") > 90, "page_timeout").otherwise("complete")
+    late, gave = lg.health_lists(v.events.select(F.col("user_id").alias("source_id"), F.col("event_type").alias("domain"), status.alias("status"), (F.col("event_id") % 5).alias("regions")))
+    return late.select(F.lit("timed_out").alias("list"), F.col("source_id").cast("string").alias("name"), F.col("times").alias("n")).unionAll(gave.select(F.lit("captured"), "domain", "sources"))
+
+
 @query(
     "prj10_admission_overrides",
     """SELECT page_id, admitted, admitted LIKE 'eligible_%' OR admitted LIKE 'baseline_only_%' OR admitted LIKE 'calibration_only_%' AS baseline_ok, admitted LIKE 'eligible_%' AS current_ok FROM (

@@ -210,3 +210,39 @@ def arrays(v: Views) -> DataFrame:
 @query("scl07_json_lookup", "SELECT event_id, coalesce(nullif(json_extract_string(props, '$.key'), ''), json_extract_string(props, '$.k')) AS value FROM events")
 def json_lookup(v: Views) -> DataFrame:
     return v.events.select("event_id", urls.first_known(F.get_json_object("props", "$.key"), F.get_json_object("props", "$.k")).alias("value"))
+
+
+@query(
+    "prj14_item_identity",
+    """SELECT page_id, CASE WHEN item THEN CASE WHEN known THEN 'shop:c' || page_id % 40 ELSE 'publisher:s' || page_id % 9 END ELSE CASE WHEN page_id % 3 = 0 THEN 'owner' || page_id % 4 ELSE 's' || page_id % 9 END END AS actor_id,
+ CASE WHEN item AND known THEN CASE WHEN page_id % 10 = 0 THEN 'Source' ELSE 'C' END ELSE 'Source' END AS actor_name, NOT item OR known AS identity_verified, CASE WHEN NOT item OR known THEN 'source_metadata' ELSE 'conservative_publisher_group' END AS identity_basis,
+ CASE WHEN page_id % 4 = 0 THEN 'i' || page_id WHEN page_id % 4 = 1 THEN 'https://e.org/Item?a=1&b=' || page_id ELSE 'r' || page_id END AS item_id,
+ substr(sha256(CASE WHEN page_id % 4 = 0 THEN 'i' || page_id WHEN page_id % 4 = 1 THEN 'https://e.org/Item?a=1&b=' || page_id ELSE 'r' || page_id END), 1, 20) AS item_key
+FROM (SELECT page_id, page_id % 2 = 0 AS item, page_id % 5 < 3 AND page_id % 7 > 0 AS known FROM pages)""",
+)
+def item_identity(v: Views) -> DataFrame:
+    """Pages as observations of item adapters and other sources."""
+    k = F.col("page_id")
+    named = lambda p, n: F.concat(F.lit(p), (k % n).cast("string"))
+    mine = lambda p: F.concat(F.lit(p), k.cast("string"))
+    rows = v.pages.select(
+        "page_id", (k % 2 == 0).alias("item_adapter"), F.lit("shop").alias("platform"), named("s", 9).alias("source_id"), F.lit("Source").alias("source_name"), F.when(k % 3 == 0, named("owner", 4)).otherwise("").alias("source_creator"),
+        F.when(k % 4 == 1, F.concat(F.lit("HTTPS://E.org/Item?utm_x=1&b="), k.cast("string"), F.lit("&a=1#f"))).alias("page_url"), mine("r").alias("region_id"), F.when(k % 4 == 0, mine("i")).alias("item_id"),
+        F.when(k % 7 == 0, "  ").otherwise(named("c", 40)).alias("meta_creator"), F.when(k % 10 == 0, "").otherwise("C").alias("meta_name"), F.when(k % 5 < 3, True).alias("meta_verified"),
+    )
+    return pg.item_identity(rows).select("page_id", "actor_id", "actor_name", "identity_verified", "identity_basis", "item_id", "item_key")
+
+
+@query(
+    "scl03_fingerprints",
+    """SELECT page_id, CASE page_id % 5 WHEN 0 THEN 'c' || page_id WHEN 1 THEN 'p' || page_id WHEN 2 THEN 'q' || page_id WHEN 3 THEN sha256(html)
+ ELSE sha256('{"hex": "#A\\"1", "region": "", "source": "s' || page_id % 9 || '", "url": "' || url || '"}') END AS fingerprint FROM pages""",
+)
+def fingerprints(v: Views) -> DataFrame:
+    """Records with one of several fingerprint fields, with bytes alone, or with neither."""
+    k = F.col("page_id")
+    mine = lambda p: F.concat(F.lit(p), k.cast("string"))
+    fields = F.map_filter(F.create_map(F.lit("phash"), F.when(k % 5 < 2, mine("p")), F.lit("content_hash"), F.when(k % 5 == 0, mine("c")).when(k % 5 == 1, ""), F.lit("sha256"), F.when(k % 5 == 2, mine("q"))), lambda _, x: x.isNotNull())
+    content = F.when(k % 5 == 3, F.encode("html", "UTF-8"))
+    made = urls.fingerprint(fields, content, F.concat(F.lit("s"), (k % 9).cast("string")), F.col("url"), F.lit('#A"1'), F.lit(None).cast("string"))
+    return v.pages.select("page_id", made.alias("fingerprint"))

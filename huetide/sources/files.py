@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -150,6 +151,42 @@ def pixels(images: DataFrame, alpha: int = 32) -> DataFrame:
     return images.select("image_id", "image").mapInArrow(work, f"image_id {kind}, y int, x int, r int, g int, b int")
 
 
+def write_document(rows: DataFrame, path: str, order: list[Column]) -> None:
+    """``rows`` as one JSON array in a file, in order; the file is replaced by a rename, so a reader sees the old one or the new one whole.
+
+    For a feed of days: rows are sorted over all tasks, and one task then
+    writes their text in that order, a row at a time.
+    """
+    spark = rows.sparkSession
+    names = rows.columns
+    placed = rows.orderBy(*order).select(F.to_json(F.struct(*names), {"ignoreNullFields": "false"}).alias("said"), F.monotonically_increasing_id().alias("at"))
+    end = spark.range(1).select(F.lit(None).cast("string"), F.lit((1 << 63) - 1).cast("long"))
+    one = placed.unionAll(end).repartition(1).sortWithinPartitions("at").select("said")
+
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mark = "["
+        for batch in batches:
+            out = []
+            for line in batch.column("said").to_pylist():  # the last row has none
+                out.append(("[]" if mark == "[" else "]") if line is None else mark + line)
+                mark = ","
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], names=["value"])
+
+    made = f"{path}.{uuid.uuid4().hex}"
+    one.mapInArrow(joined, "value string").write.text(made)
+    jvm = spark._jvm
+    hadoop = jvm.org.apache.hadoop.fs
+    folder, target = hadoop.Path(made), hadoop.Path(path)
+    conf = spark._jsc.hadoopConfiguration()
+    fs = target.getFileSystem(conf)
+    part = next(s.getPath() for s in fs.listStatus(folder) if s.getPath().getName().startswith("part-") and s.getLen())
+    rename = jvm.org.apache.hadoop.fs.Options.Rename
+    choice = spark.sparkContext._gateway.new_array(rename, 1)
+    choice[0] = rename.OVERWRITE
+    hadoop.FileContext.getFileContext(target.toUri(), conf).rename(part, fs.makeQualified(target), choice)
+    fs.delete(folder, True)
+
+
 def public_feed(days: DataFrame, private: list[str], order: str = "date") -> DataFrame:
     """Ready days with private paths masked, newest first (by date)."""
     masked = {c: F.when(F.col(c).rlike("^(/|file:|[A-Za-z]:\\\\)"), "[private]").otherwise(F.col(c)) for c in private}
