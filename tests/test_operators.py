@@ -187,3 +187,29 @@ def test_sql_functions_of_colours_and_hashes(spark):
     assert [tuple(r) for r in got] == [tuple(r) if t and len(t.strip().strip("#")) in (3, 6) else (None,) * 3 for r, t in zip(want, said, strict=True)]
     pairs = [("ff", "0", 8), ("0123456789abcdef0123", "123456789abcdef0122", 1), ("", "", None), ("a", None, None), ("f" * 80, "0", 320)]
     assert [r[0] for r in spark.createDataFrame([p[:2] for p in pairs], "a string, b string").selectExpr("hash_distance(a, b)").collect()] == [p[2] for p in pairs]
+
+
+@pytest.mark.parametrize("leaders", [3, 256])
+def test_suppression_without_pairs_equals_that_of_pairs(spark, leaders):
+    rows = [(k, None if k == 50 else k * 17 % 11, None if k == 51 else k % 2, (k * 7 % 100, k * 13 % 100, 60 + k % 5 * 10, 60 + k % 7 * 10)) for k in range(150)]
+    df = spark.createDataFrame(rows, "id long, rank long, page long, box struct<x: long, y: long, w: long, h: long>")
+    pairs = graph.box_pairs(df, ["page"], (40, 40), 7).where("iou >= 0.5")
+    made = [(r.a, r.b) for r in pairs.collect()]
+    assert len(made) == len(set(made))
+    want = sorted(r.id for r in graph.suppress(df, pairs).collect())
+    near, p = graph.overlap("p", "q")[0] >= 0.5, df.withColumnRenamed("box", "p")
+    kept = graph.suppress_near(p, ["page"], near, leaders)
+    assert sorted(r.id for r in kept.collect()) == want and 0 < len(want) < 150
+    count = lambda *k: tuple(graph.suppression_faults_near(p, ["page"], near, *k).first())
+    ids = lambda *i: spark.createDataFrame([(x,) for x in i], "id long")
+    for given in (kept, ids(*range(150)), ids(*want[::2])):
+        assert count(given) == tuple(graph.suppression_faults(df, pairs, given).first())
+
+
+def test_pairs_of_boxes_and_hashes_need_no_shuffle_of_pairs(spark):
+    df = spark.range(300).selectExpr("id", "id % 2 AS page", "struct(id % 3 AS x, id % 5 AS y, 900L AS w, 900L AS h) AS box", "1L << CAST(id % 4 AS INT) AS dhash")
+    for pairs in (graph.box_pairs(df, ["page"], (100, 100), 16), graph.hash_pairs(df, ["page"], 8, 56, 16), graph.region_conflicts(df, ["page"])):
+        made = [(r.a, r.b) for r in pairs.collect()]
+        assert len(made) == len(set(made)) == 2 * 150 * 149 // 2
+        plan = pairs._jdf.queryExecution().optimizedPlan().toString()
+        assert not plan.lstrip().startswith(("Aggregate", "Distinct", "Deduplicate"))
