@@ -68,8 +68,13 @@ def query(name: str, sql: str | None = None, views: tuple[str, ...] = (), on: tu
 
 
 def r6(*names: str) -> list[Column]:
-    """Columns rounded to six places, so that engines agree in the last digits."""
-    return [F.round(F.col(n), 6).alias(n) for n in names]
+    """Columns rounded to six places, so that engines agree in the last digits.
+
+    A number is scaled, rounded to a whole one and scaled back, as the checking
+    SQL does; ``round(x, 6)`` here goes by the digits that x is written with, so
+    the two differ where a product of shares ends on a five.
+    """
+    return [(F.round(F.col(n).cast("double") * 1e6) / 1e6).alias(n) for n in names]
 
 
 def long(*names: str) -> list[Column]:

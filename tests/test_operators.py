@@ -213,3 +213,13 @@ def test_pairs_of_boxes_and_hashes_need_no_shuffle_of_pairs(spark):
         assert len(made) == len(set(made)) == 2 * 150 * 149 // 2
         plan = pairs._jdf.queryExecution().optimizedPlan().toString()
         assert not plan.lstrip().startswith(("Aggregate", "Distinct", "Deduplicate"))
+
+
+def test_rounding_goes_like_the_checking_sql(spark):
+    import duckdb
+
+    from huetide.plans.catalog import r6
+
+    said = [k / 32 * (1 - 5 * d / 100) for k in range(1, 33) for d in range(11)] + [-0.5046875, 0.0, 1e9 + 0.1]
+    got = [r.x for r in spark.createDataFrame([(x,) for x in said], "x double").select(*r6("x")).collect()]
+    assert got == [duckdb.execute("SELECT round(CAST(? AS DOUBLE), 6)", [x]).fetchone()[0] for x in said]
