@@ -125,6 +125,15 @@ def dimension(rows: DataFrame) -> DataFrame:
     return out.withColumns({"family": family("ll", "chroma", "hue"), "neutral": F.col("chroma") < NEUTRAL})
 
 
+#: Colours up to which their dimension is broadcast: some 100 MB.
+BROADCAST_COLOURS = 500_000
+
+
+def small(colors: DataFrame) -> DataFrame:
+    """A dimension, to be broadcast if it has no more than BROADCAST_COLOURS rows."""
+    return F.broadcast(colors) if colors.limit(BROADCAST_COLOURS + 1).count() <= BROADCAST_COLOURS else colors
+
+
 def with_color(swatches: DataFrame, colors: DataFrame | None = None) -> DataFrame:
     """Adds the columns of ``colors``, a dimension that holds all of them, to rows with r, g, b, and structural where they are swatches."""
     out = swatches.join(dimension(swatches) if colors is None else colors, ["r", "g", "b"])

@@ -140,7 +140,10 @@ class Views:
 
     @cached_property
     def colors(self) -> DataFrame:
-        """Swatches with hex, OKLab and OKLCH columns, family and neutral flag, worked out once a distinct colour."""
+        """Swatches with hex, OKLab and OKLCH columns, family and neutral flag, worked out once a distinct colour.
+
+        The dimension is broadcast if a count says that it is small, so that swatches need no shuffle by colour.
+        """
         from huetide.functions import color
 
-        return color.with_color(self.swatches, color.dimension(self.palette))
+        return color.with_color(self.swatches, color.small(self.kept("dimension", lambda: color.dimension(self.palette))))

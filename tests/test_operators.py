@@ -239,3 +239,11 @@ def test_linkage_goes_by_distinct_colours(spark, monkeypatch, policy, round_poin
     monkeypatch.setattr(cluster, "near_pairs", seen)
     got = {r.id: r.cluster for r in cluster.complete_linkage(rows, policy, round_points).collect()}
     assert got == sequential(rows.collect(), policy) and made == [len(set(hexes))] * (round_points < 400)
+
+
+def test_swatches_are_not_shuffled_by_colour(spark):
+    from huetide.sources.fixtures import Views
+    from tests.conftest import SF
+
+    plan = Views(spark, SF).colors._jdf.queryExecution().optimizedPlan().toString()
+    assert "rightHint=(strategy=broadcast)" in plan
