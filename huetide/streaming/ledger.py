@@ -4,7 +4,8 @@ Each source and region has one row of settled state, as of the watermark, and
 the list of its events after the watermark, as a late one can still come
 between them.  A batch sorts its events of a key in among those, gives out the
 ledger's row, and settles what the watermark has passed: no batch reads what
-earlier ones read, and state lasts no longer than the delay.  Given out rows
+earlier ones read, and state lasts no longer than the delay.  Keys are dealt
+into buckets, so that a call of the worker serves many keys.  Given out rows
 go to a log by batch; the ledger is the last row of each key, and the log is
 merged into a table now and then.
 """
@@ -25,9 +26,15 @@ from huetide.streaming.jobs import landed, shared_path
 STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 #: Batches after which the log is merged.
 MERGE = 8
+#: Groups that keys are dealt into: a task meets one group's events of a batch at a time.  A checkpoint holds for one number.
+BUCKETS = 4096
+#: Events after the watermark in one row of state.
+PART = 4096
 
 ROWS = "source_id long, region string, fingerprint string, first_seen timestamp, last_seen timestamp, last_changed timestamp, since timestamp, events long"
 _KEY = ["source_id", "region"]
+#: Events after the watermark, as state has them.
+_OPEN = "ts array<long>, event_id array<long>, prints array<string>, dated array<boolean>"
 #: What a key's state gives out; the key is its JSON, as workers take keys of one text for equal, but not null ones.
 _MADE = "key string, fingerprint string, first_seen timestamp, last_seen timestamp, last_changed timestamp, since timestamp, events long"
 _TIMES = ["first_seen", "last_seen", "last_changed", "since"]
@@ -66,34 +73,52 @@ class Record:
 
 
 class Ledger(StatefulProcessor):
-    """State of one source and region."""
+    """State of the sources and regions of one bucket, a row of a map for each; a batch touches those alone that it has events of.
+
+    A row has the settled record and the first PART events after the watermark; more events stand in rows of their own.
+    """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.settled = handle.getValueState("settled", "fingerprint string, first long, last long, changed long, since long, events long")
-        self.open = handle.getListState("open", "ts long, event_id long, fingerprint string, dated boolean")
+        self.rows = handle.getMapState("rows", "key string", f"fingerprint string, first long, last long, changed long, since long, events long, parts int, {_OPEN}")
+        self.more = handle.getMapState("more", "key string, part int", _OPEN)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        frames = [pd.DataFrame({"ts": r["ts"].astype("datetime64[us]").astype("int64"), "event_id": r["event_id"], "fingerprint": r["fingerprint"].astype(object), "dated": r["dated"].astype(bool)}) for r in rows]
-        held = list(self.open.get())
-        if held:
-            frames.append(pd.DataFrame(held, columns=["ts", "event_id", "fingerprint", "dated"]))
+        frames = [pd.DataFrame({"key": r["key"], "ts": r["ts"].astype("datetime64[us]").astype("int64"), "event_id": r["event_id"], "fingerprint": r["fingerprint"].astype(object), "dated": r["dated"].astype(bool)}) for r in rows]
         if not frames:
             return
-        all_ = pd.concat(frames).sort_values(["ts", "event_id"], kind="stable")
-        parts = [all_[c].to_numpy() for c in ("ts", "fingerprint", "dated")]
-        parts[1] = np.where(pd.isna(parts[1]), None, parts[1])
-        cut = int(np.searchsorted(parts[0], timerValues.getCurrentWatermarkInMs() * 1000, "right"))
-        settled = Record(*self.settled.get()) if self.settled.exists() else Record()
-        settled = settled.after(*(p[:cut] for p in parts))
-        if cut:
-            self.settled.update(settled.values())
-        left = all_.iloc[cut:]
-        if len(left):
-            self.open.put([(int(t), int(e), f, bool(d)) for t, e, f, d in zip(left["ts"], left["event_id"], parts[1][cut:], left["dated"], strict=True)])
-        else:
-            self.open.clear()
-        fingerprint, *times, events = settled.after(*(p[cut:] for p in parts)).values()
-        yield pd.DataFrame({"key": [key[0]], "fingerprint": [fingerprint]} | {c: pd.to_datetime([t], unit="us") for c, t in zip(_TIMES, times, strict=True)} | {"events": [events]})
+        settled: dict[str, tuple] = {}
+        if self.rows.exists():
+            open_: list[list] = [[], [], [], [], []]
+            for k in dict.fromkeys(k for f in frames for k in f["key"]):
+                row = self.rows.getValue((k,))
+                if row is None:
+                    continue
+                settled[k] = tuple(row[:7])
+                for part in (row[7:], *(self.more.getValue((k, n)) for n in range(1, row[6]))):
+                    open_[0] += [k] * len(part[0])
+                    for held, more in zip(open_[1:], part, strict=True):
+                        held += more
+            frames.append(pd.DataFrame(dict(zip(frames[0].columns, open_, strict=True))).astype({"ts": "int64", "event_id": "int64", "dated": bool}))
+        all_ = pd.concat(frames).sort_values(["key", "ts", "event_id"], kind="stable")
+        names, ts, ids, prints, dated = (all_[c].to_numpy() for c in all_.columns)
+        prints = np.where(pd.isna(prints), None, prints)
+        mark = timerValues.getCurrentWatermarkInMs() * 1000
+        edges = [0, *(np.flatnonzero(names[1:] != names[:-1]) + 1).tolist(), len(names)]
+        out = []
+        for lo, hi in zip(edges, edges[1:], strict=False):
+            k = names[lo]
+            *record, parts = settled.get(k, (*Record().values(), 0))
+            cut = lo + int(np.searchsorted(ts[lo:hi], mark, "right"))
+            past = Record(*record).after(ts[lo:cut], prints[lo:cut], dated[lo:cut])
+            left = [[x[n : min(n + PART, hi)].tolist() for x in (ts, ids, prints, dated)] for n in range(cut, hi, PART)] or [[[], [], [], []]]
+            self.rows.updateValue((k,), (*past.values(), len(left), *left[0]))
+            for n in range(1, len(left)):
+                self.more.updateValue((k, n), tuple(left[n]))
+            for n in range(len(left), parts):
+                self.more.removeKey((k, n))
+            out.append((k, *past.after(ts[cut:hi], prints[cut:hi], dated[cut:hi]).values()))
+        made = pd.DataFrame(out, columns=["key", "fingerprint", *_TIMES, "events"])
+        yield made.assign(**{c: pd.to_datetime(made[c], unit="us") for c in _TIMES})
 
     def close(self) -> None:
         pass
@@ -120,7 +145,8 @@ def drain_ledger(rows: DataFrame, delay: str = "60 days", path: str | None = Non
     spark.conf.set(store, STORE)
     try:
         keyed = rows.where("ts is not null").withWatermark("ts", delay).select(F.to_json(F.struct(*_KEY)).alias("key"), "event_id", "ts", "fingerprint", "dated")
-        state = keyed.groupBy("key").transformWithStateInPandas(Ledger(), _MADE, "update", "eventTime")
+        keyed = keyed.withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(BUCKETS)))
+        state = keyed.groupBy("bucket").transformWithStateInPandas(Ledger(), _MADE, "update", "eventTime")
         names = F.from_json("key", "source_id long, region string")
         state = state.select(*[names[c].alias(c) for c in _KEY], *state.columns[1:])
         write = state.writeStream.outputMode("update").option("checkpointLocation", f"{path}/state").trigger(availableNow=True)

@@ -1,7 +1,8 @@
 import datetime as dt
 import random
-from collections import defaultdict
+from collections import defaultdict, namedtuple
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from huetide.streaming import jobs, ledger
@@ -143,3 +144,43 @@ def test_nothing_has_landed(spark, tmp_path):
     assert ledger.drain_ledger(ledger.ledger_rows(stream)).count() == 0
     assert jobs.drain(jobs.closed_days(stream), "append").count() == 0
     assert all(t.count() == 0 for t in jobs.drain_admission(stream, "2024-03-05").values())
+
+
+class Held:
+    """A map of state in memory."""
+
+    def __init__(self):
+        self.rows = {}
+
+    def exists(self):
+        return bool(self.rows)
+
+    def getValue(self, key):
+        return self.rows.get(key)
+
+    def updateValue(self, key, value):
+        self.rows[key] = value
+
+    def removeKey(self, key):
+        del self.rows[key]
+
+
+def test_ledger_takes_many_keys_in_one_call(monkeypatch):
+    monkeypatch.setattr(ledger, "PART", 7)
+    maps = {}
+    made, rng = ledger.Ledger(), random.Random(6)
+    made.init(type("Handle", (), {"getMapState": lambda _, name, *_s: maps.setdefault(name, Held())})())
+    all_, last = [], {}
+    for batch, hours in enumerate((0, 30, 60, 90)):
+        new = [event(1000 * batch + k, hours + rng.uniform(0, 40), rng.choice((1, 1, 1, 2 + k % 40 + batch)), rng.choice(["1", "2", "4", None])) for k in range(200)]
+        all_ += new
+        rows = [(str(u), e, t, None if p is None else f"f{int(p) % 2}", p is not None and int(p) % 3 == 1) for e, t, u, _, _, p in new]
+        frame = pd.DataFrame(rows, columns=["key", "event_id", "ts", "fingerprint", "dated"])
+        mark = type("Mark", (), {"getCurrentWatermarkInMs": lambda _, h=hours: int((DAY + dt.timedelta(hours=h) - dt.datetime(1970, 1, 1)).total_seconds() * 1000)})()
+        (out,) = made.handleInputRows((0,), iter([frame[:90], frame[90:]]), mark)
+        assert sorted(out["key"]) == sorted(set(frame["key"]))
+        last |= {int(r.key): (None if pd.isna(r.fingerprint) else r.fingerprint, *(getattr(r, c).to_pydatetime() for c in ("first_seen", "last_seen", "last_changed", "since")), r.events) for r in out.itertuples()}
+        parts = {k[0]: v[6] for k, v in maps["rows"].rows.items()}
+        assert sorted(maps["more"].rows) == sorted((k, n) for k, p in parts.items() for n in range(1, p)) and parts["1"] > 5
+    Event = namedtuple("Event", "event_id ts user_id event_type value props")
+    assert {(k, "view"): v for k, v in last.items()} == in_order([Event(*e) for e in all_])
