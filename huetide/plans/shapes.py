@@ -101,17 +101,23 @@ NO_FAULTS = "SELECT CAST(0 AS BIGINT) AS kept_conflicts, CAST(0 AS BIGINT) AS un
 
 
 def ranked_images(v: Views) -> DataFrame:
-    return v.embeddings.select(F.col("vec_id").alias("id"), F.col("label").alias("rank"))
+    hashes = g.difference_hash(v.patches).select(F.col("image_id").alias("id"), F.col("dhash").alias("p"))
+    return v.embeddings.select(F.col("vec_id").alias("id"), F.col("label").alias("rank")).join(hashes, "id", "left")
+
+
+def same_hash():
+    """Whether hashes p and q are one, as in ``hash_conflicts``."""
+    return g.hamming(F.col("p"), F.col("q")) <= 16
 
 
 @query("alg08_hash_suppression")
 def hash_suppression(v: Views) -> DataFrame:
-    return g.suppress(ranked_images(v), hash_conflicts(v)).select(F.col("id").alias("image_id"))
+    return g.suppress_near(ranked_images(v), [], same_hash()).select(F.col("id").alias("image_id"))
 
 
 @query("alg08_hash_suppression_violations", NO_FAULTS)
 def hash_violations(v: Views) -> DataFrame:
-    return g.suppression_faults(ranked_images(v), hash_conflicts(v))
+    return g.suppression_faults_near(ranked_images(v), [], same_hash())
 
 
 def box_conflicts(v: Views) -> DataFrame:

@@ -267,3 +267,19 @@ def test_patches_of_masks_are_labelled_an_image_at_a_time(spark):
     assert {(r.image_id, r.y, r.x): r.component for r in got.collect()} == want
     assert got.columns == ["image_id", "y", "x", "component"]
     assert "Join" not in got._jdf.queryExecution().toString()
+
+
+@pytest.mark.parametrize("leaders", [3, 256])
+def test_suppression_by_hash_makes_no_pairs_of_all(spark, leaders):
+    rows = [(k, None if k == 50 else k * 17 % 11, None if k == 51 else (k * 2654435761 % 2**20) if k % 3 else 5) for k in range(150)]
+    df = spark.createDataFrame(rows, "id long, rank long, dhash long")
+    pairs = graph.hash_pairs(df.where("dhash is not null"), [], 5, 20)
+    want = sorted(r.id for r in graph.suppress(df, pairs).collect())
+    near, p = graph.hamming(F.col("p"), F.col("q")) <= 5, df.withColumnRenamed("dhash", "p")
+    kept = graph.suppress_near(p, [], near, leaders)
+    assert sorted(r.id for r in kept.collect()) == want and 0 < len(want) < 150
+    ids = lambda *i: spark.createDataFrame([(x,) for x in i], "id long")
+    for given in (kept, ids(*range(150)), ids(*want[::2])):
+        assert tuple(graph.suppression_faults_near(p, [], near, given).first()) == tuple(graph.suppression_faults(df, pairs, given).first())
+    first = graph.suppress_near(p, [], near, leaders)._jdf.queryExecution().toString()
+    assert "Window" not in first  # no task sorts all rows
