@@ -63,20 +63,23 @@ def largest_patch(cells: np.ndarray) -> int:
             root[k] = k = root[root[k]]
         return k
 
+    rim = np.zeros((cells.shape[0], cells.shape[1] + 2), dtype=bool)
+    rim[:, 1:-1] = cells
+    y, x = np.nonzero(rim[:, 1:] != rim[:, :-1])  # where runs begin and end, by turns
     above: list[tuple[int, int, int]] = []
-    for row in cells:
-        edge = np.flatnonzero(np.diff(row.astype(np.int8), prepend=0, append=0))
-        own = []
-        for a, b in edge.reshape(-1, 2).tolist():
-            k = len(root)
-            root.append(k)
-            size.append(b - a)
-            for c, d, other in above:
-                if c < b and a < d and (top := find(other)) != find(k):
-                    size[top] += size[find(k)]
-                    root[find(k)] = top
-            own.append((a, b, k))
-        above = own
+    own: list[tuple[int, int, int]] = []
+    at = -1
+    for row, a, b in zip(y[::2].tolist(), x[::2].tolist(), x[1::2].tolist(), strict=True):
+        if row != at:
+            above, own, at = own if row == at + 1 else [], [], row
+        k = len(root)
+        root.append(k)
+        size.append(b - a)
+        for c, d, other in above:
+            if c < b and a < d and (top := find(other)) != find(k):
+                size[top] += size[find(k)]
+                root[find(k)] = top
+        own.append((a, b, k))
     return max((size[k] for k in range(len(root)) if root[k] == k), default=0)
 
 

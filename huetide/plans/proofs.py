@@ -200,7 +200,9 @@ def images(v: Views) -> DataFrame:
         return F.concat(byte(m), byte(F.floor(m / 7)), byte(F.floor(m / 49)), byte(alpha))
 
     data = F.unhex(F.array_join(F.transform("embedding", pixel), ""))
-    return v.embeddings.select(F.col("vec_id").alias("image_id"), F.struct(F.lit(8).alias("height"), F.lit(8).alias("width"), F.lit(4).alias("nChannels"), data.alias("data")).alias("image"))
+    tasks = max(v.spark.sparkContext.defaultParallelism, int(v.spark.conf.get("spark.sql.shuffle.partitions")))
+    rows = v.embeddings.repartition(tasks, "vec_id")  # a vector is a few bytes of its file and an image's worth of work
+    return rows.select(F.col("vec_id").alias("image_id"), F.struct(F.lit(8).alias("height"), F.lit(8).alias("width"), F.lit(4).alias("nChannels"), data.alias("data")).alias("image"))
 
 
 BYTES = (

@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from huetide.operators import cluster, palette
 from huetide.operators import evidence as ev
+from huetide.plans import proofs
 from huetide.sources import files
+from huetide.sources.fixtures import Views
 
 
 def image(rgb, alpha=None):
@@ -108,6 +110,12 @@ def test_largest_patch_like_flooding():
     assert palette.largest_patch(ring) == 32 and palette.largest_patch(np.zeros((3, 3), dtype=bool)) == 0
 
 
+def test_images_of_a_small_file_are_dealt_over_tasks(spark):
+    rows = proofs.images(Views(spark, "/root/testdata/sf0.001"))
+    each = rows.groupBy(F.spark_partition_id()).count().collect()
+    assert len(each) >= 4 and max(r["count"] for r in each) < rows.count() / 2
+
+
 def painted(h, w, ground, *boxes):
     rgb = np.empty((h, w, 3), dtype=np.uint8)
     rgb[:] = ground
