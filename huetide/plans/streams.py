@@ -9,7 +9,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from huetide.operators import cluster as cl
-from huetide.operators import graph as g
 from huetide.operators import palette
 from huetide.plans.catalog import COLORS, long, query, r6, text
 from huetide.plans.shapes import month_points
@@ -237,4 +236,4 @@ def merged_swatches(v: Views) -> DataFrame:
 def palette_kmeans(v: Views) -> DataFrame:
     """Three colours of each actor and month."""
     rows = v.colors.where("current_eligible").select(F.xxhash64("day", "actor").alias("key"), (F.col("image_id") * 64 + F.col("swatch_no")).alias("id"), "ll", "la", "lb")
-    return cl.kmeans(g.settled(rows), 3)[1].select("key", *long("c"), "id", "n")
+    return cl.kmeans(rows, 3)[1].select("key", *long("c"), "id", "n")

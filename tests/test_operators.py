@@ -283,3 +283,44 @@ def test_suppression_by_hash_makes_no_pairs_of_all(spark, leaders):
         assert tuple(graph.suppression_faults_near(p, [], near, given).first()) == tuple(graph.suppression_faults(df, pairs, given).first())
     first = graph.suppress_near(p, [], near, leaders)._jdf.queryExecution().toString()
     assert "Window" not in first  # no task sorts all rows
+
+
+def slow_kmeans(points, k, rounds):
+    """(labels, shown) of one group's points (id, l, a, b), all of them in every round."""
+    d = lambda p, c: round(math.dist(p[1:], c), 9)
+    mean = lambda of: tuple(sum(p[j] for p in of) / len(of) for j in (1, 2, 3))
+    centres = [min(points, key=lambda p: (d(p, mean(points)), p[0]))[1:]]
+    while len(centres) < k and (far := [p for p in points if min(math.dist(p[1:], c) for c in centres) > 0]):
+        centres.append(max(far, key=lambda p: (min(d(p, c) for c in centres), -p[0]))[1:])
+    centres, labels = dict(enumerate(centres)), None
+    for _ in range(rounds):
+        new = {p[0]: min(centres, key=lambda c: (d(p, centres[c]), c)) for p in points}
+        if new == labels:
+            break
+        labels = new
+        centres = {c: mean([p for p in points if labels[p[0]] == c]) for c in set(labels.values())}
+    members = {c: [p for p in points if labels[p[0]] == c] for c in centres}
+    return labels, {(c, min(own, key=lambda p: (d(p, centres[c]), p[0]))[0], len(own)) for c, own in members.items()}
+
+
+@pytest.mark.parametrize("rounds, few", [(1, 200_000), (18, 200_000), (18, 0)])
+def test_kmeans_of_groups_goes_by_distinct_colours(spark, monkeypatch, rounds, few):
+    grid = [(k, 7 + k % 3, k * 37 % 11 / 16, k * 53 % 5 / 16, k * k % 7 / 16) for k in range(600)]
+    single = [(1000 + k, 20, 0.5, 0.25, 0.125) for k in range(3)] + [(2000 + k, 21, k % 2 / 4, 0.0, 0.0) for k in range(5)]
+    rows = spark.createDataFrame([(key, id_, *lab) for id_, key, *lab in grid + single], "key long, id long, ll double, la double, lb double")
+    stored = []
+
+    def seen(df):
+        out = graph.settled(df)
+        stored.append(out.count())
+        return out
+
+    monkeypatch.setattr(cluster, "settled", seen)
+    monkeypatch.setattr(cluster, "BROADCAST_ROWS", few, raising=False)
+    labels, shown = cluster.kmeans(rows, 3, rounds)
+    labels, shown = labels.collect(), shown.collect()
+    for key in (7, 8, 9, 20, 21):
+        want = slow_kmeans([(id_, *lab) for id_, k, *lab in grid + single if k == key], 3, rounds)
+        assert ({r.id: r.c for r in labels if r.key == key}, {(r.c, r.id, r.n) for r in shown if r.key == key}) == want
+    colours = rows.select("key", "ll", "la", "lb").distinct().count()
+    assert sum(stored) <= colours + 15 * len(stored) and colours < rows.count()  # colours once, then centres alone
