@@ -335,3 +335,23 @@ def test_linkage_works_its_points_out_once(spark):
 
     rows = colors(spark, ["#0B5BC0", "#0E62BF", "#156FBE", "#0B5BC0"]).withColumn("chroma", F.udf(seen, "double")("chroma"))
     assert cluster.complete_linkage(rows, "first").count() == 4 and made.value == 4
+
+
+def test_most_pairs_of_a_page_are_made_in_more_than_one_task(spark):
+    few = "struct(id % 7 * 10 AS x, id % 5 * 10 AS y, 900L + id % 3 AS w, 900L AS h) AS box"
+    df = spark.range(900).selectExpr("id", "id % 3 AS page", few, "CASE WHEN id % 4 > 0 THEN shiftleft(3L, CAST(id % 40 AS INT)) END AS dhash")
+    boxes = {r.id: (r.page, r.box.x, r.box.y, r.box.w, r.box.h, r.dhash) for r in df.collect()}
+
+    def over(a, b):
+        (_, x, y, w, h, _), (_, s, t, u, v, _) = boxes[a], boxes[b]
+        inside = max(0, min(x + w, s + u) - max(x, s)) * max(0, min(y + h, t + v) - max(y, t))
+        return inside / (w * h + u * v - inside)
+
+    two = [(a, b) for a in boxes for b in boxes if a < b and boxes[a][0] == boxes[b][0]]
+    alike = lambda a, b: None not in (boxes[a][5], boxes[b][5]) and (boxes[a][5] ^ boxes[b][5]).bit_count() <= 2
+    for step in ((100, 100), (2000, 2000)):  # a page met as a whole, and by cells
+        near = graph.box_pairs(df, ["page"], step, 64, (0.95, 2.0))
+        assert sorted((r.a, r.b, r.iou) for r in near.collect()) == [(a, b, over(a, b)) for a, b in two if over(a, b) >= 0.95]
+    same = graph.region_conflicts(df, ["page"], 0.95, 2, block=64)
+    assert sorted((r.a, r.b) for r in same.collect()) == [(a, b) for a, b in two if over(a, b) >= 0.95 or alike(a, b)]
+    assert sum(len(p) > 0 for p in same.rdd.glom().collect()) > 1
