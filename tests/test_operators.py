@@ -355,3 +355,13 @@ def test_most_pairs_of_a_page_are_made_in_more_than_one_task(spark):
     same = graph.region_conflicts(df, ["page"], 0.95, 2, block=64)
     assert sorted((r.a, r.b) for r in same.collect()) == [(a, b) for a, b in two if over(a, b) >= 0.95 or alike(a, b)]
     assert sum(len(p) > 0 for p in same.rdd.glom().collect()) > 1
+
+
+def test_box_overlap_is_held_against_its_limits_as_rounded(spark):
+    from types import SimpleNamespace
+
+    from huetide.plans import shapes
+
+    rows = [(k, "p", 500_001 * k, 0, 4_499_999, 9) for k in range(2)]  # 3,999,998 of 5,000,000, which is 0.8 to six places
+    boxes = spark.createDataFrame(rows, "box_id long, page string, x long, y long, w long, h long")
+    assert [(r.a, r.b, r.iou, r.inside) for r in shapes.box_overlap(SimpleNamespace(boxes=boxes)).collect()] == [(0, 1, 0.8, 0.888889)]
