@@ -163,36 +163,33 @@ def ledger_forms(v: Views) -> DataFrame:
     return rows.select("source_id", "region", "fingerprint", *[F.unix_timestamp(c).alias(c) for c in ("first_seen", "last_seen", "last_changed", "since")], "events")
 
 
-def clusters(v: Views, policy: str) -> tuple[DataFrame, DataFrame]:
-    p = month_points(v)
-    return p, cl.complete_linkage(p, policy)
+def clusters(v: Views, policy: str) -> DataFrame:
+    return cl.complete_linkage(month_points(v), policy)
 
 
-def too_wide(v: Views, policy: str) -> DataFrame:
-    """Pairs inside a cluster beyond the widest limit: counted from each cluster's extent along the axes."""
-    p, c = clusters(v, policy)
-    wide = lambda x: F.max(x) - F.min(x)
-    return p.join(c, ["day", "id"]).groupBy("day", "cluster").agg(F.greatest(wide("ll"), wide("la"), wide("lb")).alias("w")).agg(F.count_if(F.col("w") > 0.045).alias("violations"))
+def misplaced(v: Views, policy: str) -> DataFrame:
+    """Points that aren't where one pass in order puts them: all apart, or all together, would be wrong."""
+    return cl.linkage_faults(month_points(v), policy)
 
 
 @query("alg04_complete_linkage")
 def linkage(v: Views) -> DataFrame:
-    return clusters(v, "best")[1].select(*text("day"), "id", "cluster")
+    return clusters(v, "best").select(*text("day"), "id", "cluster")
 
 
 @query("alg04_complete_linkage_violations", "SELECT CAST(0 AS BIGINT) AS violations")
 def linkage_violations(v: Views) -> DataFrame:
-    return too_wide(v, "best")
+    return misplaced(v, "best")
 
 
 @query("alg05_first_fit_linkage")
 def first_fit(v: Views) -> DataFrame:
-    return clusters(v, "first")[1].select(*text("day"), "id", "cluster")
+    return clusters(v, "first").select(*text("day"), "id", "cluster")
 
 
 @query("alg05_first_fit_linkage_violations", "SELECT CAST(0 AS BIGINT) AS violations")
 def first_fit_violations(v: Views) -> DataFrame:
-    return too_wide(v, "first")
+    return misplaced(v, "first")
 
 
 def image_points(v: Views) -> DataFrame:

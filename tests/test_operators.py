@@ -365,3 +365,37 @@ def test_box_overlap_is_held_against_its_limits_as_rounded(spark):
     rows = [(k, "p", 500_001 * k, 0, 4_499_999, 9) for k in range(2)]  # 3,999,998 of 5,000,000, which is 0.8 to six places
     boxes = spark.createDataFrame(rows, "box_id long, page string, x long, y long, w long, h long")
     assert [(r.a, r.b, r.iou, r.inside) for r in shapes.box_overlap(SimpleNamespace(boxes=boxes)).collect()] == [(0, 1, 0.8, 0.888889)]
+
+
+@pytest.mark.parametrize("policy", ["best", "first"])
+def test_linkage_faults_are_counted(spark, monkeypatch, policy):
+    hexes = [f"#{k * 37 % 40 + 100:02X}{k * 53 % 30 + 90:02X}{k * 71 % 50 + 80:02X}" for k in range(150)]
+    rows = colors(spark, hexes)
+    points = sorted(rows.collect(), key=lambda p: (-p.strength, p.id))
+    right = sequential(points, policy)
+
+    def slow(given):
+        """Points not put where the pass puts them, those before being where they are said to be."""
+        wrong, clusters = 0, {}
+        for p in points:
+            fits = []
+            for k, c in clusters.items():
+                d = [math.dist((p.ll, p.la, p.lb), (m.ll, m.la, m.lb)) for m in c]
+                grey, kind = p.chroma < 0.075, all(m.chroma < 0.075 for m in c)
+                if max(d) <= (0.032 if grey or (policy == "best" and any(m.chroma < 0.075 for m in c)) else 0.045) and (policy == "best" or kind == grey):
+                    fits.append((sum(d) / len(d) if policy == "best" else len(fits), k))
+            put = min(fits)[1] if fits else p.id
+            wrong += given[p.id] != put
+            clusters.setdefault(given[p.id], []).append(p)
+        return wrong
+
+    apart = {k: k for k in right}
+    together = {k: points[0].id for k in right}
+    moved = right | {points[-1].id: next(c for c in right.values() if c != right[points[-1].id])}
+    count = lambda given, n: cluster.linkage_faults(rows, policy, given and spark.createDataFrame(list(given.items()), "id long, cluster long"), n).first()[0]
+    assert count(None, 1000) == slow(right) == 0
+    monkeypatch.setattr(cluster, "STEP", 40)
+    monkeypatch.setattr(cluster, "_regions", lambda colours: colours.select("colour", F.lit(0).cast("long").alias("component")))
+    for given in (right, apart, together, moved):
+        assert count(given, 60) == slow(given) and (slow(given) > 0) == (given != right)
+    assert count({k: c for k, c in right.items() if k != points[-1].id}, 1000) == 1
